@@ -10,6 +10,7 @@ REGISTRY = {
     "op3_token_counts": ("token_counts", None),
     "op6_decontamination": ("decontamination", "OP6_SQL"),
     "op7_sentencepiece": ("sentencepiece_fst", None),
+    "op8_near_dedup": ("near_dedup", "OP8_SQL"),
 }
 
 
