@@ -8,9 +8,11 @@ from importlib import import_module
 REGISTRY = {
     "op2_language_id": ("language_id", None),
     "op3_token_counts": ("token_counts", None),
+    "op5_quality": ("quality", None),
     "op6_decontamination": ("decontamination", "OP6_SQL"),
     "op7_sentencepiece": ("sentencepiece_fst", None),
     "op8_near_dedup": ("near_dedup", "OP8_SQL"),
+    "op9_toxicity": ("toxicity", None),
 }
 
 
