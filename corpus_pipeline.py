@@ -1,12 +1,60 @@
-"""A training-corpus pipeline: language, toxicity, near-duplicates, benchmark leaks, tokens."""
+"""A training-corpus pipeline over `documents`: language, toxicity, near-duplicates, benchmark leaks, tokens.
+
+Each stage takes (spark, docs, sf_dir), works on all rows its predecessor kept and is written as Parquet before the next
+one reads it. All but the last return the columns of `documents`. SQL can't express the trained stages, so there is no
+ORACLE_SQL; the rules of each stage are tested against brute force.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tessera.llm import decontamination, language_id, near_dedup, sentencepiece_fst, toxicity
+from tessera.llm.common import read_table, write_table
 
-STAGES: list = []
 ORACLE_SQL = None
+#: A text is rejected if no language is found, or if fewer of its n-grams than this are known to any.
+LEAST_EVIDENCE = 0.1
+#: Near-duplicates share 80 % of their 5-word shingles.
+SIMILAR = 80
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep texts in a known language. The filters are learned from the rows at hand; a row's own language label doesn't
+    decide on it."""
+    got = language_id.identify(spark, docs, language_id.learn(docs))
+    return got.where((F.col("lang_pred") != "und") & (F.col("evidence") >= LEAST_EVIDENCE)).select(*docs.columns)
+
+
+def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop toxic texts."""
+    got = toxicity.score(spark, docs, toxicity.learn(docs, read_table(spark, sf_dir, "labels")))
+    return got.where("score < 0.5").select(*docs.columns)
+
+
+def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep one document of each group of near-duplicates: the rows with the smallest id. Rows with a null id stay."""
+    labels = near_dedup.labelled(spark, docs, SIMILAR).where("not kept").select("doc_id").distinct()
+    gone, _ = write_table(spark, labels, "gone")
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+
+
+def uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop documents that contain a benchmark item."""
+    return decontamination.decontaminate(spark, docs, read_table(spark, sf_dir, "benchmark"))
+
+
+def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of what is left, and the text that they decode to."""
+    return sentencepiece_fst.encode(docs)
+
+
+STAGES = [("language", language), ("toxicity", clean), ("near_duplicates", distinct), ("benchmark", uncontaminated), ("tokens", encoded)]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    docs = read_table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs, _ = write_table(spark, stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
