@@ -6,6 +6,7 @@ from importlib import import_module
 
 #: Query -> (module of this subpackage, attribute with its DuckDB SQL or None where SQL can't express it).
 REGISTRY = {
+    "op1_html_extraction": ("html_extraction", None),
     "op10_katz": ("katz", None),
     "op2_language_id": ("language_id", None),
     "op3_token_counts": ("token_counts", None),
