@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from .common import appended, bounded, fold, read_table
 from .textcore import SPACE, Block, blocks, bounds, hash_spans, spans
-from .toxicity import F32, Adam, one_block, platt, sigmoid
+from .toxicity import F32, Adam, blocks_of, platt, sigmoid
 
 PASSAGE = 64
 KINDS = 24
@@ -98,7 +98,7 @@ class Attention:
         """Logits of bags 0..max(doc), none of them empty; doc is sorted."""
         p = self.p
         h = np.maximum(f @ p["E"] + p["e"], 0)
-        v, u = np.tanh(h @ p["V"]), 1 / (1 + np.exp(-(h @ p["U"])))
+        v, u = np.tanh(h @ p["V"]), 1 / (1 + np.exp(-np.clip(h @ p["U"], -30, 30)))
         score = (v * u) @ p["a"]
         at = np.searchsorted(doc, np.arange(doc[-1] + 1))
         e = np.exp(score - np.maximum.reduceat(score, at)[doc])
@@ -141,8 +141,11 @@ def train(texts: list[str], labels: np.ndarray, epochs: int = 12, size: int = 64
     fit, rest = order[np.arange(len(y)) % 4 != 3], order[np.arange(len(y)) % 4 == 3]
     parts = []
     for i in range(0, len(fit), 256):
-        f, doc = passages(one_block([texts[k] for k in fit[i : i + 256]]))
-        parts.append((f.astype(np.float16), doc + i))
+        done = i
+        for b in blocks_of([texts[k] for k in fit[i : i + 256]]):
+            f, doc = passages(b)
+            parts.append((f.astype(np.float16), doc + done))
+            done += len(b)
     f, doc = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
     at = np.searchsorted(doc, np.arange(len(fit) + 1))
     target = y[fit]
@@ -157,7 +160,7 @@ def train(texts: list[str], labels: np.ndarray, epochs: int = 12, size: int = 64
             g = net.gradients(f[rows].astype(F32), bag, target[own], weight[own])
             opt.step({k: v + 1e-4 * net.p[k] for k, v in g.items()})
     if len(set(y[rest])) == 2:
-        net.slope, net.shift = platt(net.documents(one_block([texts[k] for k in rest])).astype(np.float64), y[rest])
+        net.slope, net.shift = platt(np.concatenate([net.documents(b) for b in blocks_of([texts[k] for k in rest])]).astype(np.float64), y[rest])
     return net
 
 

@@ -49,6 +49,7 @@ class Words:
     slot: np.ndarray
     chars: np.ndarray
     of: np.ndarray
+    hash: np.ndarray | None = None  # of each kind
 
 
 def words_of(block: Block) -> Words:
@@ -76,7 +77,31 @@ def words_of(block: Block) -> Words:
     of = np.concatenate(whose)
     order = np.argsort(of, kind="stable")
     chars, of = np.concatenate(many)[order], of[order]
-    return Words(row, kind, (kinds >> np.uint64(64 - WORD_BITS)).astype(np.int64), chars, of)
+    return Words(row, kind, (kinds >> np.uint64(64 - WORD_BITS)).astype(np.int64), chars, of, kinds)
+
+
+def words_of_texts(texts: list[str]) -> Words:
+    """The words of many texts as of one block, put together from small blocks."""
+    parts, rows = [], 0
+    for b in blocks_of(texts):
+        w = words_of(b)
+        parts.append((w.row + rows, w))
+        rows += len(b)
+    every = [w.hash for _, w in parts]
+    hashes, first, kind = np.unique(np.concatenate([*every, np.zeros(0, np.uint64)]), return_index=True, return_inverse=True)
+    at = np.cumsum([0, *map(len, every)])
+    chars, of, size = [], [], []
+    for (_, w), a, e in zip(parts, at, at[1:], strict=False):
+        own = kind[a:e]  # of the kinds of this part; those that it has first give their characters
+        here = first[own] == np.arange(a, e)
+        keep = here[w.of]
+        chars.append(w.chars[keep])
+        of.append(own[w.of[keep]])
+        size.append(own[w.kind])
+    chars, of = np.concatenate([*chars, np.zeros(0, np.int64)]), np.concatenate([*of, np.zeros(0, np.int64)])
+    order = np.argsort(of, kind="stable")
+    row = np.concatenate([*(r for r, _ in parts), np.zeros(0, np.int64)])
+    return Words(row, np.concatenate([*size, np.zeros(0, np.int64)]), (hashes >> np.uint64(64 - WORD_BITS)).astype(np.int64), chars[order], of[order], hashes)
 
 
 def windows(row: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -237,8 +262,8 @@ def constant(share: float) -> Network:
     return net
 
 
-def one_block(texts: list[str]) -> Block:
-    return next(blocks(iter([pa.RecordBatch.from_pydict({"text": texts}, schema=pa.schema([("text", pa.string())]))]), limit=1 << 62))
+def blocks_of(texts: list[str]) -> Iterator[Block]:
+    return blocks(iter([pa.RecordBatch.from_pydict({"text": texts}, schema=pa.schema([("text", pa.string())]))]))
 
 
 def train(texts: list[str], labels: np.ndarray, seed: int = 9) -> Network:
@@ -252,15 +277,14 @@ def train(texts: list[str], labels: np.ndarray, seed: int = 9) -> Network:
         rest[np.flatnonzero(y == v)[3::4]] = True
     net = fit([t for t, r in zip(texts, rest, strict=True) if not r], y[~rest], seed=seed)
     if len(set(y[rest])) == 2:
-        net.slope, net.shift = platt(net.documents(one_block([t for t, r in zip(texts, rest, strict=True) if r])), y[rest])
+        net.slope, net.shift = platt(np.concatenate([net.documents(b) for b in blocks_of([t for t, r in zip(texts, rest, strict=True) if r])]), y[rest])
     return net
 
 
 def fit(texts: list[str], y: np.ndarray, rounds: int = 3, epochs: int = 3, size: int = 256, seed: int = 9) -> Network:
     r = np.random.default_rng(seed)
-    block = one_block(texts)
-    w = words_of(block)
-    first, doc = windows(w.row, len(block))
+    w = words_of_texts(texts)
+    first, doc = windows(w.row, len(texts))
     net = Network(seed)
     # log-odds of words and their beginnings by document: the first guess of where a toxic document is toxic, and the
     # start of their vectors
@@ -291,7 +315,8 @@ def fit(texts: list[str], y: np.ndarray, rounds: int = 3, epochs: int = 3, size:
     kind = np.concatenate([w.kind, np.full(SPAN, len(w.slot))])
     row = np.concatenate([w.row, np.full(SPAN, -1)])
     at = first[:, None] + np.arange(SPAN)
-    every = np.where(row[at] == row[at[:, :1]], kind[at], len(w.slot))
+    every = np.where(row[at] == row[at[:, :1]], kind[at], len(w.slot)).astype(np.int32)
+    del at
     score = np.concatenate([odds, [0.0]])[every].max(1)
     opt = Adam(net.p, 0.01)
     count = np.sqrt(np.maximum(np.bincount(w.of, minlength=len(w.slot)), 1))
@@ -350,7 +375,7 @@ def platt(x: np.ndarray, y: np.ndarray, steps: int = 200) -> tuple[float, float]
     return float(b[0] / scale), float(b[1] - b[0] * mid / scale)
 
 
-def learn(docs: DataFrame, labels: DataFrame, sample: int = 6000, held_out_mod: int = 5) -> Network:
+def learn(docs: DataFrame, labels: DataFrame, sample: int = 4000, held_out_mod: int = 5) -> Network:
     """Train on at most about `sample` labelled rows that aren't held out."""
     lab = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & (fold("doc_id", held_out_mod) != 0)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     lab = bounded(lab, sample, "doc_id").persist()
