@@ -13,7 +13,6 @@ reduction, least child extent, largest extent reduction, best balance, largest v
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import partial
 
 import numpy as np
 import pandas as pd
@@ -157,7 +156,7 @@ def cluster(points: DataFrame, dims: list[str], config: BuildConfig) -> DataFram
     coarse = points.select(ROW_ID, *dims, coarse_paths(points, dims, config).alias("path"))
     kinds = dict(points.dtypes)
     schema = f"{ROW_ID} long, path string, row_index long, " + ", ".join(f"`{d}` {kinds[d]}" for d in dims)
-    return coarse.groupBy("path").applyInPandas(partial(split_group, dims=dims, config=config), schema)
+    return coarse.groupBy("path").applyInPandas(lambda pdf: split_group(pdf, dims, config), schema)
 
 
 def node_table(clustered: DataFrame, dims: list[str]) -> DataFrame:

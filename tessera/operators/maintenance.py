@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import asdict, dataclass
+from dataclasses import asdict, dataclass, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -78,18 +78,12 @@ def rewrite(archive: Archive, rows: DataFrame, note: dict, keep_tombstones: bool
     m = archive.manifest
     carry = m
     if not keep_tombstones:
-        carry = _without(carry, tombstones=0, tombstone_version=None)
+        carry = replace(carry, tombstones=0, tombstone_version=None)
     if not keep_delta:
-        carry = _without(carry, delta_rows=0, delta_version=None)
+        carry = replace(carry, delta_rows=0, delta_version=None)
     return Archive.create(archive.spark, archive.root, rows, m.schema, m.clustered_by, BuildConfig(**m.config), [*m.history, note], m.version + 1, m.dictionaries, carry)
 
 
-def _without(m, **changes):
-    from dataclasses import replace
-
-    return replace(m, **changes)
-
-
 def append(archive: Archive, new: DataFrame | None = None) -> Archive:
     """Base and new rows (or the pending delta) clustered afresh; tombstones stay. Ids must be new."""
     own = archive.data().select(ROW_ID, *archive.manifest.schema.names)

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import time
 from collections.abc import Callable
-from functools import partial
 
 import numpy as np
 import pandas as pd
@@ -51,7 +50,7 @@ def kd_layout(points: DataFrame, dims: list[str], leaf: int = KD_LEAF, exact_row
     own = points.select(ROW_ID, *dims)
     if parts > 1:
         own = own.repartitionByRange(parts, dims[0])
-    return own.withColumn("part", F.spark_partition_id() if parts > 1 else F.lit(0)).groupBy("part").applyInPandas(lambda pdf: partial(kd_group, dims=dims, leaf=leaf)(pdf.drop(columns="part").sort_values(ROW_ID)), schema)
+    return own.withColumn("part", F.spark_partition_id() if parts > 1 else F.lit(0)).groupBy("part").applyInPandas(lambda pdf: kd_group(pdf.drop(columns="part").sort_values(ROW_ID), dims, leaf), schema)
 
 
 def packed_layout(points: DataFrame, dims: list[str], leaf: int = PACK_LEAF) -> DataFrame:
