@@ -39,6 +39,8 @@ BLOCK = 8 << 20
 END, START, NONE = np.uint64(0x1D8E4E27C47D124F), np.int64(-2), np.int64(-1)
 #: At most so many histories count as hot: those of more than 1/HOT of all tokens.
 HOT = 10_000
+#: and of more tokens than this.
+HOT_TOKENS = 1_000_000
 
 
 def pack(x: np.ndarray) -> bytes:
@@ -183,9 +185,9 @@ def pair_rows(r: dict, buckets: int, uni: Unigrams) -> Iterator[pa.RecordBatch]:
     history_count[1:] = count[:-1]
     history_count[first] = 0  # of starts: known to the partition that counts them
     lone = before == NONE
-    fixed = np.bincount(doc[lone], np.log10(uni.p(count[lone])), minlength=n)
+    fixed = np.bincount(doc[lone], np.log10(uni.p(count[lone])), minlength=n).astype(np.float64)
     h, w, c, d, hc = before[~lone], number[of][~lone], count[~lone], doc[~lone], history_count[~lone]
-    hot = hc > max(1_000_000, big // HOT)
+    hot = hc > max(HOT_TOKENS, big // HOT)
     hot |= h == START
     spread = mix(h.astype(np.uint64) + np.uint64(7))
     spread = np.where(hot, mix(spread ^ w.astype(np.uint64)), spread)
@@ -259,7 +261,7 @@ def count_pairs(batches: Iterator[pa.RecordBatch], uni: Unigrams, starts: int) -
         lo, hi = edge[i], edge[i + 1]
         tt, oh, n = t[lo:hi], of_hist[lo:hi], r["docs"]
         got = tt > 0
-        known = np.bincount(d[got], np.log10(tt[got] / full[oh[got]]), minlength=n)
+        known = np.bincount(d[got], np.log10(tt[got] / full[oh[got]]), minlength=n).astype(np.float64)
         small = got & (tt <= TOP)
         by = np.bincount(d[small] * TOP + tt[small] - 1, minlength=n * TOP).astype(np.uint32)
         u = ~got
