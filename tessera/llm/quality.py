@@ -4,8 +4,8 @@ A text is a bag of passages of `PASSAGE` words, covering it whole. A passage is
 bytes pair up by kind (letters, capitals, digits, blanks, single punctuation marks), by hashed words, and by a few
 shares (capitals, punctuation, repeated words, word length). An encoder (one hidden layer) maps it to a vector; a gated
 attention layer, tanh(Vh) * sigmoid(Uh), weighs the passages of a text; the weighted vector is scored by a logistic
-unit. Document labels train all parts together, by Adam in numpy, on at most `sample` labelled rows (a documented
-bound); every fourth of them only calibrates.
+unit. Document labels train all parts together, by Adam in numpy, on at most `sample` labelled rows of at most `longest`
+characters (documented bounds); every fourth of them only calibrates.
 
 Null or empty texts are one empty passage and get its score. With no labels or a single class, every score is that
 class's share. Rows with null or repeated ids get a row each; extra columns are kept by `score`.
@@ -164,12 +164,12 @@ def train(texts: list[str], labels: np.ndarray, epochs: int = 12, size: int = 64
     return net
 
 
-def learn(docs: DataFrame, labels: DataFrame, sample: int = 3000, held_out_mod: int = 4, held_out: int = 2) -> Attention:
-    """Train on at most about `sample` labelled rows that aren't held out."""
+def learn(docs: DataFrame, labels: DataFrame, sample: int = 3000, longest: int = 20_000, held_out_mod: int = 4, held_out: int = 2) -> Attention:
+    """Train on at most about `sample` labelled rows that aren't held out, of texts of at most `longest` characters."""
     lab = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & (fold("doc_id", held_out_mod) != held_out)).groupBy("doc_id").agg(F.max("quality").alias("quality"))
     lab = bounded(lab, sample, "doc_id").persist()
     n = lab.count()  # at most about `sample`, so small enough to broadcast
-    got = docs.where("text is not null").select("doc_id", "text").join(F.broadcast(lab), "doc_id").limit(2 * n + 1).orderBy("doc_id").toPandas() if n else None
+    got = docs.where((F.col("text").isNotNull()) & (F.length("text") <= longest)).select("doc_id", "text").join(F.broadcast(lab), "doc_id").limit(2 * n + 1).orderBy("doc_id").toPandas() if n else None
     lab.unpersist()
     return train([], np.zeros(0)) if got is None else train(got["text"].tolist(), got["quality"].to_numpy())
 

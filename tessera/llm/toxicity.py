@@ -7,7 +7,7 @@ is that of its worst window, mapped to a probability on the documents learned fr
 
 Only documents are labelled, so training is multiple-instance: a toxic document is represented by its worst window, at
 first the one with the word of highest log-odds, then the one that the network scores highest; clean documents by random
-windows and those the network scores highest. Training uses at most `sample` labelled rows (a documented bound).
+windows and those the network scores highest. Training uses at most `sample` labelled rows of at most `longest` characters (documented bounds).
 
 Null or empty texts, and texts without letters, have no window and get the score of an empty window. With no labels or a
 single class to learn from, every score is that class's share. Rows with null or repeated ids get a row each; extra
@@ -375,12 +375,12 @@ def platt(x: np.ndarray, y: np.ndarray, steps: int = 200) -> tuple[float, float]
     return float(b[0] / scale), float(b[1] - b[0] * mid / scale)
 
 
-def learn(docs: DataFrame, labels: DataFrame, sample: int = 4000, held_out_mod: int = 5) -> Network:
-    """Train on at most about `sample` labelled rows that aren't held out."""
+def learn(docs: DataFrame, labels: DataFrame, sample: int = 4000, longest: int = 20_000, held_out_mod: int = 5) -> Network:
+    """Train on at most about `sample` labelled rows that aren't held out, of texts of at most `longest` characters."""
     lab = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & (fold("doc_id", held_out_mod) != 0)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     lab = bounded(lab, sample, "doc_id").persist()
     n = lab.count()  # at most about `sample`, so small enough to broadcast
-    got = docs.where("text is not null").select("doc_id", "text").join(F.broadcast(lab), "doc_id").limit(2 * n + 1).orderBy("doc_id").toPandas() if n else None
+    got = docs.where((F.col("text").isNotNull()) & (F.length("text") <= longest)).select("doc_id", "text").join(F.broadcast(lab), "doc_id").limit(2 * n + 1).orderBy("doc_id").toPandas() if n else None
     lab.unpersist()
     if got is None:
         return constant(0.5)
