@@ -104,3 +104,9 @@ def overlap(dims: list[str], a: str, b: str) -> Column:
 
 def variances(df: DataFrame, dims: list[str]) -> DataFrame:
     return df.agg(*[F.var_pop(F.col(d).cast("double")).alias(f"var_{d}") for d in dims])
+
+
+def widest_variance(df: DataFrame, dims: list[str]) -> int:
+    """The dimension of largest variance; of equal ones the first."""
+    v = variances(df, dims).first()
+    return max(range(len(dims)), key=lambda i: (v[f"var_{dims[i]}"], -i))

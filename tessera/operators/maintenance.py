@@ -131,3 +131,35 @@ def decisions(inputs: DataFrame, policy: Policy) -> DataFrame:
     action = F.when(pending & ((many | share) | (F.col("pending_rows") >= policy.append_rows)), "rebuild").when(pending, "append").when(many | share, "compact").otherwise("none")
     reason = F.when(pending & (many | share), "append_and_compaction_reached").when(F.col("pending_rows") >= policy.append_rows, "append_rows_reached").when(pending, "pending_rows").when(many, "tombstone_count_reached").when(share, "tombstone_ratio_reached").otherwise("nothing_pending")
     return inputs.select("*", ratio.alias("tombstone_ratio"), action.alias("action"), reason.alias("reason"))
+
+
+@dataclass(frozen=True)
+class RebuildPlan:
+    """What a rewrite reads and writes, checked for consistency before it runs."""
+
+    base_rows: int
+    appended: int
+    removed: int
+
+    def __post_init__(self):
+        if self.base_rows < 1:
+            raise PolicyError("no base rows")
+        if min(self.appended, self.removed) < 0:
+            raise PolicyError("negative counts")
+        if self.appended == self.removed == 0:
+            raise PolicyError("nothing to do")
+        if self.removed >= self.base_rows + self.appended:
+            raise PolicyError("no rows would be left")
+
+    @property
+    def resulting_rows(self) -> int:
+        return self.base_rows + self.appended - self.removed
+
+
+def planned_rewrite(archive: Archive) -> RebuildPlan:
+    """The plan of a rebuild: ids that no row has don't count as removed."""
+    rows = archive.data().select(ROW_ID)
+    if (d := archive.delta()) is not None:
+        rows = rows.union(d.select(ROW_ID))
+    gone = archive.tombstones()
+    return RebuildPlan(archive.manifest.rows, archive.manifest.delta_rows, 0 if gone is None else rows.join(gone, ROW_ID, "left_semi").count())

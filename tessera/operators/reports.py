@@ -13,9 +13,13 @@ from pyspark.sql import functions as F
 from tessera.functions.boxes import Box, bounds
 from tessera.functions.schema import ROW_ID
 from tessera.sources import generators
+from tessera.sources.archive import Archive
 
 from .index import Index
 from .layout import BuildConfig, node_table
+from .maintenance import Policy, maintain
+from .predicates import Predicate
+from .table import Table
 
 #: Rows in a leaf and children of a node of the packed (R-tree) layout; rows in a leaf of the alternating (KD) layout.
 PACK_LEAF, PACK_FAN, KD_LEAF = 16, 8, 8
@@ -173,3 +177,39 @@ def compared(index: Index, points: DataFrame, region: Box, iterations: int = 3)
 
 def kd_nodes(points: DataFrame, dims: list[str]) -> DataFrame:
     return node_table(kd_layout(points, dims), dims)
+
+
+# --- typed and archive comparisons -----------------------------------------------------------------------------------
+
+
+def compared_typed(table: Table, asked: list[Predicate], iterations: int = 3) -> dict:
+    """A typed query with and without the planner: equal answers under each contract, and times."""
+    flat = sorted(r[0] for r in table.row_ids(asked).collect())
+    plan = sorted(r[0] for r in table.row_ids(asked, planned=True).collect())
+    agree = flat == plan and table.count(asked, planned=True).first()[0] == len(flat) and table.exists(asked, planned=True).first()[0] == bool(flat)
+    t = measured({"flat": lambda: table.count(asked).collect(), "planned": lambda: table.count(asked, planned=True).collect()}, iterations)
+    e = measured({"flat": lambda: table.exists(asked).collect(), "planned": lambda: table.exists(asked, planned=True).collect()}, iterations)
+    return {"agreement": agree, "matched": len(flat), "flat_seconds": t["flat"], "planned_seconds": t["planned"], "exists_flat_seconds": e["flat"], "exists_planned_seconds": e["planned"]}
+
+
+def compared_archive(make: Callable[[], Archive], asked: list[Predicate], policy: Policy) -> dict:
+    """Load, pending-delta query, maintenance: the answer must be the same before and after; with the time of each."""
+    a = make()
+    seconds = {}
+
+    def timed(name: str, f: Callable[[], object]) -> object:
+        t = time.perf_counter()
+        out = f()
+        seconds[name] = time.perf_counter() - t
+        return out
+
+    loaded = timed("load", lambda: Archive.load(a.spark, a.root, check=True))
+    before = timed("query_before", lambda: sorted(r[0] for r in loaded.table().row_ids(asked).collect()))
+    after, decision = timed("maintain", lambda: maintain(loaded, policy))
+    got = timed("query_after", lambda: sorted(r[0] for r in after.table().row_ids(asked).collect()))
+    return {"agreement": before == got, "matched": len(got), "action": decision.action, "reason": decision.reason, **{f"{k}_seconds": v for k, v in seconds.items()}}
+
+
+def footprint_comparison(one: dict, other: dict) -> dict:
+    """Two footprints side by side: `other` as a multiple of `one`."""
+    return {f"{k}_ratio": (other[k] / one[k] if one[k] else float("inf")) for k in one if isinstance(one[k], (int, float)) and k in other}

@@ -144,9 +144,13 @@ class Table:
         got = self.rows(predicates).agg(F.count("*").alias("matched_records"))
         return total.join(seen).join(got).select("total_records", "candidate_records", "matched_records", F.when(F.col("total_records") > 0, F.col("candidate_records") / F.col("total_records")).otherwise(0.0).alias("candidate_ratio"))
 
+    def record(self, row_id: int) -> DataFrame:
+        """The record of one row id, or none."""
+        return self.scan().where(F.col(ROW_ID) == row_id)
+
     def value_of(self, row_id: int, name: str | int) -> DataFrame:
         """One field of one record."""
-        return self.scan().where(F.col(ROW_ID) == row_id).select(self.schema[name].name)
+        return self.record(row_id).select(self.schema[name].name)
 
 
 def statistics_of(base: DataFrame, schema: Schema, dictionaries: dict[str, Dictionary], nodes: int, leaves: int) -> Statistics:

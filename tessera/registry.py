@@ -12,7 +12,7 @@ from tessera.functions import boxes, encoders
 from tessera.functions.boxes import Box
 from tessera.functions.encoders import DimensionMapping, RecordEncoder
 from tessera.functions.schema import ROW_ID, Field, Kind, Schema, milliseconds, typed
-from tessera.operators import layout, maintenance, reports
+from tessera.operators import csv_lifecycle, layout, maintenance, reports
 from tessera.operators.index import Index
 from tessera.operators.layout import BuildConfig
 from tessera.operators.predicates import Predicate, plan
@@ -20,6 +20,7 @@ from tessera.operators.table import Table, statistics_of
 from tessera.plans.planner import Contract, choose
 from tessera.sources import csv, generators
 from tessera.sources.archive import Archive, content_hash
+from tessera.streaming.delta import append_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -642,6 +643,67 @@ def _(s, d):
     return Archive.create(s, folder(s), df, schema, config=BuildConfig(2)).table().scan()
 
 
+NATION = Schema([Field("n_nationkey", Kind.INTEGER), Field("n_name", Kind.CATEGORY), Field("n_regionkey", Kind.INTEGER)])
+NATION_ID = csv.CsvOptions(row_id="n_nationkey")
+N_SQL = "SELECT CAST(n_nationkey AS BIGINT) AS row_id, CAST(n_nationkey AS BIGINT) AS n_nationkey, n_name, CAST(n_regionkey AS BIGINT) AS n_regionkey FROM nation"
+
+
+def nation_csv(s: SparkSession, d: str, where: str, *cols: str) -> str:
+    path = folder(s)
+    df = read(s, d, "nation").where(where)
+    (df.select(*cols) if cols else df).coalesce(1).write.option("header", True).csv(path)
+    return path
+
+
+def nation_archive(s: SparkSession, d: str) -> Archive:
+    return csv_lifecycle.create(s, folder(s), nation_csv(s, d, "n_nationkey < 20"), NATION, NATION_ID, ["n_regionkey", "n_nationkey"], BuildConfig(4))
+
+
+@query("csv_append", N_SQL)
+def _(s, d):
+    return csv_lifecycle.append(nation_archive(s, d), nation_csv(s, d, "n_nationkey >= 20"), NATION_ID).table().scan()
+
+
+@query("csv_delta_and_tombstones", f"SELECT * FROM ({N_SQL}) WHERE row_id % 5 <> 0")
+def _(s, d):
+    a = csv_lifecycle.delta(nation_archive(s, d), nation_csv(s, d, "n_nationkey >= 20"), NATION_ID)
+    return csv_lifecycle.tombstones(a, nation_csv(s, d, "n_nationkey % 5 = 0", "n_nationkey"), NATION_ID).table().scan()
+
+
+@query("csv_maintain", f"SELECT * FROM ({N_SQL}) WHERE row_id % 5 <> 0")
+def _(s, d):
+    a, _ = csv_lifecycle.maintain(nation_archive(s, d), maintenance.Policy(1, 1, 1), nation_csv(s, d, "n_nationkey >= 20"), nation_csv(s, d, "n_nationkey % 5 = 0", "n_nationkey"), NATION_ID)
+    return a.data().select(ROW_ID, *NATION.names)
+
+
+@query("rebuild_plan", "SELECT count(*) FILTER (WHERE o_orderkey % 10 < 8) AS base_rows, count(*) FILTER (WHERE o_orderkey % 10 >= 8) AS appended, count(*) FILTER (WHERE o_orderkey % 7 = 0) AS removed, count(*) FILTER (WHERE o_orderkey % 7 <> 0) AS resulting_rows FROM orders")
+def _(s, d):
+    p = maintenance.planned_rewrite(lifecycle(s, d))
+    return s.createDataFrame([(p.base_rows, p.appended, p.removed, p.resulting_rows)], "base_rows long, appended long, removed long, resulting_rows long")
+
+
+@query("stream_into_delta", O_SQL)
+def _(s, d):
+    every = orders(s, d)
+    a = archived(s, d, every.where(F.pmod(ROW_ID, F.lit(10)) < 8))
+    path = folder(s)
+    every.where(F.pmod(ROW_ID, F.lit(10)) >= 8).write.parquet(path)
+    append_stream(s.readStream.schema(ORDERS.spark()).parquet(path), a.root, folder(s)).awaitTermination()
+    return Archive.load(s, a.root).table().scan()
+
+
+@query("archive_comparison", f"SELECT true AS agreement, count(*) AS matched, 'rebuild' AS action FROM ({O_SQL}) WHERE {WHERE} AND row_id % 7 <> 0")
+def _(s, d):
+    r = reports.compared_archive(lambda: lifecycle(s, d), [PRICE, STATUS], maintenance.Policy(1, 1, 1))
+    return s.createDataFrame([(r["agreement"], r["matched"], r["action"])], "agreement boolean, matched long, action string")
+
+
+@query("typed_comparison", f"SELECT true AS agreement, count(*) AS matched FROM ({O_SQL}) WHERE {WHERE}")
+def _(s, d):
+    r = reports.compared_typed(planned(s, d), [PRICE, STATUS], 1)
+    return s.createDataFrame([(r["agreement"], r["matched"])], "agreement boolean, matched long")
+
+
 # --- generators, baselines, reports ----------------------------------------------------------------------------------
 
 
