@@ -10,7 +10,7 @@ REGISTRY = {
     "op10_katz": ("katz", None),
     "op2_language_id": ("language_id", None),
     "op3_token_counts": ("token_counts", None),
-    "op4_embedding_dedup": ("embedding_dedup", None),
+    "op4_embedding_dedup": ("embedding_dedup", "OP4_SQL"),
     "op5_quality": ("quality", None),
     "op6_decontamination": ("decontamination", "OP6_SQL"),
     "op7_sentencepiece": ("sentencepiece_fst", None),
