@@ -15,8 +15,15 @@ from pyspark.sql import types as T
 BROADCAST_ROWS = 1_000_000
 
 
+#: Rows and bytes of an Arrow batch on its way to Python, where the session still has Spark's own (far larger) defaults.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "2000"), "spark.sql.execution.arrow.maxBytesPerBatch": (str(2**26), str(8 << 20))}
+
+
 def prepare(spark: SparkSession) -> SparkSession:
-    """Let Python workers import this package wherever the driver was started."""
+    """Let Python workers import this package wherever the driver was started, and bound the batches that they get."""
+    for key, (default, ours) in BATCH.items():
+        if spark.conf.get(key) in (default, f"{default}b"):
+            spark.conf.set(key, ours)
     root = str(Path(__file__).resolve().parents[2])
     env = spark.sparkContext.environment
     parts = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]

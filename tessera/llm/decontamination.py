@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table
+from .common import prepare, read_table
 from .textcore import blocks, mix, shingle_sets
 
 CONTAINED = 0.8
@@ -98,6 +98,7 @@ def item_blocks(items: DataFrame, contained: float) -> Iterator[Items]:
 
 def contaminated(spark: SparkSession, docs: DataFrame, items: DataFrame, contained: float = CONTAINED) -> DataFrame:
     """(doc_id, item_id, item_shingles, shared) of each document that contains an item."""
+    prepare(spark)
     schema = "doc_id long, item_id long, item_shingles int, shared int"
     own = docs.select("doc_id", "text")
 
@@ -119,6 +120,7 @@ def contaminated(spark: SparkSession, docs: DataFrame, items: DataFrame, contain
 
 def decontaminate(spark: SparkSession, docs: DataFrame, items: DataFrame, contained: float = CONTAINED) -> DataFrame:
     """docs without the documents that contain an item; one pass a block of items, no shuffle of texts."""
+    prepare(spark)
     for t in item_blocks(items, contained):
         held = spark.sparkContext.broadcast(t)
         schema = docs.schema

@@ -27,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import read_table
+from .common import prepare, read_table
 from .html_pages import annotated
 from .textcore import blocks
 
@@ -313,6 +313,7 @@ def learn(pages: int = 900, seed: int = 1) -> Extractor:
 
 def extract(spark: SparkSession, pages: DataFrame, model: Extractor) -> DataFrame:
     """(page_id, url, text, n_chars) of every row of pages."""
+    prepare(spark)
     shared = spark.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import drop_path, fold, read_table, write_table
+from .common import drop_path, fold, prepare, read_table, write_table
 from .textcore import Block, blocks, bounds, mix, words
 
 TOP = 5
@@ -338,6 +338,7 @@ def summed(df: DataFrame) -> list[int]:
 
 def score_texts(spark: SparkSession, docs: DataFrame, train) -> DataFrame:
     """Scores of every row of docs(doc_id, text); train: a boolean Column, whether a row is learned from."""
+    prepare(spark)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce(train, F.lit(True)).alias("train"))
     counts = docs.mapInArrow(partial(word_counts, buckets=n), "bucket int, block long, keys binary, counts binary")

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import appended, fold, read_table
+from .common import appended, fold, prepare, read_table
 from .textcore import LOWER, Block, blocks
 
 ORDERS = (3, 4, 5)
@@ -150,6 +150,7 @@ def learn(docs: DataFrame, sample: int = 1000, held_out_mod: int = 5) -> Filters
 
 def identify(spark: SparkSession, docs: DataFrame, model: Filters) -> DataFrame:
     """docs with lang_pred, score and evidence appended."""
+    prepare(spark)
     shared = spark.sparkContext.broadcast(model)  # bounded: 2**bits positions for each order and 64 languages
     own = docs.drop("lang_pred", "score", "evidence")
 

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, components, read_table, write_table
+from .common import BROADCAST_ROWS, components, prepare, read_table, write_table
 from .textcore import blocks, mix, shingle_sets
 
 BANDS, ROWS, BATCH = 20, 5, 16
@@ -245,6 +245,7 @@ def dealt(rows: DataFrame, keys: list[str], count: str, block: int) -> DataFrame
 def labelled(spark: SparkSession, docs: DataFrame, percent: int = 85) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row of docs(doc_id, text); links: 100 * intersection >=
     percent * union."""
+    prepare(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sketch, _ = write_table(spark, docs.mapInArrow(sketches, "doc_id long, n long, f1 long, f2 long, sig binary"), "sketch")
     classes = sketch.where("n > 0 and doc_id is not null").groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("rep"))

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import appended, bounded, fold, read_table
+from .common import appended, bounded, fold, prepare, read_table
 from .textcore import SPACE, Block, blocks, bounds, hash_spans, spans
 from .toxicity import F32, Adam, blocks_of, platt, sigmoid
 
@@ -176,6 +176,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = 3000, longest: int =
 
 def score(spark: SparkSession, docs: DataFrame, net: Attention) -> DataFrame:
     """docs with score (0 to 1) appended."""
+    prepare(spark)
     shared = spark.sparkContext.broadcast(net)
     own = docs.drop("score")
 

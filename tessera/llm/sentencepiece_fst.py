@@ -26,16 +26,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import appended, read_table
+from .common import appended, prepare, read_table
 from .textcore import STEP, blocks, mix
 
 BLANK = "▁"
 CHUNK = re.compile(f"{BLANK}+[^{BLANK}]*")
 #: Arcs and chunks kept in a worker; characters of chunks that advance together; chunks over LONG are cut further.
-ARCS, KEPT, CELLS, LONG = 1_200_000, 500_000, 1 << 18, 64
+ARCS, KEPT, CELLS, LONG = 1_200_000, 250_000, 1 << 17, 64
 SLOTS = 1 << 20
 HASH = np.uint64(0xD1342543DE82EF95)
-BLOCK = 4 << 20
+BLOCK = 2 << 20
 
 
 def fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -411,6 +411,7 @@ def run(batches: Iterator[pa.RecordBatch], name: str) -> Iterator[pa.RecordBatch
 
 def encode(docs: DataFrame, name: str = "piece_bpe_32k.model") -> DataFrame:
     """docs with ids, n_tokens and decoded (the text that the ids decode to) appended."""
+    prepare(docs.sparkSession)
     own = docs.drop("ids", "n_tokens", "decoded")
     return own.mapInArrow(partial(run, name=name), appended(own, ids="array<int>", n_tokens="long", decoded="string"))
 

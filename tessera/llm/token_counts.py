@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table
+from .common import prepare, read_table
 from .textcore import Block, blocks
 
 #: The published split pattern of byte-level BPE (a fixed value).
@@ -137,6 +137,7 @@ def by_document(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.Re
 
 def count_tokens(docs: DataFrame, name: str = "byte_bpe_50k.json", limit: int = 512) -> DataFrame:
     """(doc_id, n_bytes, n_tokens, over_limit) of every row of docs(doc_id, text)."""
+    prepare(docs.sparkSession)
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     tables = docs.select("doc_id", "text").mapInArrow(partial(block_tables, name=name, buckets=n), FREQ)
     sums = tables.repartition(n, "bucket").mapInArrow(partial(partial_sums, name=name), "block long, ids array<bigint>, n_bytes binary, special binary, sums binary")

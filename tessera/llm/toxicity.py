@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import appended, bounded, fold, read_table
+from .common import appended, bounded, fold, prepare, read_table
 from .textcore import LETTER, LOWER, Block, blocks, bounds, hash_spans, mix, spans
 
 SPAN, STEP = 24, 16
@@ -389,6 +389,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = 4000, longest: int =
 
 def score(spark: SparkSession, docs: DataFrame, net: Network) -> DataFrame:
     """docs with score (0 to 1) appended."""
+    prepare(spark)
     shared = spark.sparkContext.broadcast(net)
     own = docs.drop("score")
 
