@@ -80,11 +80,13 @@ def components(spark: SparkSession, edges: DataFrame, rounds: int = 60) -> DataF
     mark = lambda d: tuple(d.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.xxhash64("u", "v") % 1_000_003)).first())
     seen = mark(cur)
     for _ in range(rounds if seen[0] else 0):
+        # the exclusive or with 0 hides that the minima are partitioned by u already: both sides of each join then have
+        # a shuffle of their own, and Spark can split a hub's edges among tasks
         both = cur.union(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        low = both.groupBy("u").agg(F.min("v").alias("v")).select(F.col("u").bitwiseXOR(F.lit(0)).alias("u"), F.least("u", "v").alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = large.where("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        low = large.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").bitwiseXOR(F.lit(0)).alias("u"), "m")
         small = large.join(low, "u").select(F.explode(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))).alias("e"))
         nxt, npath = write_table(spark, small.select(F.col("e.v").alias("u"), F.col("e.m").alias("v")).where("u <> v").distinct(), "cc")
         now = mark(nxt)
