@@ -10,7 +10,7 @@
 4. Components of the verified links, with the smallest id of each.
 
 Buckets and components larger than a block are split: rows are dealt to pairs of blocks, so that no task holds an
-unbounded group. No pair of different texts that agrees in a band is lost but for `MISS`; texts at the threshold 0.85
+unbounded group; a component's blocks are bounded by shingles too, and no task gathers texts. No pair of different texts that agrees in a band is lost but for `MISS`; texts at the threshold 0.85
 agree in one of the bands with probability 1 - (1 - 0.85^5)^20 > 0.99999.
 
 Null or empty texts have no shingles, link with nothing and are their own component; so are rows with a null id, whose
@@ -25,7 +25,7 @@ from functools import cache, partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import BROADCAST_ROWS, components, prepare, read_table, write_table
@@ -36,6 +36,10 @@ MINIMA = BANDS * ROWS
 MISS = 1e-6
 #: Members of a bucket, and of a component (with their texts), that one task compares with as many others.
 BUCKET_BLOCK, TEXT_BLOCK = 1024, 256
+#: Shingles of a component that one such block holds on average, where its texts are long.
+SHINGLE_BLOCK = 1 << 22
+#: Groups of a sorted stream are handed on together up to about so many bytes.
+GROUP_BYTES = 64 << 20
 _RNG = np.random.default_rng(8)
 _A = _RNG.integers(1, 2**31, MINIMA, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 _B = _RNG.integers(0, 2**32, MINIMA, dtype=np.uint32)
@@ -111,27 +115,36 @@ def merge(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def groups(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...], size: int = 1 << 15) -> Iterator[pa.RecordBatch]:
-    """Record batches that hold whole groups of a stream sorted by keys, small groups together."""
+    """Record batches that hold whole groups of a stream sorted by keys, small groups together: up to about `size` rows
+    or GROUP_BYTES."""
     held: list[pa.RecordBatch] = []
-    rows = 0
+    rows = volume = 0
     for batch in batches:
         if not batch.num_rows:
             continue
         change = starts_of(batch, keys)[1:-1]
         if held and any(held[-1].column(k)[-1].as_py() != batch.column(k)[0].as_py() for k in keys):
             change = np.concatenate([[0], change])
-        if len(change) and rows + batch.num_rows >= size:
+        if len(change) and (rows + batch.num_rows >= size or volume + batch.nbytes >= GROUP_BYTES):
             cut = int(change[-1])
             yield joined([*held, batch.slice(0, cut)])
-            held, rows, batch = [], 0, batch.slice(cut)
+            held, rows, volume, batch = [], 0, 0, batch.slice(cut)
         held.append(batch)
         rows += batch.num_rows
+        volume += batch.nbytes
     if held:
         yield joined(held)
 
 
 def joined(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
-    return pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
+    """One batch of all parts' rows, with 64-bit offsets: texts or bytes over 2 GB don't fit into one chunk otherwise."""
+    wide = {pa.string(): pa.large_string(), pa.binary(): pa.large_binary()}
+    table = pa.Table.from_batches(parts)
+    table = table.cast(pa.schema([(f.name, wide.get(f.type, f.type)) for f in table.schema]))
+    got = table.combine_chunks().to_batches()
+    if len(got) != 1:
+        raise RuntimeError(f"a group of {table.num_rows} rows doesn't fit into one batch")
+    return got[0]
 
 
 def starts_of(batch: pa.RecordBatch, keys: tuple[str, ...]) -> np.ndarray:
@@ -184,14 +197,21 @@ def forests(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Reco
         yield pa.RecordBatch.from_arrays([pa.array(rep[own]), pa.array(rep[root[own]])], ["u", "v"])
 
 
+def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A stream with each text replaced by the bytes of its shingle set, so that no texts are gathered."""
+    for b in blocks(batches):
+        sets = pa.array([s.tobytes() for s in shingle_sets(b)], pa.large_binary())
+        yield pa.RecordBatch.from_arrays([sets if n == "text" else b.rows.column(n) for n in b.rows.schema.names], b.rows.schema.names)
+
+
 def verified(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     """Spanning forests of the exact links inside each component (or pair of its blocks)."""
-    for batch in groups(batches, ("comp", "bi", "bj"), 2048):
+    for batch in groups(shingled(batches), ("comp", "bi", "bj"), 2048):
         if not batch.num_rows:
             continue
         at = starts_of(batch, ("comp", "bi", "bj"))
         rep, side = (batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("rep", "side"))
-        sets = [s for b in blocks(iter([batch])) for s in shingle_sets(b)]
+        sets = [np.frombuffer(s.as_buffer(), np.uint64) for s in batch.column("text")]
         u, v = [], []
         for lo, hi in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
             root = exact_links(sets[lo:hi], side[lo:hi], percent)
@@ -232,10 +252,13 @@ def exact_links(sets: list[np.ndarray], side: np.ndarray, percent: int) -> np.nd
     return root
 
 
-def dealt(rows: DataFrame, keys: list[str], count: str, block: int) -> DataFrame:
+def dealt(rows: DataFrame, keys: list[str], count: str, block: int, volume: Column | None = None) -> DataFrame:
     """Rows of groups over `block` members go to every pair of blocks that theirs is part of: bi, bj, and side (0 in a
-    pair of a block with itself, else 1 or 2)."""
+    pair of a block with itself, else 1 or 2). With volume, the blocks that a group's volume takes, there are as many
+    where that is more, up to one for each member."""
     nb = F.ceil(F.col(count) / block).cast("int")
+    if volume is not None:
+        nb = F.greatest(nb, F.least(volume, F.col(count)).cast("int"))
     own = rows.withColumn("nb", nb).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("nb")).cast("int"))
     wide = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
     wide = wide.withColumns({"bi": F.least("own", "other"), "bj": F.greatest("own", "other"), "side": F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2)})
@@ -256,12 +279,13 @@ def labelled(spark: SparkSession, docs: DataFrame, percent: int = 85) -> DataFra
     member = bands.join(shared, ["band", "key"]).join(reps.select("rep", "n", "sig"), "rep")
     edges = dealt(member, ["band", "key"], "members", BUCKET_BLOCK).select("band", "key", "bi", "bj", "side", "rep", "n", "sig").mapInArrow(partial(forests, percent=percent), "u long, v long")
     coarse, _ = write_table(spark, components(spark, edges), "coarse")
-    sizes = coarse.groupBy("component").agg(F.count("*").alias("members"))
-    where = coarse.join(sizes, "component").select(F.col("node").alias("doc_id"), F.col("component").alias("comp"), "members")
+    volume = coarse.join(reps.select(F.col("rep").alias("node"), "n"), "node").groupBy("component").agg(F.sum("n").alias("volume"))
+    sizes = coarse.groupBy("component").agg(F.count("*").alias("members")).join(volume, "component")
+    where = coarse.join(sizes, "component").select(F.col("node").alias("doc_id"), F.col("component").alias("comp"), "members", "volume")
     if coarse.count() <= BROADCAST_ROWS:  # checked size; beyond it the join shuffles
         where = F.broadcast(where)
     texts = docs.where("doc_id is not null").join(where, "doc_id").withColumnRenamed("doc_id", "rep")
-    links = dealt(texts, ["comp"], "members", TEXT_BLOCK).select("comp", "bi", "bj", "side", "rep", "text").mapInArrow(partial(verified, percent=percent), "u long, v long")
+    links = dealt(texts, ["comp"], "members", TEXT_BLOCK, F.ceil(F.col("volume") / SHINGLE_BLOCK)).select("comp", "bi", "bj", "side", "rep", "text").mapInArrow(partial(verified, percent=percent), "u long, v long")
     final, _ = write_table(spark, components(spark, links), "final")
     named = reps.join(final.select(F.col("node").alias("rep"), "component"), "rep", "left").select("f1", "f2", "n", F.coalesce("component", "rep").alias("component"))
     out = sketch.select("doc_id", "n", "f1", "f2").join(named.dropDuplicates(["f1", "f2", "n"]), ["f1", "f2", "n"], "left")

@@ -439,6 +439,62 @@ def test_large_groups_are_split(spark, monkeypatch):
     assert got == near_brute(docs, 85)
 
 
+def test_groups_are_bounded_by_bytes_and_whole(monkeypatch):
+    monkeypatch.setattr(near_dedup, "GROUP_BYTES", 40_000)
+    parts = [pa.RecordBatch.from_pydict({"comp": [i // 3, (i + 1) // 3], "text": ["x" * 10_000] * 2}) for i in range(0, 60, 2)]
+    got = list(near_dedup.groups(iter(parts), ("comp",), 2048))
+    assert sum(b.num_rows for b in got) == 60 and len(got) >= 10
+    whole = [set(b.column("comp").to_pylist()) for b in got]
+    assert sum(map(len, whole)) == len(set().union(*whole))
+    assert all(b.schema.field("text").type == pa.large_string() for b in got)
+
+
+def test_rows_are_never_dropped_in_joining(monkeypatch):
+    class Split:
+        """A table whose chunks can't be combined, as one of over 2 GB."""
+
+        def __init__(self, table):
+            self.table, self.schema, self.num_rows = table, table.schema, table.num_rows
+
+        from_batches = classmethod(lambda cls, parts: cls(pa.Table.from_batches(parts)))
+        cast = combine_chunks = lambda self, *_: self
+
+        def to_batches(self):
+            return self.table.to_batches()
+
+    parts = [pa.RecordBatch.from_pydict({"text": ["a"]}), pa.RecordBatch.from_pydict({"text": ["b"]})]
+    assert near_dedup.joined(parts).num_rows == 2
+    fake = type("Arrow", (), {"__getattr__": lambda _, k: Split if k == "Table" else getattr(pa, k)})()
+    monkeypatch.setattr(near_dedup, "pa", fake)
+    with pytest.raises(RuntimeError):
+        near_dedup.joined(parts)
+
+
+def test_components_of_long_texts_are_split(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "SHINGLE_BLOCK", 600)
+    most = []
+    own = near_dedup.dealt
+
+    def dealt(rows, keys, *rest):
+        out = own(rows, keys, *rest)
+        if keys == ["comp"]:
+            most.append(out.groupBy("comp", "bi", "bj").count().agg(F.max("count")).first()[0])
+        return out
+
+    monkeypatch.setattr(near_dedup, "dealt", dealt)
+    r = random.Random(10)
+    base = sentence(r, 150).split()
+    docs = []
+    for i in range(40):
+        w = list(base)
+        for _ in range(r.randint(0, 4)):
+            w[r.randrange(len(w))] = f"e{r.randint(0, 9)}"
+        docs.append((i, " ".join(w)))
+    got = {x["doc_id"]: x["component_id"] for x in near_dedup.labelled(spark, spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == near_brute(docs, 85)
+    assert 0 < most[0] < 30
+
+
 def test_near_duplicates_awkward(spark, awkward, empty):
     assert near_dedup.labelled(spark, empty).count() == 0
     got = near_dedup.labelled(spark, awkward).collect()
