@@ -34,10 +34,26 @@ def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each group of near-duplicates: the rows with the smallest id. Rows with a null id stay."""
-    labels = near_dedup.labelled(spark, docs, SIMILAR).where("not kept").select("doc_id").distinct()
-    gone, _ = write_table(spark, labels, "gone")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """Keep exactly one row of each group of near-duplicates, whatever its id: one with the smallest id, or with a null
+    id where the group has no other. Rows without words are no duplicates."""
+    row = unused("row", docs)
+    # written, so that each row has one number in all that follows
+    rows, _ = write_table(spark, docs.withColumn(row, F.monotonically_increasing_id()), "rows")
+    labels = near_dedup.labelled(spark, rows.select(F.col(row).alias("doc_id"), "text"), SIMILAR)
+    groups, _ = write_table(spark, labels.select(F.col("doc_id").alias(row), F.col("component_id").alias("group")), "groups")
+    best = groups.join(rows.select(row, "doc_id"), row).groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", row))[row].alias(row))
+    other = best.where(F.col(row) != F.col("group"))  # stays in place of the row that names the group
+    rest = groups.where(F.col(row) != F.col("group")).select(row).join(other.select(row), row, "left_anti")
+    gone, _ = write_table(spark, rest.union(other.select("group")), "gone")
+    return rows.join(gone, row, "left_anti").select(*docs.columns)
+
+
+def unused(name: str, docs: DataFrame) -> str:
+    """A column name that docs doesn't have."""
+    taken = {c.lower() for c in docs.columns}
+    while name in taken:
+        name += "_"
+    return name
 
 
 def uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
