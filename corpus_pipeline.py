@@ -57,8 +57,8 @@ def unused(name: str, docs: DataFrame) -> str:
 
 
 def uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents that contain a benchmark item."""
-    return decontamination.decontaminate(spark, docs, read_table(spark, sf_dir, "benchmark"))
+    """Drop documents that contain a benchmark item; one of fewer than five words as a run of words anywhere."""
+    return decontamination.decontaminate(spark, docs, read_table(spark, sf_dir, "benchmark"), runs=True)
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

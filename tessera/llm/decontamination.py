@@ -7,7 +7,9 @@ m = the shingles that an item of the partition's largest size may lack, a sketch
 found can't miss an item, so recall is exact. Candidates are verified on full shingle sets.
 
 The items are a stated query set, compared in blocks of `ITEMS` with all documents in one pass a block. Items and
-documents with null or empty text have no shingles and match nothing; those of fewer than five words are one shingle.
+documents with null or empty text have no shingles and match nothing; those of fewer than five words are one shingle,
+which the search finds in texts of the same words only. `decontaminate` can look such short items up as runs of words
+inside documents, and uses items with a null id too, which the search leaves out (it answers by id).
 Repeated items and documents each give their own rows. Extra columns are kept by `decontaminate` and ignored by the
 search.
 """
@@ -24,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import prepare, read_table
-from .textcore import blocks, mix, shingle_sets
+from .textcore import Block, blocks, mix, run_hashes, shingle_sets, words
 
 CONTAINED = 0.8
 #: Items compared in one pass over the documents; of at most ITEM_SHINGLES shingles in all: the broadcast's bound.
@@ -41,8 +43,10 @@ def lacking(size: int, contained: float) -> int:
 class Items:
     """Some test items: shingle sets, and the sketches of all as one sorted table."""
 
-    def __init__(self, ids: list[int], sets: list[np.ndarray], contained: float):
+    def __init__(self, ids: list[int], sets: list[np.ndarray], lengths: list[int], contained: float):
         self.ids, self.sets, self.contained = ids, sets, contained
+        #: Hashes of the items of fewer than five words, by number of words.
+        self.short = {k: np.unique(np.concatenate(own)) for k in range(1, 5) if (own := [s for s, n in zip(sets, lengths, strict=True) if n == k])}
         self.sizes = np.array([len(s) for s in sets], np.int64)
         need, keys, owner = [], [], []
         for i, s in enumerate(sets):
@@ -80,19 +84,31 @@ class Items:
         return out
 
 
+    def runs_found(self, block: Block) -> np.ndarray:
+        """Which of a block's documents hold a short item as a run of words."""
+        out = np.zeros(len(block), bool)
+        if self.short:
+            _, _, row, h = words(block)
+            for k, own in self.short.items():
+                at, v = run_hashes(row, h, k)
+                out[at[np.isin(v, own)]] = True
+        return out
+
+
 def item_blocks(items: DataFrame, contained: float) -> Iterator[Items]:
     """The items in blocks; read through the driver a block at a time."""
-    rows = items.where("item_id is not null and text is not null").select("item_id", "text").toLocalIterator()
+    rows = items.where("text is not null").select("item_id", "text").toLocalIterator()
     while part := list(islice(rows, ITEMS)):
-        sets, ids = [], []
+        sets, ids, lengths = [], [], []
         batch = pa.RecordBatch.from_pydict({"text": [r["text"] for r in part]}, schema=pa.schema([("text", pa.string())]))
         for b in blocks(iter([batch])):
             sets += shingle_sets(b)
+            lengths += np.bincount(words(b)[2], minlength=len(b)).tolist()
         ids = [r["item_id"] for r in part]
         i = 0
         while i < len(ids):
             j = i + max(1, int(np.searchsorted(np.cumsum([len(s) for s in sets[i:]]), ITEM_SHINGLES, side="right")))
-            yield Items(ids[i:j], sets[i:j], contained)
+            yield Items(ids[i:j], sets[i:j], lengths[i:j], contained)
             i = j
 
 
@@ -114,12 +130,13 @@ def contaminated(spark: SparkSession, docs: DataFrame, items: DataFrame, contain
 
         return own.mapInArrow(run, schema)
 
-    parts = [search(t) for t in item_blocks(items, contained)]
+    parts = [search(t) for t in item_blocks(items.where("item_id is not null"), contained)]
     return reduce(DataFrame.union, parts) if parts else spark.createDataFrame([], schema)
 
 
-def decontaminate(spark: SparkSession, docs: DataFrame, items: DataFrame, contained: float = CONTAINED) -> DataFrame:
-    """docs without the documents that contain an item; one pass a block of items, no shuffle of texts."""
+def decontaminate(spark: SparkSession, docs: DataFrame, items: DataFrame, contained: float = CONTAINED, runs: bool = False) -> DataFrame:
+    """docs without the documents that contain an item; one pass a block of items, no shuffle of texts. With runs, items
+    of fewer than five words are found inside longer documents, too."""
     prepare(spark)
     for t in item_blocks(items, contained):
         held = spark.sparkContext.broadcast(t)
@@ -127,7 +144,8 @@ def decontaminate(spark: SparkSession, docs: DataFrame, items: DataFrame, contai
 
         def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
             for b in blocks(batches):
-                yield b.rows.filter(pa.array([not held.value.found(s) for s in shingle_sets(b)], pa.bool_()))
+                short = held.value.runs_found(b) if runs else np.zeros(len(b), bool)
+                yield b.rows.filter(pa.array([not (x or held.value.found(s)) for s, x in zip(shingle_sets(b), short.tolist(), strict=True)], pa.bool_()))
 
         docs = docs.mapInArrow(run, schema)
     return docs

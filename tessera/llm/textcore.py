@@ -129,6 +129,16 @@ def bounds(row: np.ndarray, n: int) -> np.ndarray:
 _Q = np.uint64(0xD6E8FEB86659FD93)
 
 
+def run_hashes(row: np.ndarray, h: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, hash) of all runs of k words inside a row, hashed as shingle_sets hashes a text of those k words alone."""
+    n = max(len(h) - k + 1, 0)
+    v = np.full(n, k, np.uint64)
+    for j in range(k):
+        v = v * _Q + h[j : n + j]
+    own = row[:n] == row[len(row) - n :]
+    return row[:n][own], mix(v ^ STEP)[own]
+
+
 def shingle_sets(block: Block, k: int = 5) -> list[np.ndarray]:
     """Per row the sorted distinct hashes of its k-word shingles; of fewer words, one of the whole; of none, empty."""
     _, _, row, h = words(block)

@@ -23,3 +23,27 @@ def test_one_row_of_each_group_stays(spark):
     got = corpus_pipeline.distinct(spark, docs, "")
     assert got.columns == docs.columns
     assert Counter((x["doc_id"], x["text"]) for x in got.collect()) == Counter([(5, a), (None, b), (8, near), (8, d), (4, e), (None, f), (1, ""), (1, ""), (2, None)])
+
+
+def test_short_items_and_items_without_id_are_found_inside_documents(spark, tmp_path):
+    r = random.Random(3)
+    items = [(1, "Iota KAPPA"), (None, "theta  theta mu zeta"), (3, "omega"), (4, ""), (5, None), (None, prose(r, 20)), (7, prose(r, 30)), (None, None)]
+    docs = [(i, prose(r, r.randint(0, 25))) for i in range(150)]
+    docs += [(200 + k, f"{prose(r, 9)} {t or ''} {prose(r, 9)}") for k, (_, t) in enumerate(items)] + [(None, "omega"), (300, None), (301, "omegas iota"), (302, "kappa iota"), (303, "iota"), (303, "kappa")]
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    frame = spark.createDataFrame([(i, t, 1) for i, t in docs], "doc_id long, text string, item_id int").repartition(2)
+
+    def leaks(text):
+        w = (text or "").lower().split()
+        for _, t in items:
+            x = (t or "").lower().split()
+            k = min(len(x), 5)
+            own = {tuple(x[i : i + k]) for i in range(len(x) - k + 1)} if x else set()
+            if own and len(own & {tuple(w[i : i + k]) for i in range(len(w) - k + 1)}) >= 0.8 * len(own) - 1e-9:
+                return True
+        return False
+
+    got = corpus_pipeline.uncontaminated(spark, frame, str(tmp_path))
+    assert got.columns == frame.columns
+    want = Counter((i, t) for i, t in docs if not leaks(t))
+    assert Counter((x["doc_id"], x["text"]) for x in got.collect()) == want and 20 < sum(want.values()) < len(docs) - 6
