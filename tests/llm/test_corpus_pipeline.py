@@ -47,3 +47,17 @@ def test_short_items_and_items_without_id_are_found_inside_documents(spark, tmp_
     assert got.columns == frame.columns
     want = Counter((i, t) for i, t in docs if not leaks(t))
     assert Counter((x["doc_id"], x["text"]) for x in got.collect()) == want and 20 < sum(want.values()) < len(docs) - 6
+
+
+def test_texts_of_an_unlearned_language_are_dropped(spark):
+    r = random.Random(4)
+    mother = {"aa": WORDS, "bb": ["un", "dos", "tres", "cuatro", "cinco", "seis", "siete", "ocho"]}
+    rows = [(i, " ".join(r.choice(mother[k]) for _ in range(r.randint(8, 40))), k) for i, k in enumerate(r.choices(list(mother), k=120))]
+    # the other language shares the beginnings of some words with a learned one
+    other = ["alphorn", "betuwe", "gammel", "deltaag", "epistel", "zetmeel", "thermiek", "kapper", "lammeren", "museum"]
+    rows += [(1000 + i, " ".join(r.choice(other) for _ in range(r.randint(8, 40))), None) for i in range(40)]
+    rows += [(None, rows[0][1], None), (3, rows[0][1], "bb"), (2000, None, "aa"), (2001, "", None), (2002, "12 34", "aa")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = corpus_pipeline.language(spark, docs, "")
+    assert got.columns == docs.columns
+    assert Counter(tuple(x) for x in got.collect()) == Counter([*rows[:120], *rows[160:162]])
