@@ -2,12 +2,13 @@
 
 Each stage takes (spark, docs, sf_dir), works on all rows its predecessor kept and is written as Parquet before the next
 one reads it. All but the last return the columns of `documents`. SQL can't express the trained stages, so there is no
-ORACLE_SQL; the rules of each stage are tested against brute force.
+ORACLE_SQL; tests/llm/test_corpus_pipeline.py holds run() and the stages' decisions against brute force, on texts
+that the trained stages tell apart for certain.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import decontamination, language_id, near_dedup, sentencepiece_fst, toxicity
@@ -24,14 +25,16 @@ SIMILAR = 80
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep texts in a known language. The filters are learned from the rows at hand; a row's own language label doesn't
     decide on it."""
-    got = language_id.identify(spark, docs, language_id.learn(docs))
-    return got.where((F.col("lang_pred") != "und") & (F.col("evidence") >= LEAST_EVIDENCE)).select(*docs.columns)
+    own, back = aside(docs, "lang_pred", "score", "evidence")
+    got = language_id.identify(spark, own, language_id.learn(docs))
+    return got.where((F.col("lang_pred") != "und") & (F.col("evidence") >= LEAST_EVIDENCE)).select(*back)
 
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop toxic texts."""
-    got = toxicity.score(spark, docs, toxicity.learn(docs, read_table(spark, sf_dir, "labels")))
-    return got.where("score < 0.5").select(*docs.columns)
+    own, back = aside(docs, "score")
+    got = toxicity.score(spark, own, toxicity.learn(docs.select("doc_id", "text"), read_table(spark, sf_dir, "labels")))
+    return got.where("score < 0.5").select(*back)
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,6 +60,12 @@ def unused(name: str, docs: DataFrame) -> str:
     return name
 
 
+def aside(docs: DataFrame, *names: str) -> tuple[DataFrame, list[Column]]:
+    """docs with columns of these names renamed, out of the way of an operator's results, and the columns as they were."""
+    new = {c: unused(f"own_{c}", docs) for c in docs.columns if c.lower() in names}
+    return docs.withColumnsRenamed(new), [F.col(new.get(c, c)).alias(c) for c in docs.columns]
+
+
 def uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that contain a benchmark item; one of fewer than five words as a run of words anywhere."""
     return decontamination.decontaminate(spark, docs, read_table(spark, sf_dir, "benchmark"), runs=True)

@@ -5,6 +5,8 @@ from __future__ import annotations
 import random
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 
 WORDS = ["alpha", "beta", "gamma", "delta", "epsilon", "zeta", "eta", "theta", "iota", "kappa", "lambda", "mu"]
@@ -61,3 +63,49 @@ def test_texts_of_an_unlearned_language_are_dropped(spark):
     got = corpus_pipeline.language(spark, docs, "")
     assert got.columns == docs.columns
     assert Counter(tuple(x) for x in got.collect()) == Counter([*rows[:120], *rows[160:162]])
+
+
+def corpus() -> tuple[list, list, list, list]:
+    """(documents, labels, benchmark items, documents that must be left) with each stage's reasons to drop a row, nulls,
+    repeated rows and columns named like the stages' results."""
+    r = random.Random(6)
+    pool = ["".join(r.choice("bcdfghklmnprst") + r.choice("aeiou") for _ in range(r.randint(1, 3))) for _ in range(150)]
+    text = lambda n=40: " ".join(r.choice(pool) for _ in range(n))
+    items = [(1, text(25)), (None, text(18)), (3, "qwo vex"), (4, None)]
+    fine = [(i, text(r.randint(30, 60)), "aa") for i in range(400)]
+    toxic, labels = [], [(i, 0) for i in range(400)]
+    for i in range(400, 560):
+        w = text().split()
+        for _ in range(3):
+            w[r.randrange(len(w))] = r.choice(["zuxor", "vikka"])
+        toxic.append((i, " ".join(w), "aa"))
+        labels.append((i, 1))
+    copies = [(i + 600, fine[i][1], "aa") for i in range(20)] + [(600 + 20 + i, fine[i + 20][1] + " end", "aa") for i in range(20)] + [(None, fine[50][1], None), fine[60], fine[60]]
+    leaks = [(700 + k, f"{text(15)} {t} {text(15)}", "aa") for k, (_, t) in enumerate(items[:3])]
+    foreign = [(720 + i, " ".join("xyzqjw"[r.randrange(6)] * 3 + "wyjq"[r.randrange(4)] for _ in range(20)), None) for i in range(10)] + [(740, None, "aa"), (741, "", None), (742, "12 34", None)]
+    lone = text()
+    docs = [*fine, *toxic, *copies, *leaks, *foreign, (None, lone, None), (None, lone, None)]
+    r.shuffle(docs)
+    return docs, labels, items, [*fine, (None, lone, None)]
+
+
+def test_run_and_its_stages(spark, tmp_path):
+    docs, labels, items, left = corpus()
+    frame = spark.createDataFrame([(*x, f"s{i}", i, i) for i, x in enumerate(docs)], "doc_id long, text string, lang string, score string, evidence long, row long").repartition(3)
+    frame.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, 1, t) for i, t in [*labels, (None, 1), (3, 0)]], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    whole = {x["row"]: tuple(x) for x in frame.collect()}
+
+    def check(got, want):
+        assert got.columns == frame.columns
+        rows = [tuple(x) for x in got.collect()]
+        assert all(whole[x[5]] == x for x in rows) and len({x[5] for x in rows}) == len(rows)
+        assert Counter(x[:2] for x in rows) == Counter(x[:2] for x in want)
+
+    known = [x for x in docs if x[1] and set(x[1]) & set("aeiou")]
+    check(corpus_pipeline.language(spark, frame, str(tmp_path)), known)
+    fit = frame.where(F.col("text").rlike("[aeiou]"))
+    check(corpus_pipeline.clean(spark, fit, str(tmp_path)), [x for x in known if "zuxor" not in x[1] and "vikka" not in x[1]])
+    got = corpus_pipeline.run(spark, str(tmp_path))
+    assert Counter(x["doc_id"] for x in got.collect()) == Counter(i for i, *_ in left)
