@@ -17,7 +17,7 @@ from tessera.llm.common import read_table, write_table
 ORACLE_SQL = None
 #: A text is rejected if no language is found, or if fewer of its n-grams than this are known to any. Chosen between
 #: held-out texts of learned languages and texts of left-out ones (figures in the README).
-LEAST_EVIDENCE = 0.6
+LEAST_EVIDENCE = 0.4
 #: Near-duplicates share 80 % of their 5-word shingles.
 SIMILAR = 80
 
