@@ -49,7 +49,7 @@ def write_table(spark: SparkSession, df: DataFrame, tag: str) -> tuple[DataFrame
     """Cut lineage: write to the shared folder as Parquet and read again. Survives lost executors."""
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.parquet(path), path
+    return spark.read.schema(df.schema).parquet(path), path
 
 
 def drop_path(spark: SparkSession, path: str) -> None:

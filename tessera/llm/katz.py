@@ -1,19 +1,30 @@
-"""Operator 10: scoring of texts by a Katz back-off language model (bigram, unigram, unknown word).
-
-Counts are Good-Turing discounted up to `TOP` at both orders; back-off weights are exactly normalised:
-alpha(h) = (1 - sum of P(w|h) over w seen after h) / (1 - sum of P(w) over w seen after h), and the unigram order leaves its
-own discounted mass to one unknown word. A token is evaluated recursively: seen after its history, its discounted
-share; else the history's weight times the unigram probability; after a history never seen, the unigram probability.
-
-Everything is counted over all training documents:
-1. Blocks of documents deal out their distinct words by hash; each partition adds up counts, numbers its words by falling
-   count, and answers every block (the unigram table).
-2. Blocks then deal out their bigram occurrences by history, as packed integer columns; a history of more than its share
-   of all tokens is dealt by both words. A partition counts its bigrams and answers with sums by document: seen
-   bigrams by count up to TOP (their discount isn't known yet), the rest in full, and for bigrams never seen what the
-   back-off weight of their history is made of. The answers are written as a table, from which the counts of counts
-   are read, and then the discounts and all scores follow.
-Words are told apart by 64-bit hashes. Blocks are numbered by scan partition; a checksum guards that both scans agree.
+"""Operator 10: scoring of texts by a Katz back-off language model of any order (`ORDER`, three by default).
+
+Counts are Good-Turing discounted up to `TOP` at every order. With T(h) the training tokens after history h, D(h) = T(h),
+or T(h) + 1 if no count after h is discounted (else h would leave no mass), and h' the history without its first word:
+
+    P(w|h) = d(c) c / D(h)         if w was seen c > 0 times after h
+           = alpha(h) P(w|h')      if h was seen, but never before w
+           = P(w|h')               if h was never seen
+    alpha(h) = (1 - sum of P(w|h)) / (1 - sum of P(w|h')), both over the words seen after h.
+
+The unigram order leaves its own discounted mass to one unknown word. So all probabilities after any history sum to one.
+Histories at the start of a text are padded. What alpha needs of a history are eleven whole numbers (its successors
+by count up to TOP, the same by their count one order below, and the sum of the frequent ones' counts there); they add
+up without rounding, so it makes no difference how a history's successors are spread over partitions.
+
+Everything is counted over all training documents, and stored:
+1. Blocks of documents are written as word numbers (`tokens`).
+2. Order by order, blocks deal out their distinct n-grams by history (a history of more than
+   max(HOT_TOKENS, tokens / HOT) tokens by a hash of history and word); each partition adds up counts, stores its part of
+   the order's count table (histories, words, counts) and answers every block: places, counts, and of histories that must
+   back off their eleven numbers. The hot histories' numbers, at most HOT of them, are summed by a groupBy.
+   An n-gram's number is its place in its order's table; so a history is one number, its n-gram's one order below, and
+   goes where that table keeps it. The number of partitions follows the bytes of text (`PART_BYTES` each), whatever the
+   session's settings.
+3. With all counts of counts known, each block evaluates its n-grams order by order, the recursion above.
+
+`fit` keeps the tables; `score` evaluates new texts on them. Words are told apart by 64-bit hashes.
 
 Null text counts as empty: one end token after the start. With nothing to learn from, all scores use the unknown word
 alone. Rows with null ids are training rows (their crc32 isn't 0 modulo 10), rows with repeated ids get a row each.
@@ -22,6 +33,7 @@ alone. Rows with null ids are training rows (their crc32 isn't 0 modulo 10), row
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 from functools import partial
 
 import numpy as np
@@ -32,52 +44,59 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import drop_path, fold, prepare, read_table, write_table
-from .textcore import Block, blocks, bounds, mix, words
+from .textcore import blocks, bounds, mix, words
 
-TOP = 5
+ORDER, TOP = 3, 5
 BLOCK = 8 << 20
-END, START, NONE = np.uint64(0x1D8E4E27C47D124F), np.int64(-2), np.int64(-1)
-#: At most so many histories count as hot: those of more than 1/HOT of all tokens.
-HOT = 10_000
-#: and of more tokens than this.
-HOT_TOKENS = 1_000_000
+END = np.uint64(0x1D8E4E27C47D124F)
+_STEP = np.uint64(0x9E3779B97F4A7C15)
+#: A number after all others: of n-grams that aren't in a table, and of the start of a text.
+LAST = np.iinfo(np.int64).max
+#: Bytes of text whose n-grams a partition counts on average.
+PART_BYTES = 8 << 20
+#: Histories of more than 1/HOT of all tokens, and of more than HOT_TOKENS, are hot: at most HOT of each order.
+HOT, HOT_TOKENS = 100_000, 1_000_000
+#: Numbers kept of a history: successors by count, the same by count one order below, their sum of frequent counts.
+FACTS = 2 * TOP + 1
+STORED = -1  # the block number of a row of a stored count table
 
 
 def pack(x: np.ndarray) -> bytes:
-    """An array as compressed byte planes."""
-    x = np.ascontiguousarray(x)
-    return zstandard.ZstdCompressor(level=1).compress(x.view(np.uint8).reshape(len(x), x.itemsize).T.tobytes()) if len(x) else b""
+    """Whole numbers >= 0 as compressed byte planes of the narrowest type that holds them, after its size."""
+    if not len(x):
+        return b""
+    x = x.astype(np.min_scalar_type(int(x.max())))
+    return bytes([x.itemsize]) + zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T))
 
 
-def unpack(raw: bytes, kind) -> np.ndarray:
-    kind = np.dtype(kind)
+def unpack(raw: bytes | None, kind=np.int64) -> np.ndarray:
     if not raw:
         return np.zeros(0, kind)
-    b = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), np.uint8)
-    return np.ascontiguousarray(b.reshape(kind.itemsize, -1).T).reshape(-1).view(kind)
+    b = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw[1:]), np.uint8)
+    return np.ascontiguousarray(b.reshape(raw[0], -1).T).reshape(-1).view(f"u{raw[0]}").astype(kind)
 
 
-def tokens(b: Block) -> tuple[np.ndarray, np.ndarray]:
-    """(hash, document) of all tokens in order, an end after each document."""
-    _, _, row, h = words(b)
-    at = bounds(row, len(b))
-    n = len(h) + len(b)
-    own = np.arange(len(h)) + row
-    out, doc = np.empty(n, np.uint64), np.empty(n, np.int64)
-    out[own], doc[own] = h, row
-    ends = at[1:] + np.arange(len(b))
-    out[ends], doc[ends] = END, np.arange(len(b))
-    return out, doc
+def pack_sorted(x: np.ndarray) -> bytes:
+    return pack(np.diff(x.astype(np.uint64), prepend=np.uint64(0)))
 
 
-def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Block]]:
-    base = TaskContext.get().partitionId() << 32
-    for k, b in enumerate(blocks(batches, limit=BLOCK)):
-        yield base + k, b
+def unpack_sorted(raw: bytes | None, kind=np.uint64) -> np.ndarray:
+    return np.cumsum(unpack(raw, np.uint64), dtype=np.uint64).astype(kind)
+
+
+def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    for b in batches:
+        for i in range(b.num_rows):
+            yield b.slice(i, 1).to_pylist()[0]
+
+
+def record(schema: pa.Schema, rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)] if rows else [pa.array([], f.type) for f in schema], schema=schema)
 
 
-def flags(b: Block) -> np.ndarray:
-    return b.rows.column(2).to_numpy(zero_copy_only=False).astype(bool)
+def schema_of(ddl: str) -> pa.Schema:
+    kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "array<bigint>": pa.list_(pa.int64())}
+    return pa.schema([(n, kinds[k]) for n, k in (x.split() for x in ddl.split(", "))])
 
 
 def parts_of(code: np.ndarray, n: int) -> np.ndarray:
@@ -85,43 +104,13 @@ def parts_of(code: np.ndarray, n: int) -> np.ndarray:
     return ((code >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)).astype(np.int64)
 
 
-def word_counts(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
-    for block, b in numbered(batches):
-        h, doc = tokens(b)
-        train = flags(b)
-        kinds, of = np.unique(h, return_inverse=True)
-        count = np.bincount(of, train[doc], minlength=len(kinds)).astype(np.int64)
-        where = parts_of(kinds, buckets)
-        full = np.unique(where)
-        lo = np.searchsorted(where, full)
-        hi = np.searchsorted(where, full, side="right")
-        yield pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), pa.array(np.full(len(full), block)), pa.array([pack(np.diff(kinds[i:j], prepend=np.uint64(0))) for i, j in zip(lo, hi, strict=True)], pa.binary()), pa.array([pack(count[i:j]) for i, j in zip(lo, hi, strict=True)], pa.binary())], ["bucket", "block", "keys", "counts"])
+# --- the model's arithmetic ------------------------------------------------------------------------------------------
 
 
 def counts_of_counts(c: np.ndarray) -> list[int]:
     return [int((c == r).sum()) for r in range(1, TOP + 2)]
 
 
-def add_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sum each word's counts, number the words, and answer each block; the first answer also has the statistics."""
-    rows = [r for b in batches for r in b.to_pylist()]
-    if not rows:
-        return
-    keys = [np.cumsum(unpack(r["keys"], np.uint64), dtype=np.uint64) for r in rows]
-    kinds, of = np.unique(np.concatenate(keys), return_inverse=True)
-    total = np.bincount(of, np.concatenate([unpack(r["counts"], np.int64) for r in rows])).astype(np.int64)
-    order = np.argsort(-total, kind="stable")
-    number = np.empty(len(kinds), np.int64)
-    number[order] = np.arange(len(kinds)) + (TaskContext.get().partitionId() << 32)
-    number[total == 0] = NONE
-    stats = [int((total > 0).sum()), int(total.sum()), *counts_of_counts(total)]
-    at = 0
-    for i, (r, k) in enumerate(zip(rows, keys, strict=True)):
-        own = of[at : at + len(k)]
-        at += len(k)
-        yield pa.RecordBatch.from_pydict({"block": [r["block"]], "bucket": [r["bucket"]], "numbers": [pack(number[own])], "totals": [pack(total[own])], "check": [int(np.bitwise_xor.reduce(k).view(np.int64))], "stats": [stats if i == 0 else None]}, schema=pa.schema([("block", pa.int64()), ("bucket", pa.int32()), ("numbers", pa.binary()), ("totals", pa.binary()), ("check", pa.int64()), ("stats", pa.list_(pa.int64()))]))
-
-
 def discounts(n: list[int]) -> np.ndarray:
     """Katz's discounts of counts 0..TOP (0 unused), from counts of counts 1..TOP + 1; where Good-Turing gives none in
     (0, 1), absolute discounting's (r - D) / r stands in."""
@@ -134,6 +123,11 @@ def discounts(n: list[int]) -> np.ndarray:
     return d
 
 
+def discounted(count: np.ndarray, d: np.ndarray) -> np.ndarray:
+    """d(c) c; counts over TOP are whole."""
+    return np.where(count > TOP, 1.0, d[np.minimum(count, TOP)]) * count
+
+
 class Unigrams:
     """P(w) by count, and of the unknown word."""
 
@@ -146,187 +140,372 @@ class Unigrams:
         self.unknown = (left if left > 0 else 1) / max(1, self.all)
 
     def p(self, count: np.ndarray) -> np.ndarray:
-        seen = self.d[np.minimum(count, TOP)] * count / max(1, self.all)
-        seen = np.where(count > TOP, count / max(1, self.all), seen)
-        return np.where(count > 0, seen, self.unknown)
-
-
-META = "ids array<bigint>, train binary, n_tokens binary, n_known binary, base binary, fixed binary"
-
-
-def pair_tables(batches: Iterator[pa.RecordBatch], buckets: int, uni: Unigrams) -> Iterator[pa.RecordBatch]:
-    """From blocks with the answers about their words: bigram occurrences by history. Sums that need no bigram count
-    (base score, words after unknown histories) go along once a block."""
-    for batch in batches:
-        for r in batch.to_pylist():
-            yield from pair_rows(r, buckets, uni)
-
-
-def pair_rows(r: dict, buckets: int, uni: Unigrams) -> Iterator[pa.RecordBatch]:
-    kinds = np.cumsum(unpack(r["words"], np.uint64), dtype=np.uint64)
-    answers = sorted(r["answers"], key=lambda a: a["bucket"])
-    number = np.concatenate([unpack(a["numbers"], np.int64) for a in answers])
-    total = np.concatenate([unpack(a["totals"], np.int64) for a in answers])
-    if len(number) != len(kinds) or np.bitwise_xor.reduce([a["check"] for a in answers]) != np.bitwise_xor.reduce(kinds).view(np.int64):
-        raise RuntimeError("the two scans of the documents don't agree")
-    of = unpack(r["tokens"], np.uint32).astype(np.int64)
-    size = unpack(r["sizes"], np.int64)
-    doc = np.repeat(np.arange(len(size)), size)
-    count = total[of]
-    n = len(size)
-    v, big = uni.distinct, uni.total
-    base = np.bincount(doc, np.log10((count + 0.1) / (big + 0.1 * (v + 1))), minlength=n)
-    known = np.bincount(doc, count > 0, minlength=n).astype(np.int64)
-    first = np.cumsum(size) - size
-    before = np.empty(len(of), np.int64)
-    before[1:] = number[of[:-1]]
-    before[first] = START
-    history_count = np.empty(len(of), np.int64)
-    history_count[1:] = count[:-1]
-    history_count[first] = 0  # of starts: known to the partition that counts them
-    lone = before == NONE
-    fixed = np.bincount(doc[lone], np.log10(uni.p(count[lone])), minlength=n).astype(np.float64)
-    h, w, c, d, hc = before[~lone], number[of][~lone], count[~lone], doc[~lone], history_count[~lone]
-    hot = hc > max(HOT_TOKENS, big // HOT)
-    hot |= h == START
-    spread = mix(h.astype(np.uint64) + np.uint64(7))
-    spread = np.where(hot, mix(spread ^ w.astype(np.uint64)), spread)
-    where = (spread % np.uint64(buckets)).astype(np.int64)
-    order = np.lexsort((d, w, h, where))
-    h, w, c, d, hc, hot, where = (x[order] for x in (h, w, c, d, hc, hot, where))
-    train = unpack(r["train"], np.uint8).astype(bool)
-    full = np.unique(where) if len(where) else np.zeros(1, np.int64)
-    out: dict[str, list] = {k: [] for k in ("bucket", "block", "docs", "history", "many", "hc", "hot", "word", "count", "doc", "learn", "ids", "train", "n_tokens", "n_known", "base", "fixed")}
-    for i, k in enumerate(full.tolist()):
-        lo, hi = np.searchsorted(where, [k, k + 1])
-        cut = np.flatnonzero(np.concatenate([[True], h[lo:hi][1:] != h[lo:hi][:-1]])) if hi > lo else np.zeros(0, np.int64)
-        meta = (r["ids"], pack(train.view(np.uint8)), pack(size), pack(known), pack(base), pack(fixed)) if i == 0 else (None,) * 6
-        row = (k, r["block"], n, pack(h[lo:hi][cut]), pack(np.diff(np.append(cut, hi - lo))), pack(hc[lo:hi][cut]), pack(hot[lo:hi][cut].view(np.uint8)), pack(w[lo:hi]), pack(c[lo:hi]), pack(d[lo:hi].astype(np.uint32)), pack(train.view(np.uint8)), *meta)
-        for name, x in zip(out, row, strict=True):
-            out[name].append(x)
-    binary = pa.binary()
-    kind = {"bucket": pa.int32(), "block": pa.int64(), "docs": pa.int32(), "ids": pa.list_(pa.int64())}
-    yield pa.RecordBatch.from_pydict(out, schema=pa.schema([(k, kind.get(k, binary)) for k in out]))
-
-
-PAIRS = "bucket int, block long, docs int, history binary, many binary, hc binary, hot binary, word binary, count binary, doc binary, learn binary, " + META
-
-
-def block_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for block, b in numbered(batches):
-        h, doc = tokens(b)
-        kinds, of = np.unique(h, return_inverse=True)
-        size = np.bincount(doc, minlength=len(b)).astype(np.int64)
-        yield pa.RecordBatch.from_pydict({"block": [block], "ids": [b.rows.column(0).cast(pa.int64()).to_pylist()], "train": [pack(flags(b).view(np.uint8))], "words": [pack(np.diff(kinds, prepend=np.uint64(0)))], "tokens": [pack(of.astype(np.uint32))], "sizes": [pack(size)]}, schema=pa.schema([("block", pa.int64()), ("ids", pa.list_(pa.int64())), ("train", pa.binary()), ("words", pa.binary()), ("tokens", pa.binary()), ("sizes", pa.binary())]))
-
-
-ANSWERS = "block long, bucket int, part int, docs int, known binary, seen binary, doc binary, mass binary, rest binary, total binary, lower binary, whose binary, hot binary, stats array<bigint>, " + META
-
-
-def count_pairs(batches: Iterator[pa.RecordBatch], uni: Unigrams, starts: int) -> Iterator[pa.RecordBatch]:
-    """Count the bigrams of this partition and answer each block."""
-    rows = [r for b in batches for r in b.to_pylist()]
-    if not rows:
-        return
-    head = [unpack(r["history"], np.int64) for r in rows]
-    many = [unpack(r["many"], np.int64) for r in rows]
-    h = np.concatenate([np.repeat(a, m) for a, m in zip(head, many, strict=True)])
-    w, c = (np.concatenate([unpack(r[k], np.int64) for r in rows]) for k in ("word", "count"))
-    doc = [unpack(r["doc"], np.uint32).astype(np.int64) for r in rows]
-    train = np.concatenate([unpack(r["learn"], np.uint8)[d] for r, d in zip(rows, doc, strict=True)]).astype(bool)
-    pair, of = np.unique(mix(h.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ mix(w.astype(np.uint64))), return_inverse=True)
-    times = np.bincount(of, train, minlength=len(pair)).astype(np.int64)
-    example = np.empty(len(pair), np.int64)
-    example[of] = np.arange(len(of))
-    hist, of_hist = np.unique(h, return_inverse=True)
-    total = np.zeros(len(hist), np.int64)
-    hot = np.zeros(len(hist), bool)
-    at = np.searchsorted(hist, np.concatenate(head))
-    total[at] = np.concatenate([unpack(r["hc"], np.int64) for r in rows])
-    hot[at] = np.concatenate([unpack(r["hot"], np.uint8) for r in rows]).astype(bool)
-    total[hist == START] = starts
-    seen = np.flatnonzero(times > 0)
-    of_seen = of_hist[example[seen]]
-    by_count = np.zeros((len(hist), TOP), np.int64)  # successors by count up to TOP
-    low = times[seen] <= TOP
-    np.add.at(by_count, (of_seen[low], times[seen][low] - 1), 1)
-    lower = np.bincount(of_seen, uni.p(c[example[seen]]), minlength=len(hist))
-    # a history all of whose successors are frequent has no mass to leave: one more count makes some
-    extra = (by_count.sum(1) == 0) & ~hot
-    full = total + extra
-    stats = [int(len(seen)), int(times.sum()), *counts_of_counts(times)]
-    t = times[of]
-    edge = np.concatenate([[0], np.cumsum([len(d) for d in doc])])
-    for i, (r, d) in enumerate(zip(rows, doc, strict=True)):
-        lo, hi = edge[i], edge[i + 1]
-        tt, oh, n = t[lo:hi], of_hist[lo:hi], r["docs"]
-        got = tt > 0
-        known = np.bincount(d[got], np.log10(tt[got] / full[oh[got]]), minlength=n).astype(np.float64)
-        small = got & (tt <= TOP)
-        by = np.bincount(d[small] * TOP + tt[small] - 1, minlength=n * TOP).astype(np.uint32)
-        u = ~got
-        known += np.bincount(d[u], np.log10(uni.p(c[lo:hi][u])), minlength=n)
-        ou = oh[u]
-        hots = [[int(hist[k]), int(total[k]), *map(int, by_count[k])] for k in np.flatnonzero(hot)] if i == 0 else []
-        yield pa.RecordBatch.from_pydict({
-            "block": [r["block"]], "bucket": [r["bucket"]], "part": [TaskContext.get().partitionId()], "docs": [n], "known": [pack(known)], "seen": [pack(by)], "doc": [pack(d[u].astype(np.uint32))],
-            "mass": [pack(by_count[ou].astype(np.uint32).reshape(-1))], "rest": [pack(extra[ou].view(np.uint8))], "total": [pack(full[ou])], "lower": [pack(lower[ou])], "whose": [pack(np.where(hot[ou], hist[ou], NONE))],
-            "hot": [pack(np.concatenate([np.array(hots, np.int64).reshape(-1), lower[hot].view(np.int64)])) if hots else b""], "stats": [stats if i == 0 else None], **{k: [r[k]] for k in ("ids", "train", "n_tokens", "n_known", "base", "fixed")},
-        }, schema=ANSWER_SCHEMA)
-
-
-ANSWER_SCHEMA = pa.schema([("block", pa.int64()), ("bucket", pa.int32()), ("part", pa.int32()), ("docs", pa.int32()), *[(k, pa.binary()) for k in ("known", "seen", "doc", "mass", "rest", "total", "lower", "whose", "hot")], ("stats", pa.list_(pa.int64())), ("ids", pa.list_(pa.int64())), *[(k, pa.binary()) for k in ("train", "n_tokens", "n_known", "base", "fixed")]])
-
-
-def hot_weights(raw: Iterator[bytes], d: np.ndarray) -> dict[int, float]:
-    """Back-off weights of the histories that are spread over partitions; at most HOT + 1 of them."""
-    total: dict[int, int] = {}
-    mass: dict[int, np.ndarray] = {}
-    lower: dict[int, float] = {}
-    for x in raw:
-        flat = unpack(x, np.int64)
-        n = len(flat) // (TOP + 3)
-        for row, low in zip(flat[: n * (TOP + 2)].reshape(n, TOP + 2), flat[n * (TOP + 2) :].view(np.float64), strict=True):
-            k = int(row[0])
-            total[k] = int(row[1])
-            mass[k] = mass.get(k, 0) + row[2:]
-            lower[k] = lower.get(k, 0.0) + float(low)
-    return {k: weight(mass[k][None], np.array([max(total[k], 1)]), np.array([lower[k]]), np.array([mass[k].sum() == 0]), d)[0] for k in total}
-
-
-def weight(mass: np.ndarray, total: np.ndarray, lower: np.ndarray, rest: np.ndarray, d: np.ndarray) -> np.ndarray:
-    left = (mass * (np.arange(1, TOP + 1) * (1 - d[1:]))).sum(1)
-    return np.where(rest, 1, left) / total / np.maximum(1 - lower, 1e-300)
-
-
-def answers(batches: Iterator[pa.RecordBatch], d: np.ndarray, hot: dict[int, float]) -> Iterator[pa.RecordBatch]:
-    """Sums by document, now that the discounts are known."""
-    log_d = np.log10(d[1:])
-    hot_key = np.array(sorted(hot), np.int64)
-    hot_log = np.log10(np.array([hot[k] for k in sorted(hot)]))
-    for batch in batches:
-        for r in batch.to_pylist():
-            n = r["docs"]
-            out = unpack(r["known"], np.float64) + unpack(r["seen"], np.uint32).reshape(n, TOP) @ log_d
-            doc = unpack(r["doc"], np.uint32)
-            if len(doc):
-                whose = unpack(r["whose"], np.int64)
-                log_a = np.log10(weight(unpack(r["mass"], np.uint32).reshape(-1, TOP), np.maximum(unpack(r["total"], np.int64), 1), unpack(r["lower"], np.float64), unpack(r["rest"], np.uint8).astype(bool), d).clip(1e-300))
-                if len(hot_key):
-                    at = np.minimum(np.searchsorted(hot_key, whose), len(hot_key) - 1)
-                    log_a = np.where(whose == NONE, log_a, hot_log[at])
-                out = out + np.bincount(doc, log_a, minlength=n)
-            yield pa.RecordBatch.from_pydict({"block": [r["block"]], "bucket": [r["bucket"]], "sums": [out.tobytes()], **{k: [r[k]] for k in ("ids", "train", "n_tokens", "n_known", "base", "fixed")}}, schema=pa.schema([("block", pa.int64()), ("bucket", pa.int32()), ("sums", pa.binary()), ("ids", pa.list_(pa.int64())), *[(k, pa.binary()) for k in ("train", "n_tokens", "n_known", "base", "fixed")]]))
-
-
-def by_document(batches: Iterator[pa.RecordBatch], total: int) -> Iterator[pa.RecordBatch]:
+        return np.where(count > 0, discounted(count, self.d) / max(1, self.all), self.unknown)
+
+
+def facts_of(owner: np.ndarray, count: np.ndarray, below: np.ndarray, n: int) -> np.ndarray:
+    """(n, FACTS) whole numbers of n histories from their seen successors' counts, here and one order below."""
+    out = np.zeros((n, FACTS), np.int64)
+    for k, c in ((0, count), (TOP, below)):
+        low = c <= TOP
+        out[:, k : k + TOP] = np.bincount(owner[low] * TOP + c[low] - 1, minlength=n * TOP).reshape(n, TOP)
+    high = below > TOP
+    np.add.at(out[:, 2 * TOP], owner[high], below[high])
+    return out
+
+
+def lone(facts: np.ndarray) -> np.ndarray:
+    """1 for histories none of whose counts is discounted."""
+    return (facts[:, :TOP].sum(1) == 0).astype(np.int64)
+
+
+def alphas(facts: np.ndarray, size: np.ndarray, size_below: np.ndarray, d: np.ndarray, d_below: np.ndarray) -> np.ndarray:
+    """Back-off weights of histories with these numbers; size: D(h), size_below: D(h')."""
+    r = np.arange(1, TOP + 1)
+    left = facts[:, :TOP] @ (r * (1 - d[1:])) + lone(facts)
+    rest = (size_below - facts[:, 2 * TOP]) - facts[:, TOP : 2 * TOP] @ (r * d_below[1:])
+    return left / size / (rest / size_below)
+
+
+# --- blocks of documents ---------------------------------------------------------------------------------------------
+
+TOKENS = "block long, ids array<bigint>, train binary, words binary, tokens binary, sizes binary"
+TOKENS_SCHEMA = schema_of(TOKENS)
+
+
+def block_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each block's distinct word hashes, its tokens as numbers into them (an end after each document), their sizes."""
+    base = TaskContext.get().partitionId() << 32
+    for k, b in enumerate(blocks(batches, limit=BLOCK)):
+        _, _, row, h = words(b)
+        at = bounds(row, len(b))
+        every = np.empty(len(h) + len(b), np.uint64)
+        every[np.arange(len(h)) + row] = h
+        every[at[1:] + np.arange(len(b))] = END
+        kinds, of = np.unique(every, return_inverse=True)
+        train = b.rows.column(2).to_numpy(zero_copy_only=False).astype(bool)
+        yield record(TOKENS_SCHEMA, [(base + k, b.rows.column(0).cast(pa.int64()).to_pylist(), pack(train), pack_sorted(kinds), pack(of), pack(np.diff(at).astype(np.int64) + 1))])
+
+
+class Texts:
+    """A block's tokens, and of each order its distinct n-grams as arrays: (history, word, suffix), and once they are
+    known their numbers in the stored table and counts. A history is given by the place of its n-gram one order below;
+    the place after the last one is the start of a text. Places follow the tables' numbers, unseen n-grams come last."""
+
+    def __init__(self, r: dict):
+        self.words = unpack_sorted(r["words"])
+        self.of = unpack(r["tokens"])
+        self.sizes = unpack(r["sizes"])
+        self.train = unpack(r["train"]).astype(bool)
+        self.doc = np.repeat(np.arange(len(self.sizes)), self.sizes)
+        self.first = np.cumsum(self.sizes) - self.sizes
+        self.token = self.of
+        self.history = self.word = self.suffix = np.zeros(0, np.int64)
+        self.ids: list[np.ndarray] = []
+        self.counts: list[np.ndarray] = []
+        self.log_p: np.ndarray | None = None  # in the order of this order's n-grams
+
+    def number(self, ids: np.ndarray, counts: np.ndarray) -> None:
+        """The table's numbers (LAST: not in it) and counts of the n-grams of this order."""
+        order = np.argsort(ids, kind="stable")
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        self.of = place[self.of]
+        self.ids.append(ids[order])
+        self.counts.append(counts[order])
+        if len(self.ids) == 1:
+            self.token = self.of
+        else:
+            self.history, self.word, self.suffix = self.history[order], self.word[order], self.suffix[order]
+        if self.log_p is not None:
+            self.log_p = self.log_p[order]
+
+    def next_order(self) -> None:
+        v = len(self.words)
+        before = np.empty(len(self.of), np.int64)
+        before[1:] = self.of[:-1]
+        before[self.first] = len(self.ids[-1])
+        code, own = np.unique(before * v + self.token, return_inverse=True)
+        self.history, self.word = code // v, code % v
+        self.suffix = np.empty(len(code), np.int64)
+        self.suffix[own] = self.of
+        self.of = own
+
+    def training_counts(self) -> np.ndarray:
+        return np.bincount(self.of, self.train[self.doc]).astype(np.int64)
+
+
+# --- order 1 ---------------------------------------------------------------------------------------------------------
+
+WORDS = "bucket int, block long, keys binary, counts binary, ranks binary"
+WORDS_SCHEMA = schema_of(WORDS)
+TOLD_WORDS = "block long, bucket int, keys binary, ranks binary, counts binary, stats array<bigint>"
+TOLD_WORDS_SCHEMA = schema_of(TOLD_WORDS)
+
+
+def word_counts(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
+    for r in rows_of(batches):
+        t = Texts(r)
+        count = t.training_counts()
+        at = np.searchsorted(parts_of(t.words, buckets), np.arange(buckets + 1))
+        yield record(WORDS_SCHEMA, [(k, r["block"], pack_sorted(t.words[i:j]), pack(count[i:j]), None) for k, (i, j) in enumerate(zip(at[:-1], at[1:], strict=True)) if j > i])
+
+
+def add_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sum each word's counts and answer each block; the words seen, ranked by falling count, are the stored table.
+    A stored table among the rows keeps its ranks."""
+    for bucket, rows in by_bucket(batches):
+        keys = [unpack_sorted(r["keys"]) for r in rows]
+        kinds, of = np.unique(np.concatenate(keys), return_inverse=True)
+        total = np.bincount(of, np.concatenate([unpack(r["counts"]) for r in rows]), minlength=len(kinds)).astype(np.int64)
+        rank = np.zeros(len(kinds), np.int64)
+        held = [r for r in rows if r["block"] == STORED]
+        if held:
+            for r in held:
+                rank[np.searchsorted(kinds, unpack_sorted(r["keys"]))] = unpack(r["ranks"])
+        else:
+            rank[np.argsort(-total, kind="stable")] = np.arange(len(kinds))
+        seen = total > 0
+        yield record(TOLD_WORDS_SCHEMA, [(STORED, bucket, pack_sorted(kinds[seen]), pack(rank[seen]), pack(total[seen]), [int(seen.sum()), int(total.sum()), *counts_of_counts(total)])])
+        at = 0
+        for r, k in zip(rows, keys, strict=True):
+            own = of[at : at + len(k)]
+            at += len(k)
+            if r["block"] != STORED:
+                yield record(TOLD_WORDS_SCHEMA, [(r["block"], bucket, None, pack(rank[own]), pack(total[own]), None)])
+
+
+def by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[dict]]]:
+    """The rows of each bucket of a stream sorted by bucket."""
+    held: list[dict] = []
+    for r in rows_of(batches):
+        if held and held[-1]["bucket"] != r["bucket"]:
+            yield held[-1]["bucket"], held
+            held = []
+        held.append(r)
+    if held:
+        yield held[-1]["bucket"], held
+
+
+# --- orders 2 and up -------------------------------------------------------------------------------------------------
+
+GRAMS = "bucket int, block long, heads binary, many binary, flags binary, words binary, counts binary, below binary"
+GRAMS_SCHEMA = schema_of(GRAMS)
+TOLD = "block long, bucket int, heads binary, many binary, flags binary, words binary, counts binary, below binary, ranks binary, facts binary, hot binary, stats array<bigint>"
+TOLD_SCHEMA = schema_of(TOLD)
+#: Flags of a history in a row: it is hot; it needs its numbers whatever its n-grams' counts.
+IS_HOT, NEEDS = 1, 2
+
+
+@dataclass
+class Model:
+    """What scoring needs: partitions of the tables, counts of counts by order, numbers of the hot histories, and the
+    paths of the stored count tables."""
+
+    order: int
+    buckets: int
+    starts: int
+    #: Histories of more training tokens than this are hot.
+    least_hot: int = HOT_TOKENS
+    stats: list[list[int]] = field(default_factory=list)
+    hot: list[tuple[np.ndarray, np.ndarray]] = field(default_factory=lambda: [(np.zeros(0, np.int64), np.zeros((0, FACTS), np.int64))])
+    paths: list[str] = field(default_factory=list)
+
+
+class Dealt:
+    """How a block deals out its n-grams of the order that `t` has reached: `gram`, those asked about, and `heads`, their
+    histories, in the order of the rows. A history goes where the table one order below keeps its n-gram."""
+
+    def __init__(self, t: Texts, model: Model):
+        self.ids = np.append(t.ids[-1], LAST)
+        #: T(h), of the start of texts too.
+        self.size = np.append(t.counts[-1], model.starts)
+        self.below = t.counts[-1][t.suffix]
+        known = self.size[t.history] > 0
+        asked = known & (self.below > 0)
+        hot = self.size > model.least_hot
+        self.needs = np.zeros(len(self.size), bool)
+        self.needs[t.history[known & ~asked]] = True
+        where = np.minimum(self.ids >> 32, model.buckets - 1)
+        self.gram = np.flatnonzero(asked)
+        history = t.history[self.gram]
+        at, spread = where[history], hot[history]
+        if spread.any():
+            h, w = self.ids[history[spread]].astype(np.uint64), t.ids[0][t.word[self.gram[spread]]].astype(np.uint64)
+            at[spread] = parts_of(mix(h ^ mix(w + _STEP)), model.buckets)
+        place = at * len(self.ids) + history  # sorted but for hot histories
+        if spread.any():
+            order = np.argsort(place, kind="stable")
+            self.gram, place = self.gram[order], place[order]
+        first = np.flatnonzero(np.diff(place, prepend=-1))
+        heads, self.many = place[first], np.diff(first, append=len(place))
+        alone = self.needs & ~hot  # histories without an n-gram to ask about
+        alone[history] = False
+        if alone.any():
+            alone = np.flatnonzero(alone)
+            heads = np.concatenate([heads, where[alone] * len(self.ids) + alone])
+            self.many = np.concatenate([self.many, np.zeros(len(alone), np.int64)])
+            order = np.argsort(heads, kind="stable")
+            heads, self.many = heads[order], self.many[order]
+        self.heads, bucket = heads % len(self.ids), heads // len(self.ids)
+        self.hot = hot[self.heads]
+        #: Of each row its bucket, and the bounds of its histories and n-grams.
+        first = np.flatnonzero(np.diff(bucket, prepend=-1))
+        self.bucket = bucket[first]
+        self.head_at = np.append(first, len(heads))
+        self.gram_at = np.concatenate([[0], np.cumsum(self.many)])[self.head_at]
+
+    def rows(self) -> Iterator[tuple[int, int, int, int, int]]:
+        return zip(self.bucket.tolist(), self.head_at[:-1].tolist(), self.head_at[1:].tolist(), self.gram_at[:-1].tolist(), self.gram_at[1:].tolist(), strict=True)
+
+    def flags(self, i: int, j: int) -> np.ndarray:
+        return IS_HOT * self.hot[i:j] + NEEDS * self.needs[self.heads[i:j]]
+
+
+def know_words(t: Texts, told: list[dict]) -> None:
+    """Take in the answers about the block's words."""
+    counts = joined(told, "counts")
+    if len(counts) != len(t.words):
+        raise RuntimeError("a block got no answer about some of its words")
+    ids = np.concatenate([(a["bucket"] << 32) + unpack(a["ranks"]) for a in told])
+    t.number(np.where(counts > 0, ids, LAST), counts)
+
+
+def know_grams(t: Texts, d: Dealt, told: list[dict]) -> np.ndarray:
+    """Counts of the block's n-grams of the order just dealt, from the answers about them."""
+    counts, got = np.zeros(len(t.history), np.int64), joined(told, "counts")
+    if [a["bucket"] for a in told] != d.bucket.tolist() or len(got) != len(d.gram):
+        raise RuntimeError("a block got no answer about some of its n-grams")
+    counts[d.gram] = got
+    return counts
+
+
+def number_grams(t: Texts, d: Dealt, told: list[dict], counts: np.ndarray) -> None:
+    """Take in the counts and, from the answers, numbers of these n-grams."""
+    ids = np.full(len(counts), LAST)
+    ids[d.gram[counts[d.gram] > 0]] = np.concatenate([*((a["bucket"] << 32) + unpack_sorted(a["ranks"], np.int64) for a in told), np.zeros(0, np.int64)])
+    t.number(ids, counts)
+
+
+def joined(told: list[dict], name: str) -> np.ndarray:
+    return np.concatenate([*(unpack(a[name]) for a in told), np.zeros(0, np.int64)])
+
+
+def told_by_order(r: dict, order: int) -> list[list[dict]]:
+    out: list[list[dict]] = [[] for _ in range(order)]
+    for a in sorted(r["told"], key=lambda a: a["bucket"]):
+        out[a["n"] - 1].append(a)
+    return out
+
+
+def gram_counts(batches: Iterator[pa.RecordBatch], order: int, model: Model) -> Iterator[pa.RecordBatch]:
+    """From blocks with the answers about lower orders: their distinct n-grams of this order, by history."""
+    for r in rows_of(batches):
+        told = told_by_order(r, order - 1)
+        t = Texts(r)
+        know_words(t, told[0])
+        for k in range(2, order + 1):
+            t.next_order()
+            d = Dealt(t, model)
+            if k < order:
+                number_grams(t, d, told[k - 1], know_grams(t, d, told[k - 1]))
+        own = t.training_counts()
+        out = []
+        for b, i, j, lo, hi in d.rows():
+            gram = d.gram[lo:hi]
+            out.append((b, r["block"], pack_sorted(d.ids[d.heads[i:j]]), pack(d.many[i:j]), pack(d.flags(i, j)), pack(t.ids[0][t.word[gram]]), pack(own[gram]), pack(d.below[gram])))
+        yield record(GRAMS_SCHEMA, out)
+
+
+def add_grams(batches: Iterator[pa.RecordBatch], last: bool) -> Iterator[pa.RecordBatch]:
+    """Add up a bucket's n-grams, store its part of the count table (its numbers are their ranks), answer each block."""
+    for bucket, rows in by_bucket(batches):
+        heads, many, flags = [unpack_sorted(r["heads"], np.int64) for r in rows], [unpack(r["many"]) for r in rows], [unpack(r["flags"], np.uint8) for r in rows]
+        hist, of_head = np.unique(np.concatenate(heads), return_inverse=True)
+        word, of_word = np.unique(np.concatenate([unpack(r["words"]) for r in rows]), return_inverse=True)
+        pair, of = np.unique(np.repeat(of_head, np.concatenate(many)) * max(1, len(word)) + of_word, return_inverse=True)
+        owner, word = pair // max(1, len(word)), word[pair % max(1, len(word))]
+        below = np.empty(len(pair), np.int64)
+        below[of] = np.concatenate([unpack(r["below"]) for r in rows])  # of one n-gram all rows have the same
+        times = np.bincount(of, np.concatenate([unpack(r["counts"]) for r in rows]), minlength=len(pair)).astype(np.int64)
+        seen = times > 0
+        facts = facts_of(owner[seen], times[seen], below[seen], len(hist))
+        hot = np.zeros(len(hist), bool)
+        hot[of_head[(np.concatenate(flags) & IS_HOT) > 0]] = True
+        first = np.flatnonzero(np.diff(owner[seen], prepend=-1))
+        held = owner[seen][first]
+        yield record(TOLD_SCHEMA, [(STORED, bucket, pack_sorted(hist[held]), pack(np.diff(first, append=int(seen.sum()))), pack(IS_HOT * hot[held]), pack(word[seen]), pack(times[seen]), pack(below[seen]), None, None, pack(np.concatenate([hist[hot][:, None], facts[hot]], 1).ravel()), [int(seen.sum()), int(times.sum()), *counts_of_counts(times)])])
+        rank = np.cumsum(seen) - 1
+        lo = i = 0
+        for r, h, m, f in zip(rows, heads, many, flags, strict=True):
+            hi, j = lo + int(m.sum()), i + len(h)
+            own, mine = of[lo:hi], of_head[i:j]
+            lo, i = hi, j
+            if r["block"] != STORED:
+                count = times[own]
+                back = wanted(count, m, f)
+                # whether a history has no discounted count is told of all of them, their numbers only where they back off
+                yield record(TOLD_SCHEMA, [(r["block"], bucket, None, None, pack(lone(facts[mine])), None, pack(count), None, None if last else pack_sorted(rank[own[count > 0]]), pack(facts[mine[back]].ravel()), None, None)])
+
+
+def wanted(count: np.ndarray, many: np.ndarray, flags: np.ndarray) -> np.ndarray:
+    """Which histories of a row are answered in full: those asked for, or with an n-gram never seen, unless hot."""
+    never = np.bincount(np.repeat(np.arange(len(many)), many), count == 0, minlength=len(many)) > 0
+    return (never | ((flags & NEEDS) > 0)) & ((flags & IS_HOT) == 0)
+
+
+def evaluate(batches: Iterator[pa.RecordBatch], held: object) -> Iterator[pa.RecordBatch]:
+    """Sums by document of the log-probabilities of its tokens."""
+    model: Model = held.value
+    uni = Unigrams(model.stats[0])
     names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
-    for batch in batches:
-        for r in batch.to_pylist():
-            parts = sorted(r["sums"], key=lambda s: s["bucket"])
-            score = unpack(r["fixed"], np.float64) + np.sum([np.frombuffer(s["sums"], np.float64) for s in parts], 0)
-            n = unpack(r["n_tokens"], np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(r["ids"], pa.int64()), pa.array(~unpack(r["train"], np.uint8).astype(bool)), pa.array(n), pa.array(unpack(r["n_known"], np.int64)), pa.array(np.full(len(n), total)), pa.array(unpack(r["base"], np.float64)), pa.array(score)], names)
+    for r in rows_of(batches):
+        told = told_by_order(r, model.order)
+        t = Texts(r)
+        know_words(t, told[0])
+        n, count = len(t.sizes), t.counts[0]
+        known = np.bincount(t.doc, (count > 0)[t.of], minlength=n).astype(np.int64)
+        base = np.bincount(t.doc, np.log10((count + 0.1) / (uni.total + 0.1 * (uni.distinct + 1)))[t.of], minlength=n)
+        log_p, d_below = np.log10(uni.p(count)), uni.d
+        size_below, shorter = np.array([float(uni.all)]), np.zeros(len(count), np.int64)  # the empty history's D; which it is
+        for k in range(2, model.order + 1):
+            t.next_order()
+            d, disc = Dealt(t, model), discounts(model.stats[k - 1][2:])
+            count = know_grams(t, d, told[k - 1])
+            size, back, facts = histories(d, told[k - 1], count, *model.hot[k - 1])
+            log_a = np.where(size > 0, np.nan, 0.0)
+            log_a[back] = np.log10(alphas(facts, size[back], size_below[np.append(shorter, len(size_below) - 1)[back]], disc, d_below))
+            seen = count > 0
+            log_p = np.where(seen, np.log10(np.where(seen, discounted(count, disc), 1.0) / np.maximum(size[t.history], 1)), log_p[t.suffix] + log_a[t.history])
+            if k < model.order:
+                t.log_p = log_p  # goes along as the n-grams are put in order
+                number_grams(t, d, told[k - 1], count)
+                log_p = t.log_p
+            d_below, size_below, shorter = disc, size, t.suffix
+        if np.isnan(log_p).any():
+            raise RuntimeError("a block got no answer about a history that backs off")
+        total = np.bincount(t.doc, log_p[t.of], minlength=n)
+        yield pa.RecordBatch.from_arrays([pa.array(r["ids"], pa.int64()), pa.array(~t.train), pa.array(t.sizes), pa.array(known), pa.array(np.full(n, uni.total)), pa.array(base), pa.array(total)], names)
+
+
+def histories(d: Dealt, told: list[dict], count: np.ndarray, hot_id: np.ndarray, hot_facts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(D(h) of the block's histories; those of which the numbers are there; these numbers)."""
+    size, back, facts = d.size.astype(np.float64), [], []
+    for a, (_, i, j, lo, hi) in zip(told, d.rows(), strict=True):
+        h, hot = d.heads[i:j], d.hot[i:j]
+        size[h[~hot]] += unpack(a["flags"])[~hot]
+        back.append(h[wanted(count[d.gram[lo:hi]], d.many[i:j], d.flags(i, j))])
+        facts.append(unpack(a["facts"]).reshape(-1, FACTS))
+    if len(hot_id):
+        at = np.minimum(np.searchsorted(hot_id, d.ids), len(hot_id) - 1)
+        own = np.flatnonzero((hot_id[at] == d.ids) & (d.size > 0))
+        back.append(own)
+        facts.append(hot_facts[at[own]])
+        size[own] += lone(facts[-1])
+    return size, np.concatenate([*back, np.zeros(0, np.int64)]), np.concatenate([*facts, np.zeros((0, FACTS), np.int64)])
+
+
+# --- the whole run ---------------------------------------------------------------------------------------------------
 
 
 def summed(df: DataFrame) -> list[int]:
@@ -336,26 +515,98 @@ def summed(df: DataFrame) -> list[int]:
     return [int(at.get(k, 0)) for k in range(TOP + 3)]
 
 
-def score_texts(spark: SparkSession, docs: DataFrame, train) -> DataFrame:
-    """Scores of every row of docs(doc_id, text); train: a boolean Column, whether a row is learned from."""
+def hot_numbers(told: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of the hot histories, summed over the partitions that they are spread over; at most HOT rows."""
+    names = [f"n{k}" for k in range(FACTS)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for r in rows_of(batches):
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in unpack(r["hot"]).reshape(-1, FACTS + 1).T], ["id", *names])
+
+    got = told.where("length(hot) > 0").select("hot").mapInArrow(run, ", ".join(f"{c} long" for c in ("id", *names)))
+    rows = got.groupBy("id").agg(*[F.sum(c).alias(c) for c in names]).collect()
+    x = np.array(sorted(tuple(r) for r in rows), np.int64).reshape(-1, FACTS + 1)
+    return x[:, 0], x[:, 1:]
+
+
+def dealt_out(rows: DataFrame, buckets: int) -> DataFrame:
+    return rows.repartition(buckets, "bucket").sortWithinPartitions("bucket")
+
+
+def run(spark: SparkSession, docs: DataFrame, train, order: int = ORDER, model: Model | None = None) -> tuple[DataFrame, Model, list[str]]:
+    """(scores, model, paths of the tables that only this run needs). With a model its stored tables give all counts and
+    `train` must be false; without one, the rows for which it holds are counted and the tables stored."""
     prepare(spark)
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce(train, F.lit(True)).alias("train"))
-    counts = docs.mapInArrow(partial(word_counts, buckets=n), "bucket int, block long, keys binary, counts binary")
-    told, told_path = write_table(spark, counts.repartition(n, "bucket").mapInArrow(add_words, "block long, bucket int, numbers binary, totals binary, check long, stats array<bigint>"), "words")
-    uni = Unigrams(summed(told))
-    starts = docs.where("train").count()
-    asked = told.groupBy("block").agg(F.collect_list(F.struct("bucket", "numbers", "totals", "check")).alias("answers"))  # a block has one answer a bucket
-    own = docs.mapInArrow(block_words, "block long, ids array<bigint>, train binary, words binary, tokens binary, sizes binary")
-    pairs = own.join(asked, "block").select("block", "ids", "train", "words", "tokens", "sizes", "answers").mapInArrow(partial(pair_tables, buckets=n, uni=uni), PAIRS)
-    found, _ = write_table(spark, pairs.repartition(n, "bucket").mapInArrow(partial(count_pairs, uni=uni, starts=starts), ANSWERS), "pairs")
-    drop_path(spark, told_path)
-    d = discounts(summed(found)[2:])
-    hot = hot_weights((bytes(r["hot"]) for r in found.where("length(hot) > 0").select("hot").toLocalIterator()), d)
-    sums = found.drop("stats", "part", "hot").select("block", "bucket", "docs", "known", "seen", "doc", "mass", "rest", "total", "lower", "whose", "ids", "train", "n_tokens", "n_known", "base", "fixed").mapInArrow(partial(answers, d=d, hot=hot), "block long, bucket int, sums binary, " + META)
-    meta = ["train", "n_tokens", "n_known", "base", "fixed"]
-    whole = sums.groupBy("block").agg(F.first("ids", ignorenulls=True).alias("ids"), *[F.max(k).alias(k) for k in meta], F.collect_list(F.struct("bucket", "sums")).alias("sums"))
-    return whole.mapInArrow(partial(by_document, total=uni.total), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    tokens, path = write_table(spark, docs.mapInArrow(block_tokens, TOKENS), "tokens")
+    drop, new = [path], model is None
+    if new:
+        size = docs.agg(F.sum(F.octet_length("text")).alias("n"), F.count_if("train").alias("starts")).first()
+        model = Model(order, max(1, -(-(size["n"] or 0) // PART_BYTES)), size["starts"])
+    answers: DataFrame | None = None
+    none = F.lit(None).cast("binary")
+    for k in range(1, model.order + 1):
+        if k == 1:
+            asked, kind = tokens.mapInArrow(partial(word_counts, buckets=model.buckets), WORDS), TOLD_WORDS
+            step = add_words
+        else:
+            asked, kind = met(tokens, answers).mapInArrow(partial(gram_counts, order=k, model=bare(model)), GRAMS), TOLD
+            step = partial(add_grams, last=k == model.order)
+        if not new:
+            asked = asked.unionByName(spark.read.parquet(model.paths[k - 1]).where(F.col("block") == STORED).select(*asked.columns))
+        told, path = write_table(spark, dealt_out(asked, model.buckets).mapInArrow(step, kind), f"grams{k}")
+        if new:
+            model.paths.append(path)
+            model.stats.append(summed(told))
+            model.least_hot = max(HOT_TOKENS, model.stats[0][1] // HOT)
+            if k > 1:
+                model.hot.append(hot_numbers(told))
+        else:
+            drop.append(path)
+        own = told.where(F.col("block") != STORED).select("block", F.lit(k).alias("n"), "bucket", "counts", "ranks", *(F.col(c) if k > 1 else none.alias(c) for c in ("flags", "facts")))
+        answers = own if answers is None else answers.unionByName(own)
+    shared = spark.sparkContext.broadcast(model)  # at most HOT histories an order
+    scores = met(tokens, answers).mapInArrow(partial(evaluate, held=shared), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return scores, model, drop
+
+
+def bare(model: Model) -> Model:
+    """The model without its hot histories, small enough to go with each task."""
+    return Model(model.order, model.buckets, model.starts, model.least_hot, model.stats)
+
+
+def met(tokens: DataFrame, answers: DataFrame) -> DataFrame:
+    """Blocks with all answers to them; a block has at most one of each order and bucket."""
+    told = answers.groupBy("block").agg(F.collect_list(F.struct("n", "bucket", "ranks", "counts", "flags", "facts")).alias("told"))
+    return tokens.join(told, "block").select(*tokens.columns, "told")
+
+
+def fit(spark: SparkSession, docs: DataFrame, order: int = ORDER) -> Model:
+    """A model of all rows of docs(doc_id, text). Its count tables stay in the shared folder, at `paths`."""
+    _, model, paths = run(spark, docs, F.lit(True), order)
+    for p in paths:
+        drop_path(spark, p)
+    return model
+
+
+def score(spark: SparkSession, docs: DataFrame, model: Model) -> DataFrame:
+    """Scores of every row of docs(doc_id, text) under a fitted model."""
+    scores, _, paths = run(spark, docs, F.lit(False), model.order, model)
+    return finished(spark, scores, paths)
+
+
+def score_texts(spark: SparkSession, docs: DataFrame, train, order: int = ORDER) -> DataFrame:
+    """Scores of every row of docs(doc_id, text); train: a boolean Column, whether a row is learned from."""
+    scores, model, paths = run(spark, docs, train, order)
+    return finished(spark, scores, [*paths, *model.paths])
+
+
+def finished(spark: SparkSession, scores: DataFrame, paths: list[str]) -> DataFrame:
+    """The scores as a table of their own; what they were made from is deleted."""
+    out, _ = write_table(spark, scores, "scores")
+    for p in paths:
+        drop_path(spark, p)
+    return out
 
 
 def op10_katz(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -517,62 +517,117 @@ def test_posterior_bounds_keep_true_pairs():
 # --- 10: language model ----------------------------------------------------------------------------------------------
 
 
-def test_katz_matches_brute_force_and_sums_to_one(spark):
+class Brute:
+    """Katz back-off counted and evaluated word by word."""
+
+    def __init__(self, seqs: list, order: int):
+        self.n = order
+        self.count = [Counter() for _ in range(order + 1)]
+        for s in seqs:
+            for i in range(len(s)):
+                for k in range(1, order + 1):
+                    self.count[k][self.gram(s, i, k)] += 1
+        coc = [[sum(v == r for v in c.values()) for r in range(1, katz.TOP + 2)] for c in self.count]
+        self.uni = katz.Unigrams([len(self.count[1]), sum(self.count[1].values()), *coc[1]])
+        self.d = [katz.discounts(c) for c in coc]
+        self.after = defaultdict(dict)
+        for k in range(2, order + 1):
+            for g, c in self.count[k].items():
+                self.after[g[:-1]][g[-1]] = c
+
+    @staticmethod
+    def gram(s: list, i: int, k: int) -> tuple:
+        return (*["<s>"] * max(0, k - 1 - i), *s[max(0, i - k + 1) : i + 1])
+
+    def share(self, h: tuple, c: int) -> float:
+        size = sum(self.after[h].values()) + all(c > katz.TOP for c in self.after[h].values())
+        return (self.d[len(h) + 1][c] if c <= katz.TOP else 1) * c / size
+
+    def p(self, h: tuple, w: str) -> float:
+        if not h:
+            return float(self.uni.p(np.array([self.count[1][w,]]))[0])
+        if h not in self.after:
+            return self.p(h[1:], w)
+        c = self.after[h].get(w, 0)
+        return self.share(h, c) if c else self.alpha(h) * self.p(h[1:], w)
+
+    def alpha(self, h: tuple) -> float:
+        own = self.after[h]
+        return (1 - sum(self.share(h, c) for c in own.values())) / (1 - sum(self.p(h[1:], w) for w in own))
+
+    def score(self, s: list) -> float:
+        return sum(np.log10(self.p(self.gram(s, i, self.n)[:-1], s[i])) for i in range(len(s)))
+
+
+def katz_texts() -> list:
     r = random.Random(10)
     pool = [sentence(r, 1) for _ in range(60)]
-    docs = [(i, " ".join(r.choice(pool[: r.choice([5, 60])]) for _ in range(r.randint(0, 80))) + (" new" + str(i) if i % 9 == 0 else "")) for i in range(150)] + [(500, None), (501, "")]
+    docs = [(i, " ".join(r.choice(pool[: r.choice([5, 60])]) for _ in range(r.randint(0, 80))) + (" new" + str(i) if i % 9 == 0 else "")) for i in range(150)]
+    return [*docs, *[(200 + i, "a b c") for i in range(20)], (500, None), (501, "")]
+
+
+@pytest.mark.parametrize("order", [1, 2, 3, 4])
+def test_katz_matches_brute_force_and_sums_to_one(spark, monkeypatch, order):
+    monkeypatch.setattr(katz, "PART_BYTES", 4000)  # several partitions
+    docs = katz_texts()
     held = {i: zlib.crc32(str(i).encode()) % 10 == 0 for i, _ in docs}
-    got = {x["doc_id"]: x for x in katz.score_texts(spark, spark.createDataFrame(docs, "doc_id long, text string"), F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10 != 0).collect()}
+    got = {x["doc_id"]: x for x in katz.score_texts(spark, spark.createDataFrame(docs, "doc_id long, text string").repartition(3), F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10 != 0, order).collect()}
     seqs = {i: [*words(t), "</s>"] for i, t in docs}
-    uni, bi, starts = Counter(), Counter(), 0
-    for i, s in seqs.items():
-        if not held[i]:
-            starts += 1
-            uni.update(s)
-            bi.update(zip(["<s>", *s[:-1]], s, strict=True))
-    coc = lambda c: [sum(v == k for v in c.values()) for k in range(1, katz.TOP + 2)]
-    u = katz.Unigrams([len(uni), sum(uni.values()), *coc(uni)])
-    d = katz.discounts(coc(bi))
-    p1 = lambda w: float(u.p(np.array([uni[w]]))[0])
-    assert sum(map(p1, uni)) + u.unknown == pytest.approx(1)
-    after = defaultdict(list)
-    for (h, w), c in bi.items():
-        after[h].append((w, c))
-
-    def size(h):
-        n = starts if h == "<s>" else uni[h]
-        return n + (h != "<s>" and all(c > katz.TOP for _, c in after[h]))
-
-    def share(h, c):
-        return (d[c] if c <= katz.TOP else 1) * c / size(h)
-
-    def alpha(h):
-        return (1 - sum(share(h, c) for _, c in after[h])) / (1 - sum(p1(w) for w, _ in after[h]))
-
-    def p(h, w):
-        if h != "<s>" and not uni[h]:
-            return p1(w)
-        return share(h, bi[h, w]) if bi[h, w] else alpha(h) * p1(w)
-
-    for h in list(after)[:20]:
-        assert sum(p(h, w) for w in uni) + alpha(h) * u.unknown == pytest.approx(1)
+    brute = Brute([s for i, s in seqs.items() if not held[i]], order)
+    uni = brute.count[1]
+    every = [w for (w,) in uni]
+    for h in [(), *[h for h in brute.after if len(h) < 3 or h[0] == "<s>"][:60]]:
+        assert sum(brute.p(h, w) for w in every) + brute.p(h, "never seen") == pytest.approx(1, abs=1e-9)
     total = sum(uni.values())
     for i, s in seqs.items():
         x = got[i]
-        assert (x["held_out"], x["n_tokens"], x["n_known"], x["train_tokens"]) == (held[i], len(s), sum(uni[w] > 0 for w in s), total)
-        assert x["base_score"] == pytest.approx(sum(np.log10((uni[w] + 0.1) / (total + 0.1 * (len(uni) + 1))) for w in s))
-        assert x["score"] == pytest.approx(sum(np.log10(p(h, w)) for h, w in zip(["<s>", *s[:-1]], s, strict=True)))
-
-
-def test_hot_histories_are_spread(spark, monkeypatch):
+        assert (x["held_out"], x["n_tokens"], x["n_known"], x["train_tokens"]) == (held[i], len(s), sum(uni[w,] > 0 for w in s), total)
+        assert x["base_score"] == pytest.approx(sum(np.log10((uni[w,] + 0.1) / (total + 0.1 * (len(uni) + 1))) for w in s))
+        assert x["score"] == pytest.approx(brute.score(s), rel=1e-9)
+
+
+def test_katz_probabilities_sum_to_one_after_the_start_and_hot_histories(spark, monkeypatch):
+    """P of every next word after a prefix is the difference of two scores; all of them and the unknown word's make one."""
+    monkeypatch.setattr(katz, "HOT_TOKENS", 3)
+    train = spark.createDataFrame([(i, t) for i, t in enumerate(["a b c"] * 20 + ["a a b", "a c b d", "d a b c"])], "doc_id long, text string")
+    model = katz.fit(spark, train)
+    assert len(model.hot[1][0]) >= 3 and len(model.hot[2][0]) >= 3
+    prefixes, last = ["", "a", "a b", "a a", "d", "b", "zzz", "a b c"], ["a", "b", "c", "d", "never"]
+    rows = [(p, w, " ".join([*p.split(), w])) for p in prefixes for w in last] + [(p, None, p) for p in prefixes]
+    got = {x["doc_id"]: x["score"] for x in katz.score(spark, spark.createDataFrame([(i, t) for i, (*_, t) in enumerate(rows)], "doc_id long, text string"), model).collect()}
+    brute = Brute([[*t.split(), "</s>"] for t in ["a b c"] * 20 + ["a a b", "a c b d", "d a b c"]], 3)
+    for p in prefixes:
+        # the score of a text has the end's probability in it, which brute force takes away again
+        mass = 0.0
+        for i, (q, w, t) in enumerate(rows):
+            if q == p:
+                s = t.split()
+                end = np.log10(brute.p(brute.gram([*s, "</s>"], len(s), 3)[:-1], "</s>"))
+                assert got[i] == pytest.approx(brute.score([*s, "</s>"]), rel=1e-12)
+                if w is not None:
+                    mass += 10 ** (got[i] - end - (brute.score([*s[:-1], "</s>"]) - np.log10(brute.p(brute.gram([*s[:-1], "</s>"], len(s) - 1, 3)[:-1], "</s>"))))
+                else:
+                    mass += 10**end
+        assert mass == pytest.approx(1, abs=1e-9)
+
+
+def test_katz_is_the_same_whatever_is_hot(spark, monkeypatch):
     r = random.Random(11)
-    docs = [(i, " ".join(r.choice("a a a a b c d e f".split()) for _ in range(200))) for i in range(40)]
-    df = spark.createDataFrame(docs, "doc_id long, text string")
-    want = {x["doc_id"]: x["score"] for x in katz.score_texts(spark, df, F.col("doc_id") % 5 != 0).collect()}
-    monkeypatch.setattr(katz, "HOT_TOKENS", 10)
-    monkeypatch.setattr(katz, "HOT", 100)
-    got = {x["doc_id"]: x["score"] for x in katz.score_texts(spark, df, F.col("doc_id") % 5 != 0).collect()}
-    assert got == pytest.approx(want, rel=1e-3)
+    docs = spark.createDataFrame([(i, " ".join(r.choice("a a a a b c d e f".split()) for _ in range(200))) for i in range(40)] + [(50 + i, f"start {r.choice('abc')}") for i in range(30)], "doc_id long, text string").repartition(4)
+    monkeypatch.setattr(katz, "PART_BYTES", 2000)
+    cold = {x["doc_id"]: x["score"] for x in katz.score_texts(spark, docs, F.col("doc_id") % 5 != 0).collect()}
+    for least in (10, 0):
+        monkeypatch.setattr(katz, "HOT_TOKENS", least)
+        assert {x["doc_id"]: x["score"] for x in katz.score_texts(spark, docs, F.col("doc_id") % 5 != 0).collect()} == cold
+
+
+def test_katz_stored_model_scores_as_the_joint_run(spark, monkeypatch):
+    monkeypatch.setattr(katz, "PART_BYTES", 4000)
+    docs = spark.createDataFrame(katz_texts(), "doc_id long, text string").repartition(3)
+    train = F.col("doc_id") % 3 != 0
+    joint = {x["doc_id"]: x["score"] for x in katz.score_texts(spark, docs, train).collect()}
+    model = katz.fit(spark, docs.where(train))
+    assert {x["doc_id"]: x["score"] for x in katz.score(spark, docs, model).collect()} == joint
 
 
 def test_katz_awkward(spark, awkward, empty):
