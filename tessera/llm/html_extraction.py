@@ -21,7 +21,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from functools import cache
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +38,13 @@ BLOCKS = frozenset("address article aside blockquote body button caption center
 CLOSED_BY = {"p": BLOCKS - {"body", "html", "button"}, "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "tr": frozenset(["tr", "tbody", "tfoot", "thead"]), "td": frozenset(["td", "th", "tr", "tbody", "tfoot"]), "th": frozenset(["td", "th", "tr", "tbody", "tfoot"]), "option": frozenset(["option", "optgroup"]), "thead": frozenset(["tbody", "tfoot"]), "tbody": frozenset(["tbody", "tfoot"])}
 #: An end never implied across these.
 SCOPE = frozenset("table td th ul ol dl select article section div main nav aside footer header form body html blockquote figure".split())
-TAG = re.compile(r"""<(?:!--.*?(?:-->|\Z)|(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|(/?)([a-zA-Z][^\s/>]*)([^>]*)>|[!?/][^>]*>)""", re.S)
+NAME = re.compile(r"(/?)([a-zA-Z][^\s/>]*)")
+#: The rest of an ordinary tag. It never looks beyond the next "<", so a page is read in time proportional to its size.
+REST = re.compile(r"""[^<>"']*+(?:"[^<>"]*+"[^<>"']*+|'[^<>']*+'[^<>"']*+)*+>""")
+SPECIAL = re.compile(r"""[>"']""")
+#: Character references of more digits than any character has.
+LONG_REF = re.compile(r"&#(?:[0-9]{8,}|[xX][0-9a-fA-F]{8,});?")
+CLOSERS = frozenset().union(*CLOSED_BY.values())
 NAMED = re.compile(r"""\b(class|id|role|aria-label|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 PUNCT = re.compile(r"[.,;:!?]")
@@ -60,63 +66,140 @@ class Page:
     punct: list[int] = field(default_factory=lambda: [0])
 
 
-@cache
+@lru_cache(20_000)
 def attribute_words(attrs: str) -> tuple[str, ...]:
     return tuple(dict.fromkeys(w.lower() for m in NAMED.finditer(attrs) for w in WORD.findall(m[2] or m[3] or m[4] or "")))
 
 
+def unescaped(piece: str) -> str:
+    """Character references decoded; numbers beyond all characters become U+FFFD, as in the standard."""
+
+    def short(m: re.Match) -> str:
+        digits = m[0].strip("&#xX;").lstrip("0")
+        return "\ufffd" if len(digits) > 7 else f"&#{'x' if m[0][2] in 'xX' else ''}{digits or '0'};"
+
+    return html.unescape(LONG_REF.sub(short, piece) if "&#" in piece else piece) if "&" in piece else piece
+
+
+class Scanner:
+    """Finds tags. Every character is looked at a bounded number of times, however malformed the page."""
+
+    def __init__(self, source: str):
+        self.source = source
+        self.dead: set[int] = set()  # quotes outside which, from there on, no tag ends
+        self.headless = False
+
+    def tag_end(self, pos: int) -> int:
+        """Just after the tag whose name ends at pos: after the first ">" outside quotes, or else the first one at all;
+        -1 without any."""
+        m = REST.match(self.source, pos)
+        if m:
+            return m.end()
+        at, seen = pos, []
+        while m := SPECIAL.search(self.source, at):
+            if m[0] == ">":
+                return m.end()
+            if m.start() in self.dead:
+                break
+            seen.append(m.start())
+            close = self.source.find(m[0], m.end())
+            if close < 0:
+                break
+            at = close + 1
+        self.dead.update(seen)
+        return self.source.find(">", pos) + 1 or -1
+
+    def tags(self, pos: int) -> tuple[int, int, str, str, bool] | None:
+        """The next (start, end, name or "" of what is no element, attributes, whether it is an end tag) from pos on."""
+        source = self.source
+        while (start := source.find("<", pos)) >= 0:
+            if source.startswith("<!--", start):
+                end = start + (5 if source.startswith(">", start + 4) else 6) if source.startswith((">", "->"), start + 4) else source.find("-->", start + 4) + 3
+                return start, end if end > 2 else len(source), "", "", False
+            m = NAME.match(source, start + 1)
+            if m:
+                end = self.tag_end(m.end())
+                if end < 0:
+                    return self.comment(start)
+                return start, end, m[2].lower(), source[m.end() : end - 1], bool(m[1])
+            if source[start + 1 : start + 2] in ("!", "?", "/"):
+                end = source.find(">", start + 2) + 1
+                if not end:
+                    return self.comment(start)
+                return start, end, "", "", False
+            pos = start + 1
+        return None
+
+    def comment(self, pos: int) -> tuple[int, int, str, str, bool] | None:
+        """Where no tag ends any more, a comment that is never closed may still begin."""
+        start = self.source.find("<!--", pos)
+        return (start, len(self.source), "", "", False) if start >= 0 else None
+
+    def raw_end(self, tag: str, pos: int) -> int:
+        """Where the content of an element without text ends; -1 for a head that isn't closed, which is read on."""
+        if tag != "head":
+            stop = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(self.source, pos)
+            return stop.end() if stop else len(self.source)
+        stop = None if self.headless else HEAD_END.search(self.source, pos)
+        self.headless |= stop is None
+        return stop.end() if stop else -1
+
+
+HEAD_END = re.compile(r"</head\s*>|(?=<body\b)", re.I)
+#: Cells and tables keep inline end tags inside from closing what is open outside.
+FENCES = frozenset(["td", "th", "table"])
+#: Open elements that a new one may close, or that stop the search for one.
+MET = SCOPE | frozenset(CLOSED_BY)
+
+
 def parse(source: str) -> Page:
-    page = Page()
+    page, scan = Page(), Scanner(source)
     stack: list[tuple[str, int]] = [("#root", 0)]  # (tag, node of its text); inline elements share their parent's node
-    links = 0
-    at = 0
+    # depths of the open elements by tag, of those that stop an inline end tag, and of those that a new element meets
+    depths: dict[str, list[int]] = {}
+    fences: list[int] = []
+    meets: list[int] = []
 
     def text(piece: str) -> None:
-        piece = html.unescape(piece)
+        piece = unescaped(piece)
         node = stack[-1][1]
         page.segments.append((node, piece))
         n = len(piece) - piece.count(" ")
         page.chars[node] += n
         page.punct[node] += len(PUNCT.findall(piece))
-        if links:
+        if depths.get("a"):
             page.linked[node] += n
 
     def pop_to(depth: int) -> None:
-        nonlocal links
         while len(stack) > depth:
             tag, node = stack.pop()
-            if tag == "a":
-                links -= 1
+            depths[tag].pop()
+            if tag in FENCES:
+                fences.pop()
+            if tag in MET:
+                meets.pop()
             if tag in BLOCKS:
                 page.segments.append(None)
             if node != stack[-1][1]:
                 page.end[node] = len(page.tag)
 
-    pos, size = 0, len(source)
-    while pos < size:
-        m = TAG.search(source, pos)
-        if m is None:
-            break
-        if m.start() > at:
-            text(source[at : m.start()])
-        pos = at = m.end()
-        tag = (m[2] or m[5] or "").lower()
+    pos = at = 0
+    while found := scan.tags(pos):
+        start, pos, tag, attrs, closes = found
+        if start > at:
+            text(source[at:start])
+        at = pos
         if not tag:
             continue
-        if m[1] or m[4]:  # an end tag closes its element if that is open
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == tag:
-                    pop_to(k)
-                    break
-                if stack[k][0] in ("td", "th", "table") and tag not in BLOCKS:
-                    break
+        if closes:  # an end tag closes its element if that is open
+            own = depths.get(tag)
+            if own and (tag in BLOCKS or not fences or fences[-1] < own[-1]):
+                pop_to(own[-1])
             continue
-        attrs = m[3] or m[6] or ""
         if tag in RAW and not attrs.endswith("/"):
-            stop = re.compile(rf"</{re.escape(tag)}\s*>" if tag != "head" else r"</head\s*>|(?=<body\b)", re.I).search(source, pos)
-            if tag == "head" and stop is None:
-                continue
-            pos = at = stop.end() if stop else size
+            stop = scan.raw_end(tag, pos)
+            if stop >= 0:
+                pos = at = stop
             continue
         if tag in BLOCKS:
             page.segments.append(None)
@@ -124,15 +207,13 @@ def parse(source: str) -> Page:
             page.segments.append((stack[-1][1], " "))
         if tag in VOID or attrs.endswith("/"):
             continue
-        for k in range(len(stack) - 1, 0, -1):
-            open_ = stack[k][0]
-            if tag in CLOSED_BY.get(open_, ()):
-                pop_to(k)
-                break
-            if open_ in SCOPE:
-                break
-        if tag == "a":
-            links += 1
+        if tag in CLOSERS:
+            for k in [*meets[-len(CLOSED_BY) - 1 :]][::-1]:  # in one scope, a kind is open once
+                open_ = stack[k][0]
+                if tag in CLOSED_BY.get(open_, ()):
+                    pop_to(k)
+                elif open_ in SCOPE:
+                    break
         named = attribute_words(attrs) if attrs else ()
         node = stack[-1][1]
         if tag in BLOCKS or named:
@@ -145,8 +226,13 @@ def parse(source: str) -> Page:
             page.mark.append("data-m=" in attrs)
             for x in (page.chars, page.linked, page.punct):
                 x.append(0)
+        depths.setdefault(tag, []).append(len(stack))
+        if tag in FENCES:
+            fences.append(len(stack))
+        if tag in MET:
+            meets.append(len(stack))
         stack.append((tag, node))
-    if at < size:
+    if at < len(source):
         text(source[at:])
     pop_to(1)
     page.end[0] = len(page.tag)

@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -125,6 +126,25 @@ def test_pages_awkward(spark, extractor):
     assert html_extraction.extract(spark, spark.createDataFrame([], "page_id long, url string, html string"), extractor).count() == 0
 
 
+@pytest.mark.parametrize(
+    "source",
+    ["<a" * 500_000, "<b" * 500_000, 'a <b"' * 200_000, "</x>" * 250_000, "<b>" * 330_000, "<b><td>" + "<i>" * 160_000 + "</b>" * 120_000, "<head>" * 160_000, "<p><li>" * 140_000, "<b \"'>" * 160_000, "<b x='\"' y=\"'\" '>" * 60_000, "<b \"<b '" * 90_000 + ">", "<div class=a>" * 80_000, "&#" + "9" * 1_000_000 + ";", "<!--" * 250_000, "<!" * 500_000, "&" * 1_000_000],
+    ids=lambda s: s[:12],
+)
+def test_malformed_pages_take_time_in_proportion_to_their_size(extractor, source):
+    began = time.process_time()
+    extractor.texts([source])
+    assert time.process_time() - began < 10
+
+
+def test_parsing_of_odd_markup():
+    segments = lambda s: " ".join(re.sub("[|]+", "|", "".join(x[1] if x else "|" for x in html_extraction.parse(s).segments)).split())
+    assert segments("<ul><li><p>a<li><p>b</ul>c") == "|a|b|c" and html_extraction.parse("<ul><li><p>a<li><p>b</ul>c").depth == [0, 1, 2, 3, 2, 3]
+    assert segments("a <!--x--> b <!----> c <!--> d <!---> e <!-- f") == "a b c d e"
+    assert segments("1 < 2 <3 <b title='<>'>x</b> <b title='>y") == "1 < 2 <3 x y"
+    assert segments("&#65;&#x42;&#0000000000067;&#99999999999;&#xFFFFFFFFFF;&amp;lt;&nosuch;") == "ABC\ufffd\ufffd&lt;&nosuch;"
+
+
 # --- 2: language -----------------------------------------------------------------------------------------------------
 
 
