@@ -1,7 +1,9 @@
 """Building the box hierarchy that a table is clustered by.
 
-Coarse phase: nodes above `exact_rows` are halved level by level at an approximate median of their widest-spread
-dimension; each level is two aggregates over all rows, and the driver holds one small record for each coarse node.
+Coarse phase: nodes above `exact_rows` are cut into up to `FAN` parts a round, at medians of the widest-spread dimension of a
+sample of their rows. One task a node makes its cuts; they come to the rows as arrays by a join on the node, and one
+expression of constant size walks them. Rows that are equal in all dimensions are cut by a hash of their id, so that no
+part is larger than a task. The number of rounds is the logarithm of the table's size; the driver holds no tree.
 Exact phase: each remaining node goes to one task (at most about `exact_rows` rows), which applies the split rules below
 to the end. A node's path of 0s and 1s names it; nodes are numbered in pre-order, which is the order of paths.
 
@@ -15,15 +17,23 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.functions import boxes
 from tessera.functions.schema import ROW_ID
 
 #: A gap stands out if it is so many times the lower median of the positive gaps.
 DOMINANCE = 4.0
+#: Parts that a coarse node is cut into in one round, and sampled rows for each.
+FAN, SAMPLED = 1024, 64
+#: In place of an axis: no cut; cut by a hash of the row id.
+LEAF, BY_ID = -1, -2
+#: Cut nodes are broadcast to the rows up to so many, by count.
+BROADCAST_NODES = 100_000
 
 
 @dataclass(frozen=True)
@@ -114,49 +124,90 @@ def split_tree(x: np.ndarray, config: BuildConfig, depth: int = 0) -> list[tuple
     return out
 
 
-def split_group(pdf: pd.DataFrame, dims: list[str], config: BuildConfig) -> pd.DataFrame:
-    pdf = pdf.sort_values(ROW_ID, kind="stable").reset_index(drop=True)
-    top = pdf["path"].iloc[0]
-    path, place = np.empty(len(pdf), object), np.empty(len(pdf), np.int64)
-    for p, rows in split_tree(pdf[dims].to_numpy(np.float32), config, len(top)):
-        path[rows], place[rows] = top + p, np.arange(len(rows))
-    return pd.DataFrame({ROW_ID: pdf[ROW_ID], "path": path, "row_index": place, **{d: pdf[d] for d in dims}})
-
-
-def coarse_paths(points: DataFrame, dims: list[str], config: BuildConfig) -> Column:
-    """An expression for the coarse node of a row."""
-    cuts: dict[str, tuple[str, float]] = {}
-    done: set[str] = set()
+def split_group(rows: pa.Table, dims: list[str], config: BuildConfig) -> pa.Table:
+    """The rows of a coarse node, leaf by leaf, with their leaf's path and their place in it."""
+    rows = rows.take(pc.sort_indices(rows, sort_keys=[(ROW_ID, "ascending")]))
+    top = rows.column("path")[0].as_py()
+    x = np.stack([rows.column(d).to_numpy().astype(np.float32) for d in dims], 1)
+    leaves = split_tree(x, config, len(top))
+    order, size = np.concatenate([r for _, r in leaves]), [len(r) for _, r in leaves]
+    path = pa.array(np.repeat(np.array([top + p for p, _ in leaves], object), size), pa.string())
+    place = np.concatenate([np.arange(n) for n in size])
+    rows = rows.take(order).drop_columns(["path"])
+    return rows.append_column("path", path).append_column("row_index", pa.array(place))
+
+
+def cuts_of(x: np.ndarray, share: float, config: BuildConfig, depth: int, fan: int) -> dict[str, list]:
+    """Cuts of a coarse node from a sample of its rows, `share` of them all: per node its axis, cut, child on the left
+    (the one on the right follows it) and path below this node."""
+    axis, cut, left, name = [LEAF], [0.0], [0], [""]
+    todo = [(len(x), 0, np.arange(len(x)))]
+    while todo and len(axis) < 2 * fan:
+        todo.sort(key=lambda t: -t[0])
+        n, node, rows = todo.pop(0)
+        if n / share <= config.exact_rows or depth + len(name[node]) >= config.max_depth:
+            continue
+        values = x[rows]
+        d = int(values.var(0).argmax())
+        one = np.unique(values[:, d])
+        if len(one) > 1:
+            middle = float(np.median(values[:, d]))
+            middle = middle if middle > one[0] else float(one[1])
+            low = values[:, d] < middle
+            parts = [rows[low], rows[~low]]
+            sizes = [len(parts[0]), len(parts[1])]
+        else:
+            d, middle, parts, sizes = BY_ID, 0.0, [rows, rows], [n / 2, n / 2]
+        axis[node], cut[node], left[node] = d, middle, len(axis)
+        for k in (0, 1):
+            todo.append((sizes[k], len(axis), parts[k]))
+            axis.append(LEAF)
+            cut.append(0.0)
+            left.append(0)
+            name.append(name[node] + str(k))
+    return {"axis": axis, "cut": cut, "left": left, "name": name}
+
+
+CUTS = "path string, __axis array<int>, __cut array<double>, __left array<int>, __name array<string>"
+
+
+def coarse_paths(points: DataFrame, dims: list[str], config: BuildConfig) -> DataFrame:
+    """points with `path`, the coarse node of each row."""
+    points = points.withColumn("path", F.lit(""))
+    before = -1
     while True:
-        path = path_column(cuts)
-        sizes = points.groupBy(path.alias("path")).agg(F.count("*").alias("n"), *[F.var_pop(F.col(d).cast("double")).alias(f"v_{d}") for d in dims], *[F.percentile_approx(d, 0.5, 1000).alias(f"m_{d}") for d in dims], *[F.min(d).alias(f"a_{d}") for d in dims], *[F.max(d).alias(f"b_{d}") for d in dims])
-        more = [r for r in sizes.where(F.col("n") > config.exact_rows).collect() if r["path"] not in done and len(r["path"]) < config.max_depth]
-        if not more:
-            return path
-        for r in more:
-            wide = max(dims, key=lambda d: (r[f"v_{d}"], d))
-            if r[f"a_{wide}"] == r[f"b_{wide}"]:
-                done.add(r["path"])  # equal rows can't be told apart
-                continue
-            m = r[f"m_{wide}"]
-            cuts[r["path"]] = (wide, float(m) if m > r[f"a_{wide}"] else float(np.nextafter(np.float32(m), np.float32(np.inf))))
-
-
-def path_column(cuts: dict[str, tuple[str, float]], at: str = "") -> Column:
-    if at not in cuts:
-        return F.lit(at)
-    d, m = cuts[at]
-    return F.when(F.col(d) < m, path_column(cuts, at + "0")).otherwise(path_column(cuts, at + "1"))
+        large = points.groupBy("path").agg(F.count("*").alias("__n")).where(F.col("__n") > config.exact_rows).where(F.length("path") < config.max_depth)
+        nodes, rows = large.agg(F.count("*"), F.coalesce(F.sum("__n"), F.lit(0))).first()
+        if not nodes or (nodes, rows) == before:
+            return points
+        before = (nodes, rows)
+        small = F.broadcast if nodes <= BROADCAST_NODES else lambda df: df
+        share = F.least(F.lit(1.0), F.lit(float(FAN * SAMPLED)) / F.col("__n"))
+        drawn = points.join(small(large.withColumn("__share", share).drop("__n")), "path")
+        drawn = drawn.where(F.pmod(F.xxhash64(ROW_ID, F.lit(11)), F.lit(1 << 30)) < F.col("__share") * (1 << 30)).select("path", "__share", *[F.col(d).cast("double").alias(d) for d in dims])
+
+        def cut(sample: pa.Table) -> pa.Table:
+            x = np.stack([sample.column(d).to_numpy() for d in dims], 1)
+            top = sample.column("path")[0].as_py()
+            got = {"path": top} | {f"__{k}": v for k, v in cuts_of(x, sample.column("__share")[0].as_py(), config, len(top), FAN).items()}
+            return pa.Table.from_pylist([got], schema=pa.schema([("path", pa.string()), ("__axis", pa.list_(pa.int32())), ("__cut", pa.list_(pa.float64())), ("__left", pa.list_(pa.int32())), ("__name", pa.list_(pa.string()))]))
+
+        cuts = drawn.groupBy("path").applyInArrow(cut, CUTS)
+        value = F.array(*[F.col(d).cast("double") for d in dims])
+        axis = lambda node: F.get("__axis", node)
+        right = lambda node, i: F.when(axis(node) == BY_ID, F.pmod(F.call_function("shiftright", F.xxhash64(ROW_ID, F.lit(13)), i), F.lit(2)) == 1).otherwise(F.get(value, axis(node)) >= F.get("__cut", node))
+        step = lambda node, i: F.when(axis(node) == LEAF, node).otherwise(F.get("__left", node) + right(node, i).cast("int"))
+        node = F.aggregate(F.sequence(F.lit(0), F.lit(min(config.max_depth, 48))), F.lit(0), step)
+        points = points.join(small(cuts), "path", "left").withColumn("path", F.when(F.col("__axis").isNull(), F.col("path")).otherwise(F.concat("path", F.get("__name", node)))).select(*points.columns)
 
 
 def cluster(points: DataFrame, dims: list[str], config: BuildConfig) -> DataFrame:
-    """(row_id, path, row_index, dims) of points(row_id, dims): the leaf of each row and its place in it."""
+    """points(row_id, dims, ..) with the path of each row's leaf and its place in it, row_index."""
     if not points.take(1):
         raise ValueError("an index needs a row at least")
-    coarse = points.select(ROW_ID, *dims, coarse_paths(points, dims, config).alias("path"))
-    kinds = dict(points.dtypes)
-    schema = f"{ROW_ID} long, path string, row_index long, " + ", ".join(f"`{d}` {kinds[d]}" for d in dims)
-    return coarse.groupBy("path").applyInPandas(lambda pdf: split_group(pdf, dims, config), schema)
+    coarse = coarse_paths(points, dims, config)
+    schema = T.StructType([*points.schema.fields, T.StructField("path", T.StringType()), T.StructField("row_index", T.LongType())])
+    return coarse.groupBy("path").applyInArrow(lambda rows: split_group(rows, dims, config), schema)
 
 
 def node_table(clustered: DataFrame, dims: list[str]) -> DataFrame:

@@ -80,7 +80,7 @@ def rewrite(archive: Archive, rows: DataFrame, note: dict, keep_tombstones: bool
     if not keep_tombstones:
         carry = replace(carry, tombstones=0, tombstone_version=None)
     if not keep_delta:
-        carry = replace(carry, delta_rows=0, delta_version=None)
+        carry = replace(carry, delta_rows=0, delta_versions=())
     return Archive.create(archive.spark, archive.root, rows, m.schema, m.clustered_by, BuildConfig(**m.config), [*m.history, note], m.version + 1, m.dictionaries, carry)
 
 

@@ -136,10 +136,10 @@ def by_selectivity(metrics: DataFrame) -> DataFrame:
 
 
 def low_selectivity_gap(metrics: DataFrame) -> DataFrame:
-    """Tree baselines against the hierarchy in the low bucket: candidates more or less."""
+    """Tree baselines against the hierarchy in the low bucket: candidates more or less; null if it has no workload there."""
     low = by_selectivity(metrics).where("bucket = 'low'")
-    own = low.where("baseline = 'index'").select(F.col("candidates").alias("own"))
-    return low.where("baseline in ('kd_tree', 'r_tree')").join(own).select("baseline", "workloads", "candidates", (F.col("candidates") - F.col("own")).alias("gap"))
+    own = low.where("baseline = 'index'").select("bucket", F.col("candidates").alias("own"))
+    return low.where("baseline in ('kd_tree', 'r_tree')").join(own, "bucket", "left").select("baseline", "workloads", "candidates", (F.col("candidates") - F.col("own")).alias("gap"))
 
 
 def top_ratio(metrics: DataFrame) -> DataFrame:

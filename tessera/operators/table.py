@@ -26,10 +26,33 @@ class DeltaError(ValueError):
     pass
 
 
+@dataclass(frozen=True)
+class Part:
+    """A folder of a clustered table: rows, closed bounds of each field in its own type, rows in which a field is null."""
+
+    part: int
+    rows: int
+    bounds: dict[str, tuple]
+    nulls: dict[str, int]
+
+    def lies(self, p: Plan) -> str:
+        """How its rows lie to a plan: D (none can match), C (all match) or P."""
+        asked = {**p.box, **{n: (x, x) for n, x in p.labels.items() if p.schema[n].kind is Kind.CATEGORY}}
+        covered = all(q.field in asked for q in p.predicates)
+        for name, (low, high) in asked.items():
+            if name not in self.bounds:  # null in all rows
+                return "D"
+            least, most = self.bounds[name]
+            if most < low or least > high:
+                return "D"
+            covered &= low <= least and most <= high and not self.nulls.get(name)
+        return "C" if covered else "P"
+
+
 @dataclass
 class Table:
-    """`base` and `delta` are typed frames (row_id, fields). `leaves`: leaf boxes of the base by native type, and
-    `leaf_id` in the base, if it is clustered."""
+    """`base` and `delta` are typed frames (row_id, fields). `parts`: boxes of the base's folders, if it is clustered;
+    then the base has a partition column `part`."""
 
     schema: Schema
     base: DataFrame
@@ -37,7 +60,8 @@ class Table:
     tombstones: DataFrame | None = None
     dictionaries: dict[str, Dictionary] = field(default_factory=dict)
     statistics: Statistics | None = None
-    leaves: DataFrame | None = None
+    parts: tuple[Part, ...] = ()
+    pending: int | None = None
 
     def with_delta(self, delta: DataFrame | None, check: bool = True) -> Table:
         """A view with pending rows: same schema, not empty, no id of the base."""
@@ -50,7 +74,7 @@ class Table:
                 raise RecordError(f"row id {clash[0][0]} is in base and delta")
             if twice := delta.groupBy(ROW_ID).count().where("count > 1").take(1):
                 raise RecordError(f"row id {twice[0][0]} is in the delta twice")
-        return replace(self, delta=delta)
+        return replace(self, delta=delta, pending=None)
 
     def with_tombstones(self, ids: DataFrame | None) -> Table:
         """A view without some ids, of base and delta alike; unknown and repeated ids do no harm."""
@@ -68,7 +92,7 @@ class Table:
     def explain(self, predicates: list[Predicate], contract: Contract) -> Choice:
         if self.statistics is None:
             raise ValueError("the table has no statistics")
-        return choose(self.plan(predicates), self.statistics, contract, self.delta.count() if self.delta is not None else 0)
+        return choose(self.plan(predicates), self.statistics, contract, self._pending())
 
     def _visible(self, df: DataFrame) -> DataFrame:
         if self.tombstones is None:
@@ -78,27 +102,38 @@ class Table:
             gone = F.broadcast(gone)
         return df.join(gone, ROW_ID, "left_anti")
 
+    def _lies(self, p: Plan, kind: str) -> list[Part]:
+        return [x for x in self.parts if x.lies(p) in kind]
+
+    def _only(self, parts: list[Part]) -> DataFrame:
+        """The base restricted to some of its parts: other folders aren't listed or read."""
+        return self.base if len(parts) == len(self.parts) else self.base.where(F.col("part").isin([x.part for x in parts]))
+
     def _pruned(self, p: Plan) -> DataFrame:
-        """The base restricted to leaves whose boxes the plan meets; their bounds are in the fields' own types."""
-        if self.leaves is None or "leaf_id" not in self.base.columns:
-            return self.base
-        keep = self.leaves
-        for name, (low, high) in p.box.items():
-            keep = keep.where((F.col(f"max_{name}") >= F.lit(low)) & (F.col(f"min_{name}") <= F.lit(high)))
-        for name, label in p.labels.items():
-            if f"min_{name}" in keep.columns:
-                keep = keep.where((F.col(f"max_{name}") >= label) & (F.col(f"min_{name}") <= label))
-        return self.base.join(keep.select("leaf_id"), "leaf_id", "left_semi")
+        """The base restricted to parts whose boxes the plan meets; the plan is resolved on the boxes, without a job."""
+        return self._only(self._lies(p, "PC")) if self.parts and not p.unsatisfiable else self.base
+
+    def _traverses(self, p: Plan, contract: Contract) -> bool:
+        return self.statistics is not None and choose(p, self.statistics, contract, self._pending()).strategy in ("traversal", "hybrid")
+
+    def _pending(self) -> int:
+        """Pending rows, counted once."""
+        if self.pending is None:
+            self.pending = 0 if self.delta is None else self.delta.count()
+        return self.pending
 
     def _source(self, p: Plan, contract: Contract, planned: bool) -> DataFrame:
-        base = self.base
-        if planned and self.statistics is not None:
-            choice = choose(p, self.statistics, contract, 1 if self.delta is not None else 0)
-            if choice.strategy in ("traversal", "hybrid"):
-                base = self._pruned(p)
+        base = self._pruned(p) if planned and self._traverses(p, contract) else self.base
         out = base.select(ROW_ID, *self.schema.names)
         return out if self.delta is None else out.unionByName(self.delta)
 
+    def _split(self, p: Plan, planned: bool) -> tuple[int, Table] | None:
+        """For a planned query that needs no rows: how many rows of covered parts match without a look at them, and the
+        table that is left to look at. Tombstones may lie anywhere, so there must be none."""
+        if not planned or not self.parts or self.tombstones is not None or p.unsatisfiable:
+            return None
+        return sum(x.rows for x in self._lies(p, "C")), replace(self, base=self._only(self._lies(p, "P")), parts=())
+
     # --- contracts ---------------------------------------------------------------------------------------------------
 
     def scan(self) -> DataFrame:
@@ -114,10 +149,20 @@ class Table:
         return self.rows(predicates, planned, Contract.ROW_IDS).select(ROW_ID)
 
     def count(self, predicates: list[Predicate], planned: bool = False) -> DataFrame:
-        return self.rows(predicates, planned, Contract.COUNT).agg(F.count("*").alias("matches"))
+        """Planned, parts that the predicates cover count by their number of rows; the rest alone is read."""
+        p = self.plan(predicates)
+        covered, left = self._split(p, planned) or (0, None)
+        rows = left.rows(predicates) if left is not None else self.rows(predicates, planned, Contract.COUNT)
+        return rows.agg((F.count("*") + covered).alias("matches"))
 
     def exists(self, predicates: list[Predicate], planned: bool = False) -> DataFrame:
-        return self.rows(predicates, planned, Contract.EXISTS).limit(1).agg((F.count("*") > 0).alias("has_match"))
+        """Planned, a covered part decides without a row being read."""
+        p = self.plan(predicates)
+        covered, left = self._split(p, planned) or (0, None)
+        if covered:
+            return self.base.sparkSession.range(1).select(F.lit(True).alias("has_match"))
+        rows = left.rows(predicates) if left is not None else self.rows(predicates, planned, Contract.EXISTS)
+        return rows.limit(1).agg((F.count("*") > 0).alias("has_match"))
 
     def visit_row_ids(self, predicates: list[Predicate], visitor: Callable[[int], None], planned: bool = False) -> None:
         for r in self.rows(predicates, planned, Contract.VISIT_ROW_IDS).select(ROW_ID).toLocalIterator():
@@ -134,13 +179,15 @@ class Table:
         spark = self.base.sparkSession
         if planned and self.statistics is not None and choose(p, self.statistics, Contract.ROW_IDS, 0).strategy == "no_op" and self.delta is None:
             return spark.range(1).select(*[F.lit(0).cast("long").alias(c) for c in ("total_records", "candidate_records", "matched_records")], F.lit(0.0).alias("candidate_ratio"))
-        extra = self.delta.count() if self.delta is not None else 0
+        extra = self._pending()
         total = self.base.agg((F.count("*") + extra).alias("total_records"))
+        use_boxes = not planned or self.statistics is None or choose(p, self.statistics, Contract.ROW_IDS, extra).strategy != "flat_scan"
         if p.unsatisfiable:
             seen = spark.range(1).select(F.lit(0).cast("long").alias("candidate_records"))
+        elif use_boxes and self.parts:
+            seen = spark.range(1).select(F.lit(sum(x.rows for x in self._lies(p, "PC")) + extra).cast("long").alias("candidate_records"))
         else:
-            use_boxes = not planned or self.statistics is None or choose(p, self.statistics, Contract.ROW_IDS, extra).strategy != "flat_scan"
-            seen = (self._pruned(p) if use_boxes else self.base).agg((F.count("*") + extra).alias("candidate_records"))
+            seen = self.base.agg((F.count("*") + extra).alias("candidate_records"))
         got = self.rows(predicates).agg(F.count("*").alias("matched_records"))
         return total.join(seen).join(got).select("total_records", "candidate_records", "matched_records", F.when(F.col("total_records") > 0, F.col("candidate_records") / F.col("total_records")).otherwise(0.0).alias("candidate_ratio"))
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
 from tessera.functions.schema import ROW_ID
@@ -12,15 +13,18 @@ from tessera.sources.archive import Archive
 
 def append_stream(stream: DataFrame, root: str, checkpoint: str, policy: Policy | None = None, **trigger) -> StreamingQuery:
     """Write a typed stream (row_id, fields) into the table at `root`. A batch that is replayed after a failure adds
-    nothing, as ids there already are left out."""
+    nothing, as ids there already are left out. A batch is written as a file of its own; nothing pending is rewritten."""
 
     def run(batch: DataFrame, _: int) -> None:
         spark = batch.sparkSession
         a = Archive.load(spark, root)
+        own = batch.select(ROW_ID, *a.manifest.schema.names).dropDuplicates([ROW_ID])
+        low, high = own.agg(F.min(ROW_ID), F.max(ROW_ID)).first()
         known = a.data().select(ROW_ID)
         if (old := a.delta()) is not None:
             known = known.union(old.select(ROW_ID))
-        fresh = batch.select(ROW_ID, *a.manifest.schema.names).dropDuplicates([ROW_ID]).join(known, ROW_ID, "left_anti")
+        # ids are read within the batch's range alone: row groups beyond it are skipped
+        fresh = own.join(known.where(F.col(ROW_ID).between(low, high)), ROW_ID, "left_anti") if low is not None else own
         if fresh.take(1):
             a = a.put_delta(fresh)
         if policy is not None:
