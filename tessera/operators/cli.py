@@ -29,7 +29,8 @@ def main(argv: list[str] | None = None) -> int:
     for name, df in parts.items():
         df.show(100, False)
         if a.output:
-            write_csv(df, f"{a.output}/{name}")
+            write_csv(reports.with_metadata(df, {"dataset": a.dataset, "leaf_rows": 8, "kd_leaf_rows": reports.KD_LEAF, "packed_leaf_rows": reports.PACK_LEAF, "report": name}), f"{a.output}/{name}")
+    metrics.unpersist()
     return 0
 
 

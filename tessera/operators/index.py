@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import json
+import zlib
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import asdict, dataclass
 
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.boxes import Box, any_of
 from tessera.functions.schema import ROW_ID
+from tessera.sources.store import Store
 
 from . import layout
 from .layout import BuildConfig
@@ -27,6 +30,7 @@ class Index:
     nodes: DataFrame
     dims: list[str]
     config: BuildConfig
+    held: tuple[DataFrame, ...] = ()
 
     @classmethod
     def build(cls, points: DataFrame, dims: list[str], config: BuildConfig | None = None) -> Index:
@@ -34,7 +38,7 @@ class Index:
         clustered = layout.cluster(points, dims, config).persist()
         nodes = layout.node_table(clustered, dims).persist()
         ids = nodes.where("is_leaf").select("path", F.col("node_id").alias("leaf_id"))
-        return cls(clustered.join(ids, "path").select(ROW_ID, "leaf_id", "row_index", *dims), nodes, dims, config)
+        return cls(clustered.join(ids, "path").select(ROW_ID, "leaf_id", "row_index", *dims), nodes, dims, config, (clustered, nodes))
 
     @classmethod
     def checked(cls, points: DataFrame, dims: list[str], config: BuildConfig | None = None) -> Index:
@@ -107,6 +111,62 @@ class Index:
         """True at the first covered leaf, else at the first row found."""
         return bool(self.retained(region).where("coverage = 'C'").take(1) or self.query(region).take(1))
 
+    def exists_inspected(self, region: Box) -> DataFrame:
+        """(has_match, inspected_rows): how many rows are looked at, leaf by leaf, until the first one that matches; in a
+        covered leaf that is its first row. Without a match, all rows of the leaves that the region meets."""
+        kept = self.retained(region).select(F.col("node_id").alias("leaf_id"), "cardinality")
+        first = self.query(region).agg(F.min(F.struct("leaf_id", "row_index")).alias("first"))
+        seen = F.when(F.col("first").isNull() | (F.col("leaf_id") < F.col("first.leaf_id")), F.col("cardinality")).when(F.col("leaf_id") == F.col("first.leaf_id"), F.col("first.row_index") + 1)
+        looked = kept.join(first).agg(F.coalesce(F.sum(seen), F.lit(0)).cast("long").alias("inspected_rows"))  # first is one row
+        return first.select(F.col("first").isNotNull().alias("has_match")).join(looked)
+
+    def query_in_order(self, region: Box, parallel_from: int = 4) -> DataFrame:
+        """Rows in the region in the order of their leaves. If it meets fewer than `parallel_from` leaves, one task reads
+        them all; else the order is made by ranges of leaves."""
+        got = self.query(region)
+        few = self.retained(region).limit(parallel_from).count() < parallel_from
+        return got.coalesce(1).sortWithinPartitions("leaf_id", "row_index") if few else got.orderBy("leaf_id", "row_index")
+
+    def query_into(self, region: Box, buffer: list[Row]) -> None:
+        """Replace the caller's buffer by the rows in the region; a partition is held at a time beside it."""
+        buffer.clear()
+        buffer.extend(self.query(region).toLocalIterator())
+
+    def visit_references(self, region: Box, visitor: Callable[[int, int], None]) -> None:
+        """Call the visitor with each row's leaf and place in it, a partition at a time."""
+        for r in self.references(region).toLocalIterator():
+            visitor(r["leaf_id"], r["row_index"])
+
+    # --- files -------------------------------------------------------------------------------------------------------
+
+    def save(self, path: str) -> None:
+        """Rows by leaf, nodes, and a description with its length and checksum."""
+        spark = self.nodes.sparkSession
+        path = path.rstrip("/")
+        self.rows.repartitionByRange("leaf_id").sortWithinPartitions("leaf_id", "row_index").write.mode("errorifexists").parquet(f"{path}/rows")
+        self.nodes.write.mode("errorifexists").parquet(f"{path}/nodes")
+        body = json.dumps({"magic": "tessera-index", "dims": self.dims, "config": asdict(self.config), "rows": self.rows.count(), "nodes": self.nodes.count()}, sort_keys=True)
+        Store(spark, path).replace("index.json", json.dumps({"length": len(body), "crc32": zlib.crc32(body.encode()), "body": body}))
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> Index:
+        """An index as saved; raises if its description is damaged or doesn't fit its rows and nodes."""
+        path = path.rstrip("/")
+        envelope = json.loads(Store(spark, path).read("index.json"))
+        body = envelope["body"]
+        if (len(body), zlib.crc32(body.encode())) != (envelope["length"], envelope["crc32"]):
+            raise InvalidIndex("the description's length or checksum is wrong")
+        d = json.loads(body)
+        out = cls(spark.read.parquet(f"{path}/rows"), spark.read.parquet(f"{path}/nodes"), d["dims"], BuildConfig(**d["config"]))
+        if d["magic"] != "tessera-index" or (out.rows.count(), out.nodes.count()) != (d["rows"], d["nodes"]):
+            raise InvalidIndex("rows or nodes aren't what the description says")
+        return out
+
+    def release(self) -> None:
+        """Give up what `build` holds in memory."""
+        for df in self.held:
+            df.unpersist()
+
     def stats(self, region: Box) -> DataFrame:
         """One row: visited nodes, leaves, records and ratios of a traversal."""
         kept = self.retained(region)

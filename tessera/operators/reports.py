@@ -17,7 +17,7 @@ from tessera.sources.archive import Archive
 
 from .index import Index
 from .layout import BuildConfig, node_table
-from .maintenance import Policy, maintain
+from .maintenance import Policy, append, compact, maintain
 from .predicates import Predicate
 from .table import Table
 
@@ -57,18 +57,23 @@ def kd_layout(points: DataFrame, dims: list[str], leaf: int = KD_LEAF, exact_row
     return own.withColumn("part", F.spark_partition_id() if parts > 1 else F.lit(0)).groupBy("part").applyInPandas(lambda pdf: kd_group(pdf.drop(columns="part").sort_values(ROW_ID), dims, leaf), schema)
 
 
-def packed_layout(points: DataFrame, dims: list[str], leaf: int = PACK_LEAF) -> DataFrame:
-    """Rows with leaf_id: sorted by the first axis (ties by the others, then id), `leaf` rows each. Ranks come from a
-    range-partitioned sort and the partitions' sizes, not from one global window."""
-    ordered = points.select(ROW_ID, *dims).repartitionByRange(F.col(dims[0])).withColumn("p", F.spark_partition_id())
-    sizes = {r["p"]: r["n"] for r in ordered.groupBy("p").agg(F.count("*").alias("n")).collect()}
+def ranked(df: DataFrame, by: list[str], name: str = "place") -> DataFrame:
+    """Rows with their rank from 0 in an order, from a range-partitioned sort and the partitions' sizes, not from one
+    global window. The sort is written out by its shuffle only; `by` should tell rows apart."""
+    ordered = df.repartitionByRange(*by).withColumn("__p", F.spark_partition_id())
+    sizes = {r["__p"]: r["n"] for r in ordered.groupBy("__p").agg(F.count("*").alias("n")).collect()}
     at, first = 0, []
     for p in sorted(sizes):
         first.append((p, at))
         at += sizes[p]
-    starts = points.sparkSession.createDataFrame(first, "p int, first long")
-    rank = F.row_number().over(Window.partitionBy("p").orderBy(*dims, ROW_ID)) - 1
-    return ordered.withColumn("r", rank).join(F.broadcast(starts), "p").select(ROW_ID, *dims, F.floor((F.col("r") + F.col("first")) / leaf).alias("leaf_id"))
+    starts = df.sparkSession.createDataFrame(first, "__p int, __first long")
+    rank = F.row_number().over(Window.partitionBy("__p").orderBy(*by)) - 1
+    return ordered.withColumn("__r", rank).join(F.broadcast(starts), "__p").withColumn(name, (F.col("__r") + F.col("__first")).cast("long")).drop("__p", "__r", "__first")
+
+
+def packed_layout(points: DataFrame, dims: list[str], leaf: int = PACK_LEAF) -> DataFrame:
+    """Rows with leaf_id: sorted by the first axis (ties by the others, then id), `leaf` rows each."""
+    return ranked(points.select(ROW_ID, *dims), [*dims, ROW_ID]).select(ROW_ID, *dims, F.floor(F.col("place") / leaf).alias("leaf_id"))
 
 
 def packed_levels(leaves: DataFrame, dims: list[str], fan: int = PACK_FAN) -> list[DataFrame]:
@@ -197,19 +202,54 @@ def compared_archive(make: Callable[[], Archive], asked: list[Predicate], policy
     a = make()
     seconds = {}
 
-    def timed(name: str, f: Callable[[], object]) -> object:
-        t = time.perf_counter()
-        out = f()
-        seconds[name] = time.perf_counter() - t
+    def stopped(name: str, f: Callable[[], object]) -> object:
+        out, seconds[name] = timed(f)
         return out
 
-    loaded = timed("load", lambda: Archive.load(a.spark, a.root, check=True))
-    before = timed("query_before", lambda: sorted(r[0] for r in loaded.table().row_ids(asked).collect()))
-    after, decision = timed("maintain", lambda: maintain(loaded, policy))
-    got = timed("query_after", lambda: sorted(r[0] for r in after.table().row_ids(asked).collect()))
+    loaded = stopped("load", lambda: Archive.load(a.spark, a.root, check=True))
+    before = stopped("query_before", lambda: sorted(r[0] for r in loaded.table().row_ids(asked).collect()))
+    after, decision = stopped("maintain", lambda: maintain(loaded, policy))
+    got = stopped("query_after", lambda: sorted(r[0] for r in after.table().row_ids(asked).collect()))
     return {"agreement": before == got, "matched": len(got), "action": decision.action, "reason": decision.reason, **{f"{k}_seconds": v for k, v in seconds.items()}}
 
 
+def timed(f: Callable[[], object]) -> tuple[object, float]:
+    t = time.perf_counter()
+    out = f()
+    return out, time.perf_counter() - t
+
+
+def compared_load(archive: Archive, asked: list[Predicate], rebuild: Callable[[], Archive]) -> dict:
+    """Opening a stored table against building it again: equal answers, and the seconds of each."""
+    want = sorted(r[0] for r in archive.table().row_ids(asked).collect())
+    loaded, load = timed(lambda: Archive.load(archive.spark, archive.root))
+    built, build = timed(rebuild)
+    got = [sorted(r[0] for r in x.table().row_ids(asked, planned=True).collect()) for x in (loaded, built)]
+    return {"agreement": got == [want, want], "matched": len(want), "load_seconds": load, "build_seconds": build}
+
+
+def compared_append(make: Callable[[], Archive], batch: DataFrame, asked: list[Predicate]) -> dict:
+    """A pending batch against a rebuild with it: equal answers, and the seconds of writing and asking each way."""
+    pending, put = timed(lambda: make().put_delta(batch))
+    rebuilt, build = timed(lambda: append(make(), batch))
+    got, seconds = zip(*(timed(lambda x=x: sorted(r[0] for r in x.table().row_ids(asked, planned=True).collect())) for x in (pending, rebuilt)), strict=True)
+    return {"agreement": got[0] == got[1], "matched": len(got[0]), "delta_seconds": put, "rebuild_seconds": build, "delta_query_seconds": seconds[0], "rebuilt_query_seconds": seconds[1]}
+
+
+def compared_compaction(make: Callable[[], Archive], ids: DataFrame, asked: list[Predicate]) -> dict:
+    """A table with tombstones against itself compacted: equal answers, rows kept, and the seconds of asking each."""
+    before, put = timed(lambda: make().put_tombstones(ids))
+    want, query = timed(lambda: sorted(r[0] for r in before.table().row_ids(asked).collect()))
+    after, seconds = timed(lambda: compact(before))
+    got, compacted = timed(lambda: sorted(r[0] for r in after.table().row_ids(asked, planned=True).collect()))
+    return {"agreement": want == got, "matched": len(got), "rows": after.manifest.rows, "tombstone_seconds": put, "compact_seconds": seconds, "query_seconds": query, "compacted_query_seconds": compacted}
+
+
+def with_metadata(report: DataFrame, metadata: dict) -> DataFrame:
+    """A report with what it was made from in columns before it, the same in every row."""
+    return report.select(*[F.lit(v).alias(k) for k, v in metadata.items()], "*")
+
+
 def footprint_comparison(one: dict, other: dict) -> dict:
     """Two footprints side by side: `other` as a multiple of `one`."""
     return {f"{k}_ratio": (other[k] / one[k] if one[k] else float("inf")) for k in one if isinstance(one[k], (int, float)) and k in other}

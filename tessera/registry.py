@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import json
 import tempfile
+import zlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -12,14 +14,15 @@ from tessera.functions import boxes, encoders
 from tessera.functions.boxes import Box
 from tessera.functions.encoders import DimensionMapping, RecordEncoder
 from tessera.functions.schema import ROW_ID, Field, Kind, Schema, milliseconds, typed
-from tessera.operators import csv_lifecycle, layout, maintenance, reports
-from tessera.operators.index import Index
+from tessera.operators import cli, csv_lifecycle, layout, maintenance, reports
+from tessera.operators.index import Index, InvalidIndex
 from tessera.operators.layout import BuildConfig
-from tessera.operators.predicates import Predicate, plan
+from tessera.operators.predicates import Predicate, PredicateError, plan
 from tessera.operators.table import Table, statistics_of
-from tessera.plans.planner import Contract, choose
+from tessera.plans.planner import Contract, Statistics, choose
 from tessera.sources import csv, generators
-from tessera.sources.archive import Archive, content_hash
+from tessera.sources.archive import Archive, content_hash, read_batch, write_batch
+from tessera.sources.store import ArchiveError, Store
 from tessera.streaming.delta import append_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -148,6 +151,27 @@ def _(s, d):
     return orders_table(s, d).rows([PRICE, Predicate.range("o_totalprice", 250000.0, 300000.0)])
 
 
+@query("typed_eq_ordinal", f"SELECT * FROM ({O_SQL}) WHERE o_custkey = 7")
+def _(s, d):
+    return orders_table(s, d).rows([Predicate.equals(0, 7)])
+
+
+@query("validation_errors", "SELECT * FROM (VALUES ('unknown field', 'UnknownField'), ('unknown ordinal', 'UnknownField'), ('null literal', 'NullLiteral'), ('text for a number', 'TypeMismatch'), ('integer for a float', 'TypeMismatch'), ('not a number', 'NotFinite'), ('infinite', 'NotFinite'), ('range of a category', 'RangeUnsupported'), ('inverted range', 'InvertedRange'), ('no predicate', 'EmptyConjunction')) t(\"case\", error)")
+def _(s, d):
+    cases = {
+        "unknown field": [Predicate.equals("nothing", 1)], "unknown ordinal": [Predicate.equals(99, 1)], "null literal": [Predicate.equals("o_custkey", None)], "text for a number": [Predicate.equals("o_custkey", "7")], "integer for a float": [Predicate.equals("o_totalprice", 7)],
+        "not a number": [Predicate.equals("o_totalprice", float("nan"))], "infinite": [Predicate.range("o_totalprice", 0.0, float("inf"))], "range of a category": [Predicate.range("o_orderstatus", "A", "F")], "inverted range": [Predicate.range("o_custkey", 9, 1)], "no predicate": [],
+    }
+    out = []
+    for name, asked in cases.items():
+        try:
+            orders_table(s, d).rows(asked)
+            out.append((name, "none"))
+        except PredicateError as e:
+            out.append((name, type(e).__name__))
+    return s.createDataFrame(out, "case string, error string")
+
+
 @query("typed_empty_result", f"SELECT * FROM ({O_SQL}) WHERE o_totalprice BETWEEN -5 AND -1")
 def _(s, d):
     return orders_table(s, d).rows([Predicate.range("o_totalprice", -5.0, -1.0)])
@@ -460,6 +484,57 @@ def _(s, d):
     return Index.build(points(s, d), DIMS, BuildConfig(256, 24)).count(REGION)
 
 
+@query("index_file", f"SELECT row_id FROM ({P_SQL}) WHERE {R_SQL}")
+def _(s, d):
+    path = folder(s)
+    Index.build(points(s, d), DIMS, BuildConfig(256, 24)).save(path)
+    return Index.load(s, path).query(REGION).select(ROW_ID)
+
+
+@query("rows_in_leaf_order", f"SELECT leaf_id, row_index, row_number() OVER (ORDER BY leaf_id, row_index) - 1 AS place FROM ({_REF}) WHERE {R_SQL}")
+def _(s, d):
+    got = grid_index(s, d).query_in_order(REGION).select("leaf_id", F.col("row_index").cast("long").alias("row_index"))
+    return s.createDataFrame([(r[0], r[1], i) for i, r in enumerate(got.collect())], "leaf_id long, row_index long, place long")
+
+
+@query("reusable_rows", f"SELECT row_id FROM ({P_SQL}) WHERE {R_SQL}")
+def _(s, d):
+    buffer: list = [None]
+    grid_index(s, d).query_into(REGION, buffer)
+    return s.createDataFrame([(r[ROW_ID],) for r in buffer], "row_id long")
+
+
+@query("visit_references", f"SELECT leaf_id, row_index FROM ({_REF}) WHERE {R_SQL}")
+def _(s, d):
+    seen: list = []
+    grid_index(s, d).visit_references(REGION, lambda leaf, at: seen.append((leaf, at)))
+    return s.createDataFrame(seen, "leaf_id long, row_index long")
+
+
+@query("exists_inspected", "SELECT * FROM (VALUES ('cluster_boundary_range', true, 4::BIGINT), ('full_dataset_range', true, 1), ('empty_far_range', false, 0), ('large_cross_cluster_boundary', true, 5), ('large_full_dataset_range', true, 1)) t(workload, has_match, inspected_rows)")
+def _(s, d):
+    out = None
+    for large, names in ((False, ("cluster_boundary_range", "full_dataset_range", "empty_far_range")), (True, ("large_cross_cluster_boundary", "large_full_dataset_range"))):
+        i = Index.build(generators.clusters(s, *(generators.LARGE if large else generators.SMALL)).drop("cluster"), DIMS, BuildConfig(8, 16 if large else 8))
+        for name in names:
+            one = i.exists_inspected(dict(generators.workloads(large))[name]).select(F.lit(name).alias("workload"), "has_match", "inspected_rows")
+            out = one if out is None else out.union(one)
+    return out
+
+
+@query("checked_build", "SELECT * FROM (VALUES ('good', false), ('too deep for its leaves', true)) t(\"case\", refused)")
+def _(s, d):
+    p = generators.clusters(s, *generators.LARGE).drop("cluster")
+    out = []
+    for name, depth in (("good", 16), ("too deep for its leaves", 8)):
+        try:
+            Index.checked(p, DIMS, BuildConfig(8, depth)).release()
+            out.append((name, False))
+        except InvalidIndex:
+            out.append((name, True))
+    return s.createDataFrame(out, "case string, refused boolean")
+
+
 @query("validate_good", "SELECT * FROM (VALUES ('node_ids', 0::BIGINT), ('dimensions', 0), ('leaf_cardinality', 0), ('leaf_shapes', 0), ('leaf_rows_in_bounds', 0), ('ownership', 0), ('topology', 0), ('parent_bounds', 0)) t(\"check\", violations)")
 def _(s, d):
     p = generators.clusters(s, *generators.SMALL).drop("cluster")
@@ -522,7 +597,59 @@ def _(s, d):
 
 @query("planned_rows", f"SELECT * FROM ({O_SQL}) WHERE {WHERE}")
 def _(s, d):
-    return planned(s, d).rows([PRICE, STATUS], planned=True)
+    return clustered(s, d).rows([PRICE, STATUS], planned=True)
+
+
+@query("planned_count", f"SELECT count(*) AS matches FROM orders WHERE {WHERE}")
+def _(s, d):
+    return clustered(s, d).count([PRICE, STATUS], planned=True)
+
+
+@query("planned_exists", f"SELECT count(*) > 0 AS has_match FROM orders WHERE {WHERE}")
+def _(s, d):
+    return clustered(s, d).exists([PRICE, STATUS], planned=True)
+
+
+NARROW = [Predicate.range("o_totalprice", 100000.0, 110000.0), Predicate.range("o_custkey", 1, 500)]
+N_WHERE = "o_totalprice BETWEEN 100000 AND 110000 AND o_custkey BETWEEN 1 AND 500"
+
+
+@query("planned_narrow_rows", f"SELECT * FROM ({O_SQL}) WHERE {N_WHERE}")
+def _(s, d):
+    return clustered(s, d).rows(NARROW, planned=True)
+
+
+@query("flat_narrow_rows", f"SELECT * FROM ({O_SQL}) WHERE {N_WHERE}")
+def _(s, d):
+    return clustered(s, d).rows(NARROW)
+
+
+@query("covered_count", "SELECT count(*) AS matches FROM orders WHERE o_totalprice BETWEEN 0 AND 300000")
+def _(s, d):
+    return clustered(s, d).count([Predicate.range("o_totalprice", 0.0, 300000.0)], planned=True)
+
+
+#: A plan for each reason: (reason, strategy, rows, nodes, leaves, fields in the hierarchy, pending rows, predicates).
+REASONS = [
+    ("unsatisfiable_plan", "no_op", 1000, 31, 16, 2, 0, ((0, 10, 20), (0, 30, 40))), ("empty_index", "no_op", 0, 0, 0, 2, 0, ((0, 10, 20),)), ("no_candidates_estimated", "no_op", 1000, 31, 16, 2, 0, ((0, 200, 300),)),
+    ("append_delta_scan", "hybrid", 1000, 31, 16, 2, 5, ((0, 10, 20),)), ("broad_categorical_equality", "flat_scan", 1000, 31, 16, 2, 0, (("c", "a"),)), ("high_dimensional_low_constraint_query", "flat_scan", 1000, 31, 16, 9, 0, ((0, 0, 30),)),
+    ("broad_materialized_query", "flat_scan", 1000, 31, 16, 2, 0, ((0, 0, 90),)), ("broad_geometry", "flat_scan", 1000, 31, 16, 2, 0, ((0, 0, 90),)), ("adversarial_geometry", "flat_scan", 1000, 3, 2, 2, 0, ((0, 0, 15),)),
+    ("selective_geometry", "traversal", 1000, 31, 16, 2, 0, ((0, 0, 10),)), ("moderate_geometry", "traversal", 1000, 3, 1, 2, 0, ((0, 0, 15),)), ("cost_model_override", "flat_scan", 1000, 31, 16, 2, 0, ((0, 0, 30),)),
+    ("dimension_mismatch", "flat_scan", 1000, 31, 16, 1, 0, ((1, 0, 10),)),
+]
+
+
+@query("planner_reasons", "SELECT * FROM (VALUES " + ", ".join(f"('{r[0]}', '{r[1]}')" for r in REASONS) + ") t(reason, strategy)")
+def _(s, d):
+    out = []
+    for wanted, _, rows, nodes, leaves, n, pending, asked in REASONS:
+        schema = Schema([*[Field(f"f{i}", Kind.INTEGER) for i in range(max(n, 2))], Field("c", Kind.CATEGORY)])
+        root = {f"f{i}": (0, 100) for i in range(n)} | ({"c": (0, 1)} if n == 2 else {})
+        p = plan(schema, [Predicate.equals(*a) if len(a) == 2 else Predicate.range(*a) for a in asked])
+        contract = {"broad_materialized_query": Contract.ROWS, "adversarial_geometry": Contract.EXISTS}.get(wanted, Contract.COUNT)
+        got = choose(p, Statistics(rows, nodes, leaves, root if rows else {}, {"c": {"a": 900, "b": 100}}, {"c": ["a", "b"]}), contract, pending)
+        out.append((got.reason, got.strategy))
+    return s.createDataFrame(out, "reason string, strategy string")
 
 
 # --- storage lifecycle -----------------------------------------------------------------------------------------------
@@ -532,7 +659,9 @@ def folder(s: SparkSession) -> str:
     """A new folder for a table: in the shared folder that the session names, else a temporary one of a local run."""
     import uuid
 
-    named = s.conf.get("spark.checkpoint.dir", None)
+    named = s.conf.get("spark.checkpoint.dir", None) or s.sparkContext.getCheckpointDir()
+    if not named and not s.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     return f"{named}/table-{uuid.uuid4().hex}" if named else f"file://{tempfile.mkdtemp(prefix='table-')}/t"
 
 
@@ -541,6 +670,17 @@ def archived(s: SparkSession, d: str, base: DataFrame | None = None) -> Archive:
     return Archive.create(s, folder(s), df, ORDERS, ["o_totalprice", "o_custkey"], BuildConfig(max_leaf=2000, exact_rows=1_000_000))
 
 
+_CLUSTERED: dict[tuple[str, str], Archive] = {}
+
+
+def clustered(s: SparkSession, d: str) -> Table:
+    """The orders as a clustered table, written once for each session and scale."""
+    key = (s.sparkContext.applicationId, d)
+    if key not in _CLUSTERED:
+        _CLUSTERED[key] = archived(s, d)
+    return _CLUSTERED[key].table()
+
+
 @query("archive_roundtrip", O_SQL)
 def _(s, d):
     a = archived(s, d)
@@ -610,6 +750,94 @@ def _(s, d):
     return content_hash(orders(s, d)).select("rows")
 
 
+@query("content_hash_checks", "SELECT count(*) AS rows, true AS same_reordered, false AS same_changed, false AS same_doubled FROM orders")
+def _(s, d):
+    df = orders(s, d)
+    variants = [df, df.orderBy(F.desc("o_totalprice")).repartition(3), df.withColumn("o_custkey", F.when(F.col(ROW_ID) == read(s, d, "orders").agg(F.min("o_orderkey")).first()[0], -1).otherwise(F.col("o_custkey"))), df.union(df)]
+    (n, one), (_, again), (_, changed), (_, doubled) = (tuple(content_hash(x).first()) for x in variants)
+    return s.createDataFrame([(n, one == again, one == changed, one == doubled)], "rows long, same_reordered boolean, same_changed boolean, same_doubled boolean")
+
+
+@query("archive_integrity", "SELECT * FROM (VALUES ('intact', false), ('a section of other files', true), ('a changed manifest', true), ('another kind', true), ('another format', true)) t(\"case\", refused)")
+def _(s, d):
+    a = archived(s, d)
+    text = a.manifest.to_json()
+    cases = {"intact": text, "a section of other files": None, "a changed manifest": text.replace('"rows": ', '"rows": 1', 1), "another kind": _sealed(text, kind="other"), "another format": _sealed(text, format=99)}
+    store, out = Store(s, a.root), []
+    for name, body in cases.items():
+        if body is None:
+            s.range(1).write.mode("append").parquet(f"{a.root}/v=1/nodes")
+        else:
+            store.replace("manifest.json", body)
+        try:
+            Archive.load(s, a.root)
+            out.append((name, False))
+        except ArchiveError:
+            out.append((name, True))
+    return s.createDataFrame(out, "case string, refused boolean")
+
+
+def _sealed(manifest: str, **changes) -> str:
+    """A manifest with changes, under a right length and checksum."""
+    body = json.loads(manifest)["body"] | changes
+    raw = json.dumps(body, indent=1, sort_keys=True).encode()
+    return json.dumps({"length": len(raw), "crc32": zlib.crc32(raw), "body": body})
+
+
+@query("archive_sections", "SELECT * FROM (VALUES ('data', true), ('delta', true), ('manifest', true), ('nodes', true), ('tombstones', true)) t(section, held)")
+def _(s, d):
+    return lifecycle(s, d).footprint().select("section", ((F.col("bytes") > 0) & (F.col("files") > 0)).alias("held"))
+
+
+@query("operation_history", "SELECT * FROM (VALUES (0, 'create', (SELECT count(*) FROM orders WHERE o_orderkey % 10 < 8)), (1, 'delta', (SELECT count(*) FROM orders WHERE o_orderkey % 10 >= 8)), (2, 'tombstones', (SELECT count(*) FROM orders WHERE o_orderkey % 7 = 0)), (3, 'rebuild', (SELECT count(*) FROM orders WHERE o_orderkey % 7 <> 0))) t(place, action, rows)")
+def _(s, d):
+    a, _ = maintenance.maintain(lifecycle(s, d), maintenance.Policy(1, 1, 1))
+    return s.createDataFrame([(i, h["action"], h.get("rows_written", h.get("rows"))) for i, h in enumerate(a.manifest.history)], "place int, action string, rows long")
+
+
+@query("several_pending_batches", f"SELECT * FROM ({O_SQL}) WHERE {WHERE}")
+def _(s, d):
+    every = orders(s, d)
+    a = archived(s, d, every.where(F.pmod(ROW_ID, F.lit(10)) < 7))
+    for k in (7, 8, 9):
+        a = a.put_delta(every.where(F.pmod(ROW_ID, F.lit(10)) == k))
+    return Archive.load(s, a.root).table().rows([PRICE, STATUS], planned=True)
+
+
+@query("batch_file", f"SELECT * FROM ({O_SQL}) WHERE row_id % 10 >= 8")
+def _(s, d):
+    path = folder(s)
+    write_batch(orders(s, d).where(F.pmod(ROW_ID, F.lit(10)) >= 8), path, ORDERS)
+    return read_batch(s, path)[0]
+
+
+@query("mapped_archive", f"SELECT * FROM ({O_SQL}) WHERE {N_WHERE}")
+def _(s, d):
+    m = DimensionMapping(ORDERS, [("o_custkey", (1,)), ("o_totalprice", (0, 2))])
+    a = Archive.create(s, folder(s), orders(s, d), ORDERS, config=BuildConfig(max_leaf=2000), mapping=m)
+    assert a.manifest.mapping == (("o_totalprice", (0, 2)), ("o_custkey", (1,)))
+    return Archive.load(s, a.root).table().rows(NARROW, planned=True)
+
+
+@query("load_comparison", f"SELECT true AS agreement, count(*) AS matched FROM orders WHERE {WHERE}")
+def _(s, d):
+    r = reports.compared_load(archived(s, d), [PRICE, STATUS], lambda: archived(s, d))
+    return s.createDataFrame([(r["agreement"], r["matched"])], "agreement boolean, matched long")
+
+
+@query("append_comparison", f"SELECT true AS agreement, count(*) AS matched FROM orders WHERE {WHERE}")
+def _(s, d):
+    every = orders(s, d)
+    r = reports.compared_append(lambda: archived(s, d, every.where(F.pmod(ROW_ID, F.lit(10)) < 8)), every.where(F.pmod(ROW_ID, F.lit(10)) >= 8), [PRICE, STATUS])
+    return s.createDataFrame([(r["agreement"], r["matched"])], "agreement boolean, matched long")
+
+
+@query("compaction_comparison", f"SELECT true AS agreement, count(*) FILTER (WHERE {WHERE}) AS matched, count(*) AS rows FROM orders WHERE o_orderkey % 7 <> 0")
+def _(s, d):
+    r = reports.compared_compaction(lambda: archived(s, d), orders(s, d).where(F.col(ROW_ID) % 7 == 0).select(ROW_ID), [PRICE, STATUS])
+    return s.createDataFrame([(r["agreement"], r["matched"], r["rows"])], "agreement boolean, matched long, rows long")
+
+
 # --- CSV -------------------------------------------------------------------------------------------------------------
 
 
@@ -643,6 +871,30 @@ def _(s, d):
     return Archive.create(s, folder(s), df, schema, config=BuildConfig(2)).table().scan()
 
 
+@query("csv_folder_by_name", "SELECT CAST(n_nationkey AS BIGINT) AS row_id, n_name, CAST(n_regionkey AS BIGINT) AS n_regionkey FROM nation")
+def _(s, d):
+    """Two files of a folder, with their columns in different orders and one that only one file has."""
+    path, df = folder(s), read(s, d, "nation")
+    for k, (where, cols) in enumerate((("n_nationkey < 10", ["n_nationkey", "n_name", "n_regionkey"]), ("n_nationkey >= 10", ["n_regionkey", "extra", "n_nationkey", "n_name"]))):
+        df.where(where).withColumn("extra", F.lit("x,y")).select(*cols).coalesce(1).write.option("header", True).csv(f"{path}/part={k}")
+    return csv.read_csv(s, path, Schema([Field("n_name", Kind.CATEGORY), Field("n_regionkey", Kind.INTEGER)]), NATION_ID)[0]
+
+
+@query("csv_report_with_metadata", "SELECT 'small' AS dataset, 8::BIGINT AS leaf_rows, b AS baseline, 6::BIGINT AS workloads, 360::BIGINT AS total FROM (SELECT unnest(['flat_scan', 'kd_tree', 'r_tree', 'index']) AS b)")
+def _(s, d):
+    path = folder(s)
+    csv.write_csv(reports.with_metadata(reports.aggregated(reports.workload_metrics(s, False)).select("baseline", "workloads", "total"), {"dataset": "small", "leaf_rows": 8}), path)
+    got = csv.read_strings(s, path, csv.CsvOptions())
+    return got.select("dataset", F.col("leaf_rows").cast("long").alias("leaf_rows"), "baseline", *[F.col(c).cast("long").alias(c) for c in ("workloads", "total")])
+
+
+@query("command_line_reports", "SELECT * FROM (VALUES ('aggregate', 4::BIGINT), ('workloads', 24), ('low_selectivity_gap', 2)) t(report, rows)")
+def _(s, d):
+    path = folder(s)
+    cli.main(["--dataset", "small", "--output", path])
+    return s.createDataFrame([(n, csv.read_strings(s, f"{path}/{n}", csv.CsvOptions()).count()) for n in ("aggregate", "workloads", "low_selectivity_gap")], "report string, rows long")
+
+
 NATION = Schema([Field("n_nationkey", Kind.INTEGER), Field("n_name", Kind.CATEGORY), Field("n_regionkey", Kind.INTEGER)])
 NATION_ID = csv.CsvOptions(row_id="n_nationkey")
 N_SQL = "SELECT CAST(n_nationkey AS BIGINT) AS row_id, CAST(n_nationkey AS BIGINT) AS n_nationkey, n_name, CAST(n_regionkey AS BIGINT) AS n_regionkey FROM nation"
@@ -700,7 +952,7 @@ def _(s, d):
 
 @query("typed_comparison", f"SELECT true AS agreement, count(*) AS matched FROM ({O_SQL}) WHERE {WHERE}")
 def _(s, d):
-    r = reports.compared_typed(planned(s, d), [PRICE, STATUS], 1)
+    r = reports.compared_typed(clustered(s, d), [PRICE, STATUS], 1)
     return s.createDataFrame([(r["agreement"], r["matched"])], "agreement boolean, matched long")
 
 
@@ -770,10 +1022,26 @@ def _(s, d):
     return reports.top_ratio(metrics(s, d)).select("baseline", F.round("weighted_ratio", 6).alias("weighted_ratio"))
 
 
+@query("baseline_footprints", "SELECT * FROM (VALUES ('kd_tree', 60::BIGINT, 15::BIGINT, 720::BIGINT), ('r_tree', 60, 5, 560)) t(baseline, rows, nodes, bytes)")
+def _(s, d):
+    p = generators.clusters(s, *generators.SMALL).drop("cluster")
+    levels = reports.packed_levels(boxes.bounds(reports.packed_layout(p, DIMS), DIMS, ["leaf_id"]), DIMS)
+    nodes = {"kd_tree": reports.kd_nodes(p, DIMS).count(), "r_tree": sum(x.count() for x in levels)}
+    got = [reports.baseline_footprint(k, 60, n, 2) for k, n in nodes.items()]
+    return s.createDataFrame([(g["baseline"], g["rows"], g["nodes"], g["bytes"]) for g in got], "baseline string, rows long, nodes long, bytes long")
+
+
+@query("interleaved_timing", "SELECT * FROM (VALUES ('a', 5::BIGINT, true), ('b', 5, true)) t(run, calls, timed)")
+def _(s, d):
+    order: list[str] = []
+    t = reports.measured({"a": lambda: order.append("a"), "b": lambda: order.append("b")}, iterations=4, warm_up=1)
+    assert order == ["a", "b", *"abbaabba"]
+    return s.createDataFrame([(k, order.count(k), t[k] >= 0) for k in t], "run string, calls long, timed boolean")
+
+
 @query("lexicographic_sort", "SELECT vec_id, row_number() OVER (ORDER BY embedding, vec_id) AS place FROM embeddings")
 def _(s, d):
-    w = Window.orderBy("embedding", "vec_id")
-    return reports.lexicographic(read(s, d, "embeddings"), "embedding").select("vec_id", F.row_number().over(w).cast("long").alias("place"))
+    return reports.ranked(read(s, d, "embeddings"), ["embedding", "vec_id"]).select("vec_id", (F.col("place") + 1).alias("place"))
 
 
 @query("baselines_agree", f"SELECT b AS baseline, workload, (SELECT count(*) FROM {_PT} p WHERE p.x BETWEEN w.low AND w.high) AS matched FROM {_WL} w, (SELECT unnest(['flat_scan', 'kd_tree', 'r_tree', 'index']) AS b)")

@@ -1,11 +1,12 @@
 """CSV ingest: an all-string scan, explicit or inferred schema, exact casts, row ids from a column or generated.
 
-Headers and cells are trimmed of Unicode white space; columns are matched by name, extra columns ignored; an empty cell is
-null. A file is split by Spark's reader only if no cell holds a line break (`multi_line=False`).
+Headers and cells are trimmed of Unicode white space; columns are matched by name, file by file; extra columns are ignored
+where a schema says what is wanted; an empty cell is null. A file is split by Spark's reader only if no cell holds a line break (`multi_line=False`).
 """
 
 from __future__ import annotations
 
+from csv import reader
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -39,23 +40,76 @@ def trimmed(col: str) -> Column:
     return F.nullif(F.regexp_replace(F.col(f"`{col}`"), SPACE, ""), F.lit(""))
 
 
-def read_strings(spark: SparkSession, path: str, options: CsvOptions) -> DataFrame:
-    """All columns as trimmed strings, empty ones null, in file order by `__order`."""
-    reader = spark.read.option("header", True).option("quote", '"').option("escape", '"').option("multiLine", options.multi_line).option("inferSchema", False).option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
-    # ragged rows are caught by reading the header as a schema with a corrupt-record column
-    names = reader.csv(path).columns
-    clean = [n.strip() for n in names]
-    first = reader.option("header", False).csv(path).limit(1).collect()
-    given = [str(x).strip() for x in first[0] if x is not None] if first else []
-    if not given:
-        raise CsvError("no header")
-    if len(set(given)) != len(given):
-        raise CsvError(f"duplicate headers: {sorted({n for n in given if given.count(n) > 1})}")
-    schema = T.StructType([T.StructField(n, T.StringType()) for n in clean] + [T.StructField(_BAD, T.StringType())])
-    raw = reader.schema(schema).option("header", True).option("enforceSchema", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", _BAD).csv(path)
-    out = raw.select(*[trimmed(n).alias(n) for n in clean], _BAD, F.monotonically_increasing_id().alias(_ORDER))
-    if len(clean) == 1:  # a blank line is no record of a single column
-        out = out.where(F.col(clean[0]).isNotNull())
+def files_of(spark: SparkSession, path: str) -> list[str]:
+    """The files below a path that hold any bytes, in order of their names."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    top = jvm.org.apache.hadoop.fs.Path(path)
+    fs = top.getFileSystem(conf)
+    out, todo = [], list(fs.globStatus(top) or [])
+    while todo:
+        s = todo.pop()
+        name = s.getPath().getName()
+        if s.isDirectory():
+            todo += [c for c in fs.listStatus(s.getPath()) if not c.getPath().getName().startswith(("_", "."))]
+        elif s.getLen() and not name.startswith(("_", ".")):
+            out.append(s.getPath().toString())
+    if not out:
+        raise CsvError(f"no header: no file with content at {path}")
+    return sorted(out)
+
+
+def header_of(spark: SparkSession, file: str) -> tuple[str, ...]:
+    """The trimmed names in a file's first record."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    p = jvm.org.apache.hadoop.fs.Path(file)
+    stream = p.getFileSystem(conf).open(p)
+    codec = jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(conf).getCodec(p)
+    lines = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(codec.createInputStream(stream) if codec else stream, "UTF-8"))
+    try:
+        text = ""
+        while (line := lines.readLine()) is not None:
+            text += line
+            if not text.strip():
+                text = ""
+            elif text.count('"') % 2 == 0:
+                break
+            else:
+                text += "\n"
+    finally:
+        lines.close()
+    names = tuple(x.strip() for x in next(iter(reader([text.removeprefix("\ufeff")])), []))
+    if not any(names):
+        raise CsvError(f"no header in {file}")
+    if len(set(names)) != len(names):
+        raise CsvError(f"duplicate headers in {file}: {sorted({n for n in names if names.count(n) > 1})}")
+    return names
+
+
+def read_strings(spark: SparkSession, path: str, options: CsvOptions, wanted: list[str] | None = None) -> DataFrame:
+    """All columns as trimmed strings, empty ones null, in file order by `__order`. Each file's own header says where its
+    columns are. Files must hold all `wanted` columns, of which others are ignored; or, if none are named, have the
+    same names, in whatever order."""
+    groups: dict[tuple[str, ...], list[str]] = {}
+    for f in files_of(spark, path):
+        groups.setdefault(header_of(spark, f), []).append(f)
+    names = wanted or list(next(iter(groups)))
+    for header, files in groups.items():
+        if missing := [n for n in names if n not in header]:
+            raise CsvError(f"no columns {missing} in {files[0]}")
+        if wanted is None and (extra := [n for n in header if n not in names]):
+            raise CsvError(f"columns {extra} in {files[0]} that other files don't have")
+    given = spark.read.option("header", True).option("quote", '"').option("escape", '"').option("multiLine", options.multi_line).option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).option("enforceSchema", True).option("mode", "PERMISSIVE").option("columnPruning", False).option("columnNameOfCorruptRecord", _BAD)
+    out = None
+    for header, files in groups.items():
+        # ragged rows are caught by a corrupt-record column
+        schema = T.StructType([T.StructField(n, T.StringType()) for n in header] + [T.StructField(_BAD, T.StringType())])
+        one = given.schema(schema).csv(files)
+        if len(header) == 1:  # a blank line is no record of a single column
+            one = one.where(trimmed(header[0]).isNotNull())
+        # the row is read whole, so that a ragged one shows whatever columns are asked for
+        one = one.select(*[trimmed(n).alias(n) for n in names], _BAD)
+        out = one if out is None else out.union(one)
+    out = out.withColumn(_ORDER, F.monotonically_increasing_id())
     if bad := out.where(F.col(_BAD).isNotNull()).take(1):
         raise CsvError(f"a ragged row: {bad[0][_BAD]!r}")
     return out.drop(_BAD)
@@ -139,13 +193,13 @@ def numbered(df: DataFrame, first: int) -> tuple[DataFrame, Column]:
 def read_csv(spark: SparkSession, path: str, schema: Schema | None = None, options: CsvOptions | None = None) -> tuple[DataFrame, Schema]:
     """A typed table from CSV files, with its explicit or inferred schema."""
     options = options or CsvOptions()
-    raw = read_strings(spark, path, options)
+    raw = read_strings(spark, path, options, None if schema is None else list(dict.fromkeys([*schema.names, *([options.row_id] if options.row_id else [])])))
     schema = schema or infer_schema(raw, options.kinds)
     return to_typed(raw, schema, options), schema
 
 
 def read_row_ids(spark: SparkSession, path: str, options: CsvOptions) -> DataFrame:
-    raw = read_strings(spark, path, options)
+    raw = read_strings(spark, path, options, [options.row_id] if options.row_id else None)
     if options.row_id is None:
         src, rid = numbered(raw, options.first_row_id)
         return src.select(rid.alias(ROW_ID))
