@@ -38,12 +38,12 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import drop_path, fold, prepare, read_table, write_table
+from .common import drop_path, drop_table, fold, prepare, read_table, write_bucketed, write_table
+from .packing import by_bucket, dealt_out, pack, pack_sorted, parts_of, record, rows_of, schema_of, unpack, unpack_sorted
 from .textcore import blocks, bounds, mix, words
 
 ORDER, TOP = 3, 5
@@ -61,49 +61,6 @@ FACTS = 2 * TOP + 1
 STORED = -1  # the block number of a row of a stored count table
 
 
-def pack(x: np.ndarray) -> bytes:
-    """Whole numbers >= 0 as compressed byte planes of the narrowest type that holds them, after its size."""
-    if not len(x):
-        return b""
-    x = x.astype(np.min_scalar_type(int(x.max())))
-    return bytes([x.itemsize]) + zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T))
-
-
-def unpack(raw: bytes | None, kind=np.int64) -> np.ndarray:
-    if not raw:
-        return np.zeros(0, kind)
-    b = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw[1:]), np.uint8)
-    return np.ascontiguousarray(b.reshape(raw[0], -1).T).reshape(-1).view(f"u{raw[0]}").astype(kind)
-
-
-def pack_sorted(x: np.ndarray) -> bytes:
-    return pack(np.diff(x.astype(np.uint64), prepend=np.uint64(0)))
-
-
-def unpack_sorted(raw: bytes | None, kind=np.uint64) -> np.ndarray:
-    return np.cumsum(unpack(raw, np.uint64), dtype=np.uint64).astype(kind)
-
-
-def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-    for b in batches:
-        for i in range(b.num_rows):
-            yield b.slice(i, 1).to_pylist()[0]
-
-
-def record(schema: pa.Schema, rows: list[tuple]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)] if rows else [pa.array([], f.type) for f in schema], schema=schema)
-
-
-def schema_of(ddl: str) -> pa.Schema:
-    kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "array<bigint>": pa.list_(pa.int64())}
-    return pa.schema([(n, kinds[k]) for n, k in (x.split() for x in ddl.split(", "))])
-
-
-def parts_of(code: np.ndarray, n: int) -> np.ndarray:
-    """Partition of hashes: equal ranges, so that sorted hashes are sorted by partition."""
-    return ((code >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)).astype(np.int64)
-
-
 # --- the model's arithmetic ------------------------------------------------------------------------------------------
 
 
@@ -193,8 +150,8 @@ class Texts:
     the place after the last one is the start of a text. Places follow the tables' numbers, unseen n-grams come last."""
 
     def __init__(self, r: dict):
-        self.words = unpack_sorted(r["words"])
         self.of = unpack(r["tokens"])
+        self.kinds = int(self.of.max()) + 1
         self.sizes = unpack(r["sizes"])
         self.train = unpack(r["train"]).astype(bool)
         self.doc = np.repeat(np.arange(len(self.sizes)), self.sizes)
@@ -221,7 +178,7 @@ class Texts:
             self.log_p = self.log_p[order]
 
     def next_order(self) -> None:
-        v = len(self.words)
+        v = self.kinds
         before = np.empty(len(self.of), np.int64)
         before[1:] = self.of[:-1]
         before[self.first] = len(self.ids[-1])
@@ -245,10 +202,9 @@ TOLD_WORDS_SCHEMA = schema_of(TOLD_WORDS)
 
 def word_counts(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
     for r in rows_of(batches):
-        t = Texts(r)
-        count = t.training_counts()
-        at = np.searchsorted(parts_of(t.words, buckets), np.arange(buckets + 1))
-        yield record(WORDS_SCHEMA, [(k, r["block"], pack_sorted(t.words[i:j]), pack(count[i:j]), None) for k, (i, j) in enumerate(zip(at[:-1], at[1:], strict=True)) if j > i])
+        key, count = unpack_sorted(r["words"]), Texts(r).training_counts()
+        at = np.searchsorted(parts_of(key, buckets), np.arange(buckets + 1))
+        yield record(WORDS_SCHEMA, [(k, r["block"], pack_sorted(key[i:j]), pack(count[i:j]), None) for k, (i, j) in enumerate(zip(at[:-1], at[1:], strict=True)) if j > i])
 
 
 def add_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -275,18 +231,6 @@ def add_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield record(TOLD_WORDS_SCHEMA, [(r["block"], bucket, None, pack(rank[own]), pack(total[own]), None)])
 
 
-def by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[dict]]]:
-    """The rows of each bucket of a stream sorted by bucket."""
-    held: list[dict] = []
-    for r in rows_of(batches):
-        if held and held[-1]["bucket"] != r["bucket"]:
-            yield held[-1]["bucket"], held
-            held = []
-        held.append(r)
-    if held:
-        yield held[-1]["bucket"], held
-
-
 # --- orders 2 and up -------------------------------------------------------------------------------------------------
 
 GRAMS = "bucket int, block long, heads binary, many binary, flags binary, words binary, counts binary, below binary"
@@ -365,7 +309,7 @@ class Dealt:
 def know_words(t: Texts, told: list[dict]) -> None:
     """Take in the answers about the block's words."""
     counts = joined(told, "counts")
-    if len(counts) != len(t.words):
+    if len(counts) != t.kinds:
         raise RuntimeError("a block got no answer about some of its words")
     ids = np.concatenate([(a["bucket"] << 32) + unpack(a["ranks"]) for a in told])
     t.number(np.where(counts > 0, ids, LAST), counts)
@@ -529,17 +473,13 @@ def hot_numbers(told: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return x[:, 0], x[:, 1:]
 
 
-def dealt_out(rows: DataFrame, buckets: int) -> DataFrame:
-    return rows.repartition(buckets, "bucket").sortWithinPartitions("bucket")
-
-
-def run(spark: SparkSession, docs: DataFrame, train, order: int = ORDER, model: Model | None = None) -> tuple[DataFrame, Model, list[str]]:
-    """(scores, model, paths of the tables that only this run needs). With a model its stored tables give all counts and
+def run(spark: SparkSession, docs: DataFrame, train, order: int = ORDER, model: Model | None = None) -> tuple[DataFrame, Model, list[str], str]:
+    """(scores, model, paths of the tables that only this run needs, name of the table of tokens). With a model its stored tables give all counts and
     `train` must be false; without one, the rows for which it holds are counted and the tables stored."""
     prepare(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce(train, F.lit(True)).alias("train"))
-    tokens, path = write_table(spark, docs.mapInArrow(block_tokens, TOKENS), "tokens")
-    drop, new = [path], model is None
+    hashed, hashed_path = write_table(spark, docs.mapInArrow(block_tokens, TOKENS), "hashed")
+    drop, new = [], model is None
     if new:
         size = docs.agg(F.sum(F.octet_length("text")).alias("n"), F.count_if("train").alias("starts")).first()
         model = Model(order, max(1, -(-(size["n"] or 0) // PART_BYTES)), size["starts"])
@@ -547,7 +487,7 @@ def run(spark: SparkSession, docs: DataFrame, train, order: int = ORDER, model:
     none = F.lit(None).cast("binary")
     for k in range(1, model.order + 1):
         if k == 1:
-            asked, kind = tokens.mapInArrow(partial(word_counts, buckets=model.buckets), WORDS), TOLD_WORDS
+            asked, kind = hashed.mapInArrow(partial(word_counts, buckets=model.buckets), WORDS), TOLD_WORDS
             step = add_words
         else:
             asked, kind = met(tokens, answers).mapInArrow(partial(gram_counts, order=k, model=bare(model)), GRAMS), TOLD
@@ -563,11 +503,14 @@ def run(spark: SparkSession, docs: DataFrame, train, order: int = ORDER, model:
                 model.hot.append(hot_numbers(told))
         else:
             drop.append(path)
+        if k == 1:  # from here on words are numbers
+            tokens, name = write_bucketed(spark, hashed.drop("words"), "tokens", "block", model.buckets)
+            drop_path(spark, hashed_path)
         own = told.where(F.col("block") != STORED).select("block", F.lit(k).alias("n"), "bucket", "counts", "ranks", *(F.col(c) if k > 1 else none.alias(c) for c in ("flags", "facts")))
         answers = own if answers is None else answers.unionByName(own)
     shared = spark.sparkContext.broadcast(model)  # at most HOT histories an order
     scores = met(tokens, answers).mapInArrow(partial(evaluate, held=shared), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
-    return scores, model, drop
+    return scores, model, drop, name
 
 
 def bare(model: Model) -> Model:
@@ -583,30 +526,31 @@ def met(tokens: DataFrame, answers: DataFrame) -> DataFrame:
 
 def fit(spark: SparkSession, docs: DataFrame, order: int = ORDER) -> Model:
     """A model of all rows of docs(doc_id, text). Its count tables stay in the shared folder, at `paths`."""
-    _, model, paths = run(spark, docs, F.lit(True), order)
-    for p in paths:
-        drop_path(spark, p)
+    _, model, paths, name = run(spark, docs, F.lit(True), order)
+    forget(spark, paths, name)
     return model
 
 
 def score(spark: SparkSession, docs: DataFrame, model: Model) -> DataFrame:
     """Scores of every row of docs(doc_id, text) under a fitted model."""
-    scores, _, paths = run(spark, docs, F.lit(False), model.order, model)
-    return finished(spark, scores, paths)
+    scores, _, paths, name = run(spark, docs, F.lit(False), model.order, model)
+    out, _ = write_table(spark, scores, "scores")
+    forget(spark, paths, name)
+    return out
 
 
 def score_texts(spark: SparkSession, docs: DataFrame, train, order: int = ORDER) -> DataFrame:
     """Scores of every row of docs(doc_id, text); train: a boolean Column, whether a row is learned from."""
-    scores, model, paths = run(spark, docs, train, order)
-    return finished(spark, scores, [*paths, *model.paths])
+    scores, model, paths, name = run(spark, docs, train, order)
+    out, _ = write_table(spark, scores, "scores")
+    forget(spark, [*paths, *model.paths], name)
+    return out
 
 
-def finished(spark: SparkSession, scores: DataFrame, paths: list[str]) -> DataFrame:
-    """The scores as a table of their own; what they were made from is deleted."""
-    out, _ = write_table(spark, scores, "scores")
+def forget(spark: SparkSession, paths: list[str], name: str) -> None:
     for p in paths:
         drop_path(spark, p)
-    return out
+    drop_table(spark, name)
 
 
 def op10_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
