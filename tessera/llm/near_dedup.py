@@ -5,16 +5,18 @@
 2. The signatures of class representatives are dealt out by band key. Inside a bucket, pairs are compared one batch of
    16 minima after the other; after each batch a pair is dropped when the posterior probability that its similarity
    reaches the threshold has fallen below `MISS`. What survives leaves only a spanning forest, not all pairs.
-3. The forests' components gather all texts that may be linked. Each component is verified exactly: pairs that survive
-   the same pruning and aren't connected yet get their exact intersection from full shingle sets.
-4. Components of the verified links, with the smallest id of each.
+3. The forests' edges are verified on full shingle sets: each text goes to its roots, a root to all parts of its group.
+4. Where an edge fails, the components of the verified links on both its sides, all that it connected, are compared:
+   the texts of the largest one go to one block each, the others to every block of the group, and pairs that survive the
+   same pruning and aren't connected yet get their exact intersection.
+5. Components of the verified links, with the smallest id of each.
 
-Buckets and components larger than a block are split: rows are dealt to pairs of blocks, so that no task holds an
-unbounded group; a component's blocks are bounded by shingles too, and no task gathers texts. No pair of different texts that agrees in a band is lost but for `MISS`; texts at the threshold 0.85
-agree in one of the bands with probability 1 - (1 - 0.85^5)^20 > 0.99999.
+Buckets and groups larger than a block are split, so that no task holds an unbounded group; a group's blocks are bounded by
+shingles too, and no task gathers texts. No pair of different texts that agrees in a band is lost but for `MISS`; texts at
+the threshold 0.85 agree in one of the bands with probability 1 - (1 - 0.85^5)^20 > 0.99999.
 
 Null or empty texts have no shingles, link with nothing and are their own component; so are rows with a null id, whose
-component is null and which are kept. Rows with the same id are one text each and share a component if their texts link.
+component is null and which are kept. Rows with the same id give a row each and share a component, that of all their texts.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, components, prepare, read_table, write_table
+from .common import Kept, components, prepare, read_table, small, write_table
 from .textcore import blocks, mix, shingle_sets
 
 BANDS, ROWS, BATCH = 20, 5, 16
@@ -204,28 +206,65 @@ def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([sets if n == "text" else b.rows.column(n) for n in b.rows.schema.names], b.rows.schema.names)
 
 
+def shingles_of(batch: pa.RecordBatch) -> list[np.ndarray]:
+    return [np.frombuffer(s.as_buffer(), np.uint64) for s in batch.column("text")]
+
+
+def stars(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """For each edge (rep, root), one with side 0 being the root itself: whether the link is there."""
+    for batch in groups(shingled(batches), ("comp", "bi"), 2048):
+        if not batch.num_rows:
+            continue
+        at = starts_of(batch, ("comp", "bi"))
+        rep, comp, side = (batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("rep", "comp", "side"))
+        sets = shingles_of(batch)
+        linked = np.zeros(batch.num_rows, bool)
+        for lo, hi in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+            roots = [sets[i] for i in range(lo, hi) if side[i] == 0]
+            for i in np.flatnonzero(side[lo:hi] != 0) + lo:
+                linked[i] = any(100 * (n := common(sets[i], r)) >= percent * (len(sets[i]) + len(r) - n) for r in roots)
+        edge = side != 0
+        yield pa.RecordBatch.from_arrays([pa.array(rep[edge]), pa.array(comp[edge]), pa.array(linked[edge])], ["u", "v", "linked"])
+
+
+def common(a: np.ndarray, b: np.ndarray) -> int:
+    """The size of the intersection of two sorted sets."""
+    if len(a) > len(b):
+        a, b = b, a
+    if not len(a):
+        return 0
+    at = np.minimum(np.searchsorted(b, a), len(b) - 1)
+    return int((b[at] == a).sum())
+
+
 def verified(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """Spanning forests of the exact links inside each component (or pair of its blocks)."""
-    for batch in groups(shingled(batches), ("comp", "bi", "bj"), 2048):
+    """Spanning forests of the exact links, in a block of a group, between texts that aren't connected (`known`) yet."""
+    for batch in groups(shingled(batches), ("comp", "bi"), 2048):
         if not batch.num_rows:
             continue
-        at = starts_of(batch, ("comp", "bi", "bj"))
-        rep, side = (batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("rep", "side"))
-        sets = [np.frombuffer(s.as_buffer(), np.uint64) for s in batch.column("text")]
+        at = starts_of(batch, ("comp", "bi"))
+        rep, side, known = (batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("rep", "side", "known"))
+        sets = shingles_of(batch)
         u, v = [], []
         for lo, hi in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
-            root = exact_links(sets[lo:hi], side[lo:hi], percent)
-            own = np.flatnonzero(root != np.arange(hi - lo))
+            first, of = np.unique(known[lo:hi], return_index=True, return_inverse=True)[1:]
+            start = first[of]
+            root = exact_links(sets[lo:hi], side[lo:hi], start, percent)
+            own = np.flatnonzero(root != start)
             u.append(rep[lo + own])
             v.append(rep[lo + root[own]])
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(u)), pa.array(np.concatenate(v))], ["u", "v"])
 
 
-def exact_links(sets: list[np.ndarray], side: np.ndarray, percent: int) -> np.ndarray:
-    """Least labels of the components of exact links among some sets. Intersections with all others are counted at once
-    from the postings of a set's shingles, and only where a plausible pair isn't connected yet."""
-    n = len(sets)
-    root = np.arange(n)
+#: Sides of a block: of the largest component, dealt once; of another one, at home in another block or in this one.
+DATA, GUEST, HOME = 0, 1, 2
+
+
+def exact_links(sets: list[np.ndarray], side: np.ndarray, start: np.ndarray, percent: int) -> np.ndarray:
+    """Least labels of the components of exact links among some sets, from the labels `start`. Intersections with all
+    others are counted at once from the postings of a set's shingles, and only where a plausible pair isn't connected
+    yet. Pairs of two DATA sets or two GUEST sets aren't looked at here."""
+    n, root = len(sets), start
     if n < 2:
         return root
     size = np.array([len(s) for s in sets], np.int64)
@@ -237,7 +276,7 @@ def exact_links(sets: list[np.ndarray], side: np.ndarray, percent: int) -> np.nd
     posting, begin = owner[order], np.concatenate([[0], np.cumsum(np.bincount(code, minlength=len(every)))])
     for i in range(n):
         b = np.arange(i + 1, n)
-        b = b[(root[b] != root[i]) & ((side[b] != side[i]) | (side[b] == 0))]
+        b = b[(root[b] != root[i]) & ((side[b] != side[i]) | (side[b] == HOME))]
         if len(b):
             b = b[plausible(np.full(len(b), i), b, sig, size, percent)]
         if not len(b):
@@ -252,45 +291,90 @@ def exact_links(sets: list[np.ndarray], side: np.ndarray, percent: int) -> np.nd
     return root
 
 
-def dealt(rows: DataFrame, keys: list[str], count: str, block: int, volume: Column | None = None) -> DataFrame:
+def dealt(rows: DataFrame, keys: list[str], count: str, block: int, by: str = "rep") -> DataFrame:
     """Rows of groups over `block` members go to every pair of blocks that theirs is part of: bi, bj, and side (0 in a
-    pair of a block with itself, else 1 or 2). With volume, the blocks that a group's volume takes, there are as many
-    where that is more, up to one for each member."""
-    nb = F.ceil(F.col(count) / block).cast("int")
-    if volume is not None:
-        nb = F.greatest(nb, F.least(volume, F.col(count)).cast("int"))
-    own = rows.withColumn("nb", nb).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("nb")).cast("int"))
+    pair of a block with itself, else 1 or 2)."""
+    own = rows.withColumn("nb", F.ceil(F.col(count) / block).cast("int")).withColumn("own", F.pmod(F.xxhash64(by), F.col("nb")).cast("int"))
     wide = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
     wide = wide.withColumns({"bi": F.least("own", "other"), "bj": F.greatest("own", "other"), "side": F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2)})
     return wide.drop("nb", "own", "other").repartition(*keys, "bi", "bj").sortWithinPartitions(*keys, "bi", "bj")
 
 
+def with_texts(docs: DataFrame, rows: DataFrame, sizes: DataFrame, everywhere: Column, kept: Kept) -> DataFrame:
+    """rows(comp, rep, ..) with their texts, dealt to blocks of groups: those that are `everywhere` to every block of
+    their group, others to one. A group has a block for each TEXT_BLOCK members (sizes: comp, members, volume) or
+    SHINGLE_BLOCK shingles, whatever is more, up to one for each member. side: DATA, GUEST or HOME."""
+    n = F.greatest(F.ceil(F.col("members") / TEXT_BLOCK), F.least(F.ceil(F.col("volume") / SHINGLE_BLOCK), F.col("members"))).cast("int")
+    rows = rows.join(small(kept(sizes, "sizes")).select("comp", n.alias("nb")), "comp").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("nb")).cast("int"))
+    rows = rows.withColumn("bi", F.explode(F.when(everywhere, F.sequence(F.lit(0), F.col("nb") - 1)).otherwise(F.array("own"))))
+    rows = rows.withColumn("side", F.when(~everywhere, DATA).when(F.col("bi") == F.col("own"), HOME).otherwise(GUEST)).drop("nb", "own")
+    rows = kept(rows, "dealt")
+    texts = docs.where("doc_id is not null").join(small(rows), F.col("doc_id") == F.col("rep")).drop("doc_id")
+    return texts.repartition("comp", "bi").sortWithinPartitions("comp", "bi")
+
+
 def labelled(spark: SparkSession, docs: DataFrame, percent: int = 85) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row of docs(doc_id, text); links: 100 * intersection >=
     percent * union."""
     prepare(spark)
+    kept = Kept(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sketch, _ = write_table(spark, docs.mapInArrow(sketches, "doc_id long, n long, f1 long, f2 long, sig binary"), "sketch")
-    classes = sketch.where("n > 0 and doc_id is not null").groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("rep"))
-    # equal sets have equal signatures, so the signature of the representative's row is the class's
-    reps, _ = write_table(spark, sketch.where("n > 0").join(classes.select(F.col("rep").alias("doc_id"), "f1", "f2", "n"), ["doc_id", "f1", "f2", "n"], "left_semi").select(F.col("doc_id").alias("rep"), "f1", "f2", "n", "sig").dropDuplicates(["rep", "f1", "f2"]), "reps")
+    sketch = kept(docs.mapInArrow(sketches, "doc_id long, n long, f1 long, f2 long, sig binary"), "sketch")
+    key = ["f1", "f2", "n"]
+    # equal sets have equal signatures
+    reps = kept(sketch.where("n > 0 and doc_id is not null").groupBy(*key).agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig")), "reps")
     bands = reps.select("rep", F.posexplode(F.array(*[F.substring("sig", ROWS * k + 1, ROWS) for k in range(BANDS)])).alias("band", "part")).select("rep", "band", F.conv(F.hex("part"), 16, 10).cast("long").alias("key"))
     shared = bands.groupBy("band", "key").agg(F.count("*").alias("members")).where("members > 1")
     member = bands.join(shared, ["band", "key"]).join(reps.select("rep", "n", "sig"), "rep")
     edges = dealt(member, ["band", "key"], "members", BUCKET_BLOCK).select("band", "key", "bi", "bj", "side", "rep", "n", "sig").mapInArrow(partial(forests, percent=percent), "u long, v long")
-    coarse, _ = write_table(spark, components(spark, edges), "coarse")
-    volume = coarse.join(reps.select(F.col("rep").alias("node"), "n"), "node").groupBy("component").agg(F.sum("n").alias("volume"))
-    sizes = coarse.groupBy("component").agg(F.count("*").alias("members")).join(volume, "component")
-    where = coarse.join(sizes, "component").select(F.col("node").alias("doc_id"), F.col("component").alias("comp"), "members", "volume")
-    if coarse.count() <= BROADCAST_ROWS:  # checked size; beyond it the join shuffles
-        where = F.broadcast(where)
-    texts = docs.where("doc_id is not null").join(where, "doc_id").withColumnRenamed("doc_id", "rep")
-    links = dealt(texts, ["comp"], "members", TEXT_BLOCK, F.ceil(F.col("volume") / SHINGLE_BLOCK)).select("comp", "bi", "bj", "side", "rep", "text").mapInArrow(partial(verified, percent=percent), "u long, v long")
-    final, _ = write_table(spark, components(spark, links), "final")
-    named = reps.join(final.select(F.col("node").alias("rep"), "component"), "rep", "left").select("f1", "f2", "n", F.coalesce("component", "rep").alias("component"))
-    out = sketch.select("doc_id", "n", "f1", "f2").join(named.dropDuplicates(["f1", "f2", "n"]), ["f1", "f2", "n"], "left")
-    comp = F.when(F.col("doc_id").isNull(), None).otherwise(F.coalesce("component", "doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), comp.alias("component_id"), F.coalesce(comp == F.col("doc_id"), F.lit(True)).alias("kept"))
+    edges = kept(edges.where("u <> v").distinct(), "edges")
+
+    volume = reps.groupBy("rep").agg(F.max("n").alias("n"))
+    tested = kept(tested_edges(spark, docs, edges, volume, percent, kept), "tested")
+    repeated = kept(sketch.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1").select("doc_id"), "repeated")
+    links = tested.where("linked").select("u", "v")
+    if not repeated.isEmpty():  # an id's texts are one node
+        links = links.union(sketch.where("n > 0").join(repeated, "doc_id").join(reps, key).select(F.col("doc_id").alias("u"), F.col("rep").alias("v")))
+    comp = kept.also(components(spark, links))
+    failed = tested.where("not linked").select("u", "v")
+    if not failed.isEmpty():
+        more = kept(more_links(spark, docs, failed, comp, volume, percent, kept), "more")
+        comp = kept.also(components(spark, links.union(more)))
+    # texts without words have no class, and all of them the same key
+    named = reps.join(comp.select(F.col("node").alias("rep"), "component"), "rep", "left").select(*key, F.coalesce("component", "rep").alias("component"))
+    worded = sketch.where("n > 0").select("doc_id", *key).join(named, key, "left").select("doc_id", "n", "component")
+    out = worded.union(sketch.where("n = 0").select("doc_id", "n", F.lit(None).cast("long")))
+    if not repeated.isEmpty():
+        again = repeated.join(comp, F.col("doc_id") == F.col("node")).select("doc_id", F.col("component").alias("joint"))
+        out = out.join(again, "doc_id", "left").select("doc_id", "n", F.coalesce("joint", "component").alias("component"))
+    c = F.when(F.col("doc_id").isNull(), None).otherwise(F.coalesce("component", "doc_id"))
+    out, _ = write_table(spark, out.select("doc_id", F.col("n").alias("n_shingles"), c.alias("component_id"), F.coalesce(c == F.col("doc_id"), F.lit(True)).alias("kept")), "labelled")
+    kept.drop()
+    return out
+
+
+def tested_edges(spark: SparkSession, docs: DataFrame, edges: DataFrame, volume: DataFrame, percent: int, kept: Kept) -> DataFrame:
+    """(u, v, linked) of the edges (u, v), by full shingle sets."""
+    rows = edges.select(F.col("v").alias("comp"), F.col("u").alias("rep"), F.lit(False).alias("root"))
+    sizes = edges.join(volume, F.col("u") == F.col("rep")).groupBy(F.col("v").alias("comp")).agg(F.count("*").alias("members"), F.sum("n").alias("volume"))
+    rows = rows.union(sizes.select("comp", F.col("comp").alias("rep"), F.lit(True)))
+    texts = with_texts(docs, rows, sizes, F.col("root"), kept)
+    return texts.select("comp", "bi", F.when(F.col("root"), 0).otherwise(1).alias("side"), "rep", "text").mapInArrow(partial(stars, percent=percent), "u long, v long, linked boolean").groupBy("u", "v").agg(F.max("linked").alias("linked"))
+
+
+def more_links(spark: SparkSession, docs: DataFrame, failed: DataFrame, comp: DataFrame, volume: DataFrame, percent: int, kept: Kept) -> DataFrame:
+    """Links between components that were connected by failed edges only."""
+    label = comp.select(F.col("node").alias("rep"), F.col("component").alias("known"))
+    ends = failed.join(label.withColumnsRenamed({"rep": "u", "known": "a"}), "u", "left").join(label.withColumnsRenamed({"rep": "v", "known": "b"}), "v", "left")
+    ends = ends.select(F.coalesce("a", "u").alias("u"), F.coalesce("b", "v").alias("v")).where("u <> v")
+    coarse = kept.also(components(spark, ends)).select(F.col("node").alias("known"), F.col("component").alias("comp"))
+    alone = failed.select(F.explode(F.array("u", "v")).alias("rep")).distinct().join(label, "rep", "left_anti").select("rep", F.col("rep").alias("known"))
+    rest = kept(label.union(alone).join(coarse, "known").join(volume, "rep"), "rest")
+    parts = rest.groupBy("comp", "known").agg(F.count("*").alias("members"), F.sum("n").alias("volume"))
+    sizes = parts.groupBy("comp").agg(F.sum("members").alias("members"), F.sum("volume").alias("volume"), F.max(F.struct("members", "known"))["known"].alias("largest"))
+    rows = rest.drop("n").join(small(kept(sizes.select("comp", "largest"), "largest")), "comp").withColumn("other", F.col("known") != F.col("largest")).drop("largest")
+    texts = with_texts(docs, rows, sizes, F.col("other"), kept)
+    return texts.select("comp", "bi", "side", "rep", "known", "text").mapInArrow(partial(verified, percent=percent), "u long, v long")
 
 
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
