@@ -115,7 +115,7 @@ def excerpt(text: Column, longest: int, piece: int = 1000) -> Column:
     n = longest // piece
     start = lambda i: F.floor(i * (F.length(text) - piece) / (n - 1)).cast("int") + 1
     pieces = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.substring(text, start(i), F.lit(piece)))
-    return F.when(F.length(text) <= longest, text).otherwise(F.array_join(pieces, " "))
+    return F.when(F.length(text) > longest, F.array_join(pieces, " ")).otherwise(text)
 
 
 def is_fold(col: str, mod: int, k: int) -> Column:

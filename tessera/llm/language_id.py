@@ -4,9 +4,10 @@ One Bloom filter per n-gram order is shared by all languages: each of its positi
 (bit-sliced), so that the AND over an n-gram's positions is the set of languages that contain it. The bits of a text's
 n-grams are counted per language, the filter's known false-positive rate is taken off, and the largest share decides.
 
-Learning reads rows with a text and a non-null language, at most `sample` of each language (a documented bound); scoring
-reads whole texts. Null or empty texts, and texts without a letter, get `und` with score 0. Ties go to the language
-first in alphabetical order. With nothing to learn from, every text gets `und`. Extra columns are kept by `identify`.
+Learning reads rows with a text, an id and a non-null language, about `sample` of each language and at most `longest`
+characters of each, spread over the whole text (documented bounds); scoring reads whole texts. Null or empty texts, and texts without a letter, get `und` with score 0. Ties go to the language
+first in alphabetical order. With nothing to learn from, every text gets `und`. Rows with null or repeated ids get a row
+each, those with a null id aren't held out. Extra columns are kept by `identify`, but for those named like its results.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import appended, fold, prepare, read_table
+from .common import appended, excerpt, fold, is_fold, prepare, read_table
 from .textcore import LOWER, Block, blocks
 
 ORDERS = (3, 4, 5)
@@ -134,16 +135,18 @@ def predict(model: Filters, block: Block) -> tuple[list[str], np.ndarray, np.nda
     return [model.langs[b] if ok else "und" for b, ok in zip(best, lettered)], np.clip(score, 0, 1), np.where(lettered, np.clip(top, 0, 1), 0.0)
 
 
-def learn(docs: DataFrame, sample: int = 1000, held_out_mod: int = 5) -> Filters:
-    """Fit on at most about `sample` rows of each language, none of them held out."""
+def learn(docs: DataFrame, sample: int = 1000, longest: int = 10_000, held_out_mod: int = 5) -> Filters:
+    """Fit on about `sample` rows of each language, none of them held out and at most twice as many in all; of texts of
+    over `longest` characters, on pieces spread over the whole text."""
     rows = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & (fold("doc_id", held_out_mod) != 0))
     counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not counts:
         return fit({})
+    chance = F.pmod(F.xxhash64("doc_id", F.lit(2)), F.lit(1_000_000))
     cut = F.coalesce(*[F.when(F.col("lang") == k, F.lit(int(1e6 * min(1, sample / n)) + 1)) for k, n in sorted(counts.items())])
-    picked = rows.where(F.pmod(F.xxhash64("doc_id", F.lit(2)), F.lit(1_000_000)) < cut).select("lang", "text").limit(2 * sample * len(counts))
+    picked = rows.where(chance < cut).select("lang", excerpt(F.col("text"), longest).alias("text"), chance.alias("chance")).orderBy("chance", "lang", "text").limit(2 * sample * len(counts))
     groups: dict[str, list[str]] = {k: [] for k in counts}
-    for r in picked.toLocalIterator():
+    for r in picked.select("lang", "text").collect():
         groups[r["lang"]].append(r["text"])
     return fit({k: v for k, v in groups.items() if v})
 
@@ -166,4 +169,4 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     model = learn(docs)
     got = identify(spark, docs.select("doc_id", "text"), model)
-    return got.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "lang_pred", "score")
+    return got.select("doc_id", is_fold("doc_id", 5, 0).alias("held_out"), "lang_pred", "score")

@@ -4,11 +4,12 @@ A text is a bag of passages of `PASSAGE` words, covering it whole. A passage is
 bytes pair up by kind (letters, capitals, digits, blanks, single punctuation marks), by hashed words, and by a few
 shares (capitals, punctuation, repeated words, word length). An encoder (one hidden layer) maps it to a vector; a gated
 attention layer, tanh(Vh) * sigmoid(Uh), weighs the passages of a text; the weighted vector is scored by a logistic
-unit. Document labels train all parts together, by Adam in numpy, on at most `sample` labelled rows of at most `longest`
-characters (documented bounds); every fourth of them only calibrates.
+unit. Document labels train all parts together, by Adam in numpy, on at most `sample` labelled rows, and of texts of over
+`longest` characters on pieces spread over the whole text (documented bounds); every fourth of them only calibrates.
 
 Null or empty texts are one empty passage and get its score. With no labels or a single class, every score is that
-class's share. Rows with null or repeated ids get a row each; extra columns are kept by `score`.
+class's share. Rows with null or repeated ids get a row each, those with a null id aren't held out; of rows with the same
+id one is learned from. Extra columns are kept by `score`, but for one named score, which the result replaces.
 """
 
 from __future__ import annotations
@@ -21,9 +22,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import appended, bounded, fold, prepare, read_table
+from .common import appended, fold, is_fold, prepare, read_table
 from .textcore import SPACE, Block, blocks, bounds, hash_spans, spans
-from .toxicity import F32, Adam, blocks_of, platt, sigmoid
+from .toxicity import F32, Adam, blocks_of, labelled_sample, platt, sigmoid
 
 PASSAGE = 64
 KINDS = 24
@@ -64,13 +65,14 @@ def passages(block: Block) -> tuple[np.ndarray, np.ndarray]:
     grouped = f[:, : KINDS * KINDS].reshape(n, KINDS, KINDS).sum(2) / total
     shares[:, 0], shares[:, 1], shares[:, 2] = grouped[:, 2], grouped[:, 7:].sum(1), grouped[:, 3]
     h = hash_spans(data, starts, ends)
-    words = np.maximum(np.bincount(own, minlength=n), 1)
+    number = np.bincount(own, minlength=n)
+    words = np.maximum(number, 1)
     f[:, KINDS * KINDS : KINDS * KINDS + WORD_BINS] = np.bincount(own * WORD_BINS + (h >> np.uint64(56)).astype(np.int64), minlength=n * WORD_BINS).reshape(n, -1) / np.sqrt(words)[:, None] / 2
     order = np.lexsort((h, own))
     again = np.concatenate([[False], (h[order][1:] == h[order][:-1]) & (own[order][1:] == own[order][:-1])])
     shares[:, 3] = np.bincount(own[order], again, minlength=n) / words
     shares[:, 4] = np.bincount(own, ends - starts, minlength=n) / words / 16
-    shares[:, 5] = np.log1p(words) / 5
+    shares[:, 5] = np.log1p(number) / 5  # none in an empty passage, whatever texts are beside it
     np.sqrt(f[:, : KINDS * KINDS] / total, out=f[:, : KINDS * KINDS])
     shares *= 2
     return f, doc
@@ -164,14 +166,12 @@ def train(texts: list[str], labels: np.ndarray, epochs: int = 12, size: int = 64
     return net
 
 
-def learn(docs: DataFrame, labels: DataFrame, sample: int = 3000, longest: int = 20_000, held_out_mod: int = 4, held_out: int = 2) -> Attention:
-    """Train on at most about `sample` labelled rows that aren't held out, of texts of at most `longest` characters."""
-    lab = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & (fold("doc_id", held_out_mod) != held_out)).groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    lab = bounded(lab, sample, "doc_id").persist()
-    n = lab.count()  # at most about `sample`, so small enough to broadcast
-    got = docs.where((F.col("text").isNotNull()) & (F.length("text") <= longest)).select("doc_id", "text").join(F.broadcast(lab), "doc_id").limit(2 * n + 1).orderBy("doc_id").toPandas() if n else None
-    lab.unpersist()
-    return train([], np.zeros(0)) if got is None else train(got["text"].tolist(), got["quality"].to_numpy())
+def learn(docs: DataFrame, labels: DataFrame, sample: int = 3000, longest: int = 40_000, held_out_mod: int = 4, held_out: int = 2) -> Attention:
+    """Train on at most `sample` labelled rows that aren't held out; of texts of over `longest` characters, on pieces
+    spread over the whole text."""
+    fit = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & (fold("doc_id", held_out_mod) != held_out))
+    got = labelled_sample(docs, fit, "quality", sample, longest)
+    return train(got["text"].tolist(), got["quality"].to_numpy())
 
 
 def score(spark: SparkSession, docs: DataFrame, net: Attention) -> DataFrame:
@@ -190,4 +190,4 @@ def score(spark: SparkSession, docs: DataFrame, net: Attention) -> DataFrame:
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     got = score(spark, docs.select("doc_id", "text"), learn(docs, read_table(spark, sf_dir, "labels")))
-    return got.select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "score", F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted"))
+    return got.select("doc_id", is_fold("doc_id", 4, 2).alias("held_out"), "score", F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted"))

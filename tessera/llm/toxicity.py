@@ -1,17 +1,19 @@
 """Operator 9: toxicity by a bidirectional gated recurrent network with attention pooling, trained in numpy.
 
 A word (a maximal run of letters, A-Z lowered) is fed as the sum of a word vector (hashed) and the vectors of its
-character trigrams and beginnings (hashed; so inflected forms share input). Windows of `SPAN` words overlap by half and cover the whole text; each is read by a GRU in
-both directions, an attention layer pools the states, and a logistic unit scores the pooled state. The score of a text
+character trigrams and beginnings (hashed; so inflected forms share input). Windows of `SPAN` words overlap by half and
+cover the whole text; each is read by a GRU in both directions, an attention layer pools the states, and a logistic unit scores the pooled state. The score of a text
 is that of its worst window, mapped to a probability on the documents learned from.
 
 Only documents are labelled, so training is multiple-instance: a toxic document is represented by its worst window, at
 first the one with the word of highest log-odds, then the one that the network scores highest; clean documents by random
-windows and those the network scores highest. Training uses at most `sample` labelled rows of at most `longest` characters (documented bounds).
+windows and those the network scores highest. Training uses at most `sample` labelled rows, and of texts of over `longest`
+characters pieces spread over the whole text (documented bounds).
 
 Null or empty texts, and texts without letters, have no window and get the score of an empty window. With no labels or a
-single class to learn from, every score is that class's share. Rows with null or repeated ids get a row each; extra
-columns are kept by `score`.
+single class to learn from, every score is that class's share. Rows with null or repeated ids get a row each, those with
+a null id aren't held out; of rows with the same id one is learned from. Extra columns are kept by `score`, but for one
+named score, which the result replaces.
 """
 
 from __future__ import annotations
@@ -24,10 +26,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import appended, bounded, fold, prepare, read_table
+from .common import appended, bounded, excerpt, fold, is_fold, prepare, read_table
 from .textcore import LETTER, LOWER, Block, blocks, bounds, hash_spans, mix, spans
 
-SPAN, STEP = 24, 16
+SPAN, STEP = 24, 12
 #: A word is learned if so many documents have it.
 RARE = 4
 WORD_BITS, CHAR_BITS, STEM_BITS, WIDTH, HIDDEN = 16, 12, 17, 8, 8
@@ -375,18 +377,21 @@ def platt(x: np.ndarray, y: np.ndarray, steps: int = 200) -> tuple[float, float]
     return float(b[0] / scale), float(b[1] - b[0] * mid / scale)
 
 
-def learn(docs: DataFrame, labels: DataFrame, sample: int = 4000, longest: int = 20_000, held_out_mod: int = 5) -> Network:
-    """Train on at most about `sample` labelled rows that aren't held out, of texts of at most `longest` characters."""
-    lab = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & (fold("doc_id", held_out_mod) != 0)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    lab = bounded(lab, sample, "doc_id").persist()
-    n = lab.count()  # at most about `sample`, so small enough to broadcast
-    got = docs.where((F.col("text").isNotNull()) & (F.length("text") <= longest)).select("doc_id", "text").join(F.broadcast(lab), "doc_id").limit(2 * n + 1).orderBy("doc_id").toPandas() if n else None
-    lab.unpersist()
-    if got is None:
-        return constant(0.5)
+def learn(docs: DataFrame, labels: DataFrame, sample: int = 4000, longest: int = 40_000, held_out_mod: int = 5) -> Network:
+    """Train on at most `sample` labelled rows that aren't held out; of texts of over `longest` characters, on pieces
+    spread over the whole text."""
+    fit = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & (fold("doc_id", held_out_mod) != 0))
+    got = labelled_sample(docs, fit, "toxic", sample, longest)
     return train(got["text"].tolist(), got["toxic"].to_numpy())
 
 
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, sample: int, longest: int):
+    """(doc_id, text, label) of at most `sample` labelled documents, as pandas; of one id the row with the least text."""
+    lab = bounded(labels.groupBy("doc_id").agg(F.max(label).alias(label)), sample, "doc_id")
+    rows = docs.where(F.col("text").isNotNull()).select("doc_id", "text").join(F.broadcast(lab), "doc_id")
+    return rows.groupBy("doc_id", label).agg(F.min(excerpt(F.col("text"), longest)).alias("text")).orderBy("doc_id").toPandas()
+
+
 def score(spark: SparkSession, docs: DataFrame, net: Network) -> DataFrame:
     """docs with score (0 to 1) appended."""
     prepare(spark)
@@ -403,4 +408,4 @@ def score(spark: SparkSession, docs: DataFrame, net: Network) -> DataFrame:
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     got = score(spark, docs.select("doc_id", "text"), learn(docs, read_table(spark, sf_dir, "labels")))
-    return got.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
+    return got.select("doc_id", is_fold("doc_id", 5, 0).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
