@@ -33,6 +33,8 @@ BLANK = "▁"
 CHUNK = re.compile(f"{BLANK}+[^{BLANK}]*")
 #: Arcs and chunks kept in a worker; characters of chunks that advance together; chunks over LONG are cut further.
 ARCS, KEPT, CELLS, LONG = 1_200_000, 250_000, 1 << 17, 64
+#: Chunks of more characters than WIDE advance alone, by windows of so many positions.
+WIDE, WINDOW = 1024, 1 << 15
 SLOTS = 1 << 20
 HASH = np.uint64(0xD1342543DE82EF95)
 BLOCK = 2 << 20
@@ -233,7 +235,11 @@ class Transducer:
         letters = np.frombuffer("".join(chunks).encode("utf-32-le", "surrogatepass"), np.uint32)
         first = np.cumsum(sizes) - sizes
         found, counts = [], np.zeros(len(chunks), np.int64)
-        for n in np.unique(sizes).tolist():
+        for i in np.flatnonzero(sizes > WIDE).tolist():
+            ids = self._long(letters[first[i] : first[i] + sizes[i]])
+            counts[i] = len(ids)
+            found.append((np.array([i]), ids))
+        for n in np.unique(sizes[sizes <= WIDE]).tolist():
             own = np.flatnonzero(sizes == n)
             for part in np.array_split(own, -(-len(own) * max(n, 1) // CELLS)):
                 ids, number = self._same_length(letters[first[part][:, None] + np.arange(n)], n)
@@ -302,6 +308,68 @@ class Transducer:
         ids = (np.concatenate(rev) if rev else np.zeros(0, np.int32))[::-1]
         return ids[order], np.bincount(row, minlength=m)
 
+    def _long(self, letters: np.ndarray) -> np.ndarray:
+        """The shortest path of one long chunk: pieces are looked up for a window of positions at a time, and the states
+        are advanced one by one. Time and memory are in proportion to its length."""
+        n, k = len(letters), self.longest
+        state, back = [-2] * (n + 1), np.zeros(n + 1, np.int32)
+        state[0] = -1
+        known: dict[int, bool] = {}
+        for lo in range(0, n, WINDOW):
+            ends = np.arange(lo + 1, min(n, lo + WINDOW) + 1)
+            starts, at, piece = self._spelled(letters, max(0, lo + 1 - k), int(ends[-1]))
+            mine = at > lo
+            order = np.lexsort((starts[mine], at[mine]))
+            starts, at, piece = (x[mine][order] for x in (starts, at, piece))
+            bound = np.searchsorted(at, np.append(ends, ends[-1] + 1)).tolist()
+            starts, piece = starts.tolist(), piece.tolist()
+            if len(known) > ARCS:
+                known.clear()
+            for e, i, j in zip(ends.tolist(), bound[:-1], bound[1:], strict=True):
+                for c in range(i, j):
+                    p, q = state[starts[c]], piece[c]
+                    if p == -2:
+                        continue
+                    ok = True
+                    if p >= 0:
+                        ok = known.get(p << 32 | q)
+                        if ok is None:
+                            ok = known[p << 32 | q] = self._meets(p, q)
+                    if ok:
+                        state[e], back[e] = q, starts[c]
+                        break
+                else:
+                    if i == j or starts[j - 1] != e - 1:  # the character is no piece
+                        state[e], back[e] = -1, e - 1
+        if state[n] == -2:
+            raise AssertionError("a chunk has no path")
+        out, e = [], n
+        while e:
+            s = int(back[e])
+            if state[e] >= 0:
+                out.append(state[e])
+            else:
+                raw = chr(letters[s]).encode("utf-8", "replace")
+                out += [self.byte[x] for x in reversed(raw)] if self.byte else [self.unknown]
+            e = s
+        return np.array(out[::-1], np.int32)
+
+    def _spelled(self, letters: np.ndarray, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(start, end, piece) of all pieces inside letters[lo:hi]."""
+        code = mix(letters[lo:hi].astype(np.uint64) + STEP)
+        rows, h = np.arange(hi - lo), np.zeros(hi - lo, np.uint64)
+        out = []
+        for size in range(1, self.longest + 1):
+            fits = rows + size <= hi - lo
+            rows, h = rows[fits], h[fits]
+            h = h * HASH + code[rows + size - 1]
+            got = self.lookup(mix(h))
+            hit = got >= 0
+            out.append((rows[hit] + lo, rows[hit] + lo + size, got[hit]))
+            more = self.is_prefix(mix(h ^ STEP))
+            rows, h = rows[more], h[more]
+        return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
     def chunks(self, text: str) -> list[str]:
         """The normaliser, and the cuts before blanks."""
         if not text:
