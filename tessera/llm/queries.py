@@ -19,6 +19,12 @@ REGISTRY = {
 }
 
 
+def load() -> None:
+    """Import every operator; raises ImportError if one lacks something that it needs."""
+    for module, _ in REGISTRY.values():
+        import_module(f"{__package__}.{module}")
+
+
 def queries() -> dict:
     return {name: getattr(import_module(f"{__package__}.{module}"), name) for name, (module, _) in REGISTRY.items()}
 

@@ -3,6 +3,7 @@ repeated rows, empty tables, extra columns with clashing names."""
 
 from __future__ import annotations
 
+import math
 import random
 import re
 import time
@@ -62,7 +63,7 @@ def test_word_hashes_follow_the_definition():
 def test_components_match_brute_force(spark):
     r = random.Random(5)
     edges = [(r.randint(0, 300), r.randint(0, 300)) for _ in range(180)] + [(1000 + i, 1001 + i) for i in range(40)] + [(7, 7)]
-    got = {x["node"]: x["component"] for x in components(spark, spark.createDataFrame(edges, "u long, v long")).collect()}
+    got = {x["node"]: x["component"] for x in components(spark, spark.createDataFrame(edges, "u long, v long"))[0].collect()}
     root = {x: x for e in edges for x in e if e[0] != e[1]}
 
     def find(x):
@@ -75,7 +76,7 @@ def test_components_match_brute_force(spark):
             a, b = find(a), find(b)
             root[max(a, b)] = min(a, b)
     assert got == {x: find(x) for x in root}
-    assert components(spark, spark.createDataFrame([], "u long, v long")).count() == 0
+    assert components(spark, spark.createDataFrame([], "u long, v long"))[0].count() == 0
 
 
 # --- 1: pages --------------------------------------------------------------------------------------------------------
@@ -219,6 +220,62 @@ def test_embeddings_match_brute_force(spark):
     assert embedding_dedup.labelled(spark, spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
 
 
+def test_embeddings_equal_their_sql(spark, monkeypatch):
+    """Repeated rows and ids, equal vectors under several ids and labels, doubles closer to the threshold than floats tell."""
+    import duckdb
+
+    r = np.random.default_rng(8)
+    base = r.normal(0, 1, (12, 16))
+    rows = [(int(r.integers(0, 60)), (base[i % 12] + r.normal(0, r.choice([0.01, 0.1]), 16)).tolist(), int(r.integers(0, 2))) for i in range(120)]
+    rows += rows[:30] + [(i + 100, v, lab) for i, v, lab in rows[:30]] + [(7, None, 1), (7, rows[0][1], None), (8, [0.0] * 16, 0), (300, None, 0), (300, None, 0)]
+    # cosine 0.98 to the last digits: above and below, equal as floats
+    for k, c in enumerate((0.98 + 1e-10, 0.98 - 1e-10)):
+        rows += [(400 + 2 * k, [1.0, 0.0], 5 + k), (401 + 2 * k, [c, math.sqrt(1 - c * c)], 5 + k)]
+    rows += [(1, rows[0][1], 9), (1, rows[0][1], 9), (2, rows[0][1], 9)]
+    for block in (1024, 8):
+        monkeypatch.setattr(embedding_dedup, "BLOCK", block)
+        embeddings = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+        con = duckdb.connect()
+        con.register("embeddings", embeddings.toArrow())
+        want = Counter(con.sql(embedding_dedup.OP4_SQL).fetchall())
+        got = Counter(tuple(x) for x in embedding_dedup.labelled(spark, embeddings).select("vec_id", "n_links", "component_id", "kept").collect())
+        assert got == want
+
+
+@pytest.mark.parametrize("dim", [3, 64, 768])
+def test_embedding_links_are_found_at_the_threshold(spark, dim):
+    r = np.random.default_rng(dim)
+    n = 400
+    a, b = r.normal(size=(2, n, dim))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    b -= (a * b).sum(1, keepdims=True) * a
+    b /= np.linalg.norm(b, axis=1, keepdims=True)
+    c = 0.9801
+    rows = [(i, v.tolist(), i % n) for i, v in enumerate(np.concatenate([a, c * a + np.sqrt(1 - c * c) * b]))]
+    got = embedding_dedup.labelled(spark, spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"))
+    assert got.where("n_links = 1").count() >= 0.95 * 2 * n
+    for magnitude in (6, 14, 20):
+        axes, tables = embedding_dedup.plan(dim, magnitude, 0.98)
+        x, y = (embedding_dedup.hashes(v, axes, tables) for v in (a, c * a + np.sqrt(1 - c * c) * b))
+        met = ((x[:, :, :1] == y) | (y[:, :, :1] == x)).any((1, 2))
+        assert met.mean() >= 0.98
+
+
+def test_embedding_meetings_grow_with_the_vectors():
+    """Random vectors: pairs that meet, each of which is compared, per vector."""
+    r = np.random.default_rng(1)
+    each = {}
+    for n in (1000, 4000, 16000):
+        axes, tables = embedding_dedup.plan(64, math.ceil(math.log2(n)), 0.98)
+        code = embedding_dedup.hashes(r.normal(size=(n, 64)), axes, tables)
+        met = 0
+        for t in range(tables):
+            kinds, size = np.unique(code[:, t], return_counts=True)
+            met += int((size * (size - 1) // 2).sum())
+        each[n] = met / n
+    assert each[16000] < 4 * max(each[1000], 0.5)
+
+
 def test_hot_embeddings_are_split(spark, monkeypatch):
     monkeypatch.setattr(embedding_dedup, "BLOCK", 16)
     r = np.random.default_rng(6)
@@ -493,15 +550,14 @@ def test_rows_are_never_dropped_in_joining(monkeypatch):
 def test_components_of_long_texts_are_split(spark, monkeypatch):
     monkeypatch.setattr(near_dedup, "SHINGLE_BLOCK", 600)
     most = []
-    own = near_dedup.dealt
+    own = near_dedup.with_texts
 
-    def dealt(rows, keys, *rest):
-        out = own(rows, keys, *rest)
-        if keys == ["comp"]:
-            most.append(out.groupBy("comp", "bi", "bj").count().agg(F.max("count")).first()[0])
+    def with_texts(*args):
+        out = own(*args)
+        most.append(out.groupBy("comp", "bi").count().agg(F.max("count")).first()[0])
         return out
 
-    monkeypatch.setattr(near_dedup, "dealt", dealt)
+    monkeypatch.setattr(near_dedup, "with_texts", with_texts)
     r = random.Random(10)
     base = sentence(r, 150).split()
     docs = []
