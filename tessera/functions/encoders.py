@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .ordering import ranked
 from .schema import ROW_ID, Kind, RecordError, Schema, SchemaError
 
 
@@ -44,12 +45,30 @@ class Dictionary:
         return F.when(F.array_position(F.array(*map(F.lit, self.labels)), col) > 0, F.array_position(F.array(*map(F.lit, self.labels)), col) - 1)
 
 
+#: Labels that a dictionary on the driver, and so in plans and manifests, may hold. Fields of more labels are coded by a
+#: table of their labels, see `label_table`.
+MOST_LABELS = 100_000
+
+
 def first_seen(df: DataFrame, field: str, position: str = ROW_ID) -> Dictionary:
-    """Labels in order of first appearance. The number of labels is the dictionary's size, held by the driver."""
-    rows = df.where(F.col(field).isNotNull()).groupBy(field).agg(F.min(position).alias("at")).orderBy("at").collect()
+    """Labels in order of first appearance, on the driver; at most MOST_LABELS."""
+    rows = df.where(F.col(field).isNotNull()).groupBy(field).agg(F.min(position).alias("at")).orderBy("at").limit(MOST_LABELS + 1).collect()
+    if len(rows) > MOST_LABELS:
+        raise EncodingError(f"field {field!r} has over {MOST_LABELS} labels; code it by a table of labels")
     return Dictionary([r[field] for r in rows])
 
 
+def label_table(df: DataFrame, field: str, position: str = ROW_ID) -> DataFrame:
+    """(label, code) in order of first appearance, for any number of labels: ranks of an aggregate, nothing collected."""
+    seen = df.where(F.col(field).isNotNull()).groupBy(F.col(field).alias("label")).agg(F.min(position).alias("at"))
+    return ranked(seen, ["at", "label"], "code").select("label", "code")
+
+
+def coded(df: DataFrame, field: str, table: DataFrame, name: str) -> DataFrame:
+    """df with the code of each row's label, null for null and unknown labels, by a join with a table of labels."""
+    return df.join(table.select(F.col("label").alias(field), F.col("code").alias(name)), field, "left")
+
+
 @dataclass(frozen=True)
 class RecordEncoder:
     """Per-field encoders in schema order."""

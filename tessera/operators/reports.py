@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.boxes import Box, bounds
+from tessera.functions.ordering import ranked
 from tessera.functions.schema import ROW_ID
 from tessera.sources import generators
 from tessera.sources.archive import Archive
@@ -57,20 +58,6 @@ def kd_layout(points: DataFrame, dims: list[str], leaf: int = KD_LEAF, exact_row
     return own.withColumn("part", F.spark_partition_id() if parts > 1 else F.lit(0)).groupBy("part").applyInPandas(lambda pdf: kd_group(pdf.drop(columns="part").sort_values(ROW_ID), dims, leaf), schema)
 
 
-def ranked(df: DataFrame, by: list[str], name: str = "place") -> DataFrame:
-    """Rows with their rank from 0 in an order, from a range-partitioned sort and the partitions' sizes, not from one
-    global window. The sort is written out by its shuffle only; `by` should tell rows apart."""
-    ordered = df.repartitionByRange(*by).withColumn("__p", F.spark_partition_id())
-    sizes = {r["__p"]: r["n"] for r in ordered.groupBy("__p").agg(F.count("*").alias("n")).collect()}
-    at, first = 0, []
-    for p in sorted(sizes):
-        first.append((p, at))
-        at += sizes[p]
-    starts = df.sparkSession.createDataFrame(first, "__p int, __first long")
-    rank = F.row_number().over(Window.partitionBy("__p").orderBy(*by)) - 1
-    return ordered.withColumn("__r", rank).join(F.broadcast(starts), "__p").withColumn(name, (F.col("__r") + F.col("__first")).cast("long")).drop("__p", "__r", "__first")
-
-
 def packed_layout(points: DataFrame, dims: list[str], leaf: int = PACK_LEAF) -> DataFrame:
     """Rows with leaf_id: sorted by the first axis (ties by the others, then id), `leaf` rows each."""
     return ranked(points.select(ROW_ID, *dims), [*dims, ROW_ID]).select(ROW_ID, *dims, F.floor(F.col("place") / leaf).alias("leaf_id"))

@@ -204,7 +204,7 @@ def statistics_of(base: DataFrame, schema: Schema, dictionaries: dict[str, Dicti
     """One aggregate for the bounds, one for each category's frequencies."""
     fields = [f for f in schema.fields if f.kind.ranged or f.kind is Kind.CATEGORY]
     agg = base.agg(F.count("*").alias("n"), *[g(f.name).alias(f"{k}_{f.name}") for f in fields if f.kind.ranged for k, g in (("a", F.min), ("b", F.max))]).first()
-    freq = {f.name: {r[f.name]: r["count"] for r in base.where(F.col(f.name).isNotNull()).groupBy(f.name).count().collect()} for f in fields if f.kind is Kind.CATEGORY}
+    freq = {f.name: {r[f.name]: r["count"] for r in base.where(F.col(f.name).isNotNull()).groupBy(f.name).count().collect()} for f in fields if f.kind is Kind.CATEGORY}  # at most MOST_LABELS each, as dictionaries hold
     root = {}
     for f in fields:
         if f.kind.ranged:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from tessera.functions import boxes, encoders
 from tessera.functions.boxes import Box
 from tessera.functions.encoders import DimensionMapping, RecordEncoder
+from tessera.functions.ordering import ranked
 from tessera.functions.schema import ROW_ID, Field, Kind, Schema, milliseconds, typed
 from tessera.operators import cli, csv_lifecycle, layout, maintenance, reports
 from tessera.operators.index import Index, InvalidIndex
@@ -272,6 +273,12 @@ def _(s, d):
     return s.createDataFrame(list(zip(labels, range(len(labels)), strict=True)), "label string, code long")
 
 
+@query("encode_by_label_table", "SELECT event_id AS row_id, code FROM events JOIN (SELECT event_type, row_number() OVER (ORDER BY min(event_id)) - 1 AS code FROM events GROUP BY 1) USING (event_type)")
+def _(s, d):
+    df = events(s, d)
+    return encoders.coded(df, "event_type", encoders.label_table(df, "event_type"), "code").select(ROW_ID, "code")
+
+
 @query("encode_boolean", "SELECT event_id AS row_id, CASE WHEN value > 50 THEN 1.0::DOUBLE ELSE 0.0 END AS x0 FROM events")
 def _(s, d):
     schema = Schema([Field("big", Kind.BOOLEAN)])
@@ -1041,7 +1048,7 @@ def _(s, d):
 
 @query("lexicographic_sort", "SELECT vec_id, row_number() OVER (ORDER BY embedding, vec_id) AS place FROM embeddings")
 def _(s, d):
-    return reports.ranked(read(s, d, "embeddings"), ["embedding", "vec_id"]).select("vec_id", (F.col("place") + 1).alias("place"))
+    return ranked(read(s, d, "embeddings"), ["embedding", "vec_id"]).select("vec_id", (F.col("place") + 1).alias("place"))
 
 
 @query("baselines_agree", f"SELECT b AS baseline, workload, (SELECT count(*) FROM {_PT} p WHERE p.x BETWEEN w.low AND w.high) AS matched FROM {_WL} w, (SELECT unnest(['flat_scan', 'kd_tree', 'r_tree', 'index']) AS b)")

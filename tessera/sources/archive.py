@@ -18,7 +18,7 @@ from dataclasses import asdict, dataclass, field, replace
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.functions.encoders import Dictionary, DimensionMapping, RecordEncoder
+from tessera.functions.encoders import MOST_LABELS, Dictionary, DimensionMapping, RecordEncoder
 from tessera.functions.schema import ROW_ID, Kind, Schema, SchemaError, validate
 from tessera.operators import layout
 from tessera.operators.layout import BuildConfig
@@ -97,6 +97,14 @@ def content_hash(df: DataFrame) -> DataFrame:
     return df.agg(F.count("*").alias("rows"), F.pmod(total, F.lit(str(2**64)).cast("decimal(30,0)")).cast("string").alias("content"))
 
 
+def labels_of(df: DataFrame, name: str) -> Dictionary:
+    """A category's labels in alphabetical order, at most MOST_LABELS."""
+    rows = df.select(name).where(F.col(name).isNotNull()).distinct().limit(MOST_LABELS + 1).collect()
+    if len(rows) > MOST_LABELS:
+        raise SchemaError(f"field {name!r} has over {MOST_LABELS} labels: make it a text")
+    return Dictionary(sorted(r[0] for r in rows) or ["?"])
+
+
 def parts_of(written: DataFrame, schema: Schema) -> tuple[Part, ...]:
     """Rows, bounds and nulls of each part of a table's data, in one aggregate; at most PARTS rows."""
     names = [f.name for f in schema.fields if f.kind.ranged or f.kind is Kind.CATEGORY]
@@ -153,7 +161,7 @@ class Archive:
         Store(spark, root).delete(f"v={version}/placed")
         written = spark.read.parquet(f"{top}/data")
         h = content_hash(written.select(ROW_ID, *schema.names)).first()
-        every = {f.name: encoder.dictionaries.get(f.name) or Dictionary(sorted(r[0] for r in df.select(f.name).where(F.col(f.name).isNotNull()).distinct().collect()) or ["?"]) for f in schema.fields if f.kind is Kind.CATEGORY}
+        every = {f.name: encoder.dictionaries.get(f.name) or labels_of(df, f.name) for f in schema.fields if f.kind is Kind.CATEGORY}
         note = {"action": "create", "rows": h["rows"]}
         m = Manifest(
             version, schema, every, once, h["rows"], 0, 0, h["content"], statistics_of(written, schema, every, count["n"], count["l"]), {"max_leaf": config.max_leaf, "max_depth": config.max_depth, "target_leaf": config.target_leaf, "exact_rows": config.exact_rows},
