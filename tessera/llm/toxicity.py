@@ -10,10 +10,10 @@ first the one with the word of highest log-odds, then the one that the network s
 windows and those the network scores highest. Training uses at most `sample` labelled rows, and of texts of over `longest`
 characters pieces spread over the whole text (documented bounds).
 
-Null or empty texts, and texts without letters, have no window and get the score of an empty window. With no labels or a
-single class to learn from, every score is that class's share. Rows with null or repeated ids get a row each, those with
-a null id aren't held out; of rows with the same id one is learned from. Extra columns are kept by `score`, but for one
-named score, which the result replaces.
+Null or empty texts, and texts without letters, have no window and get the score of an empty window. With a single class
+to learn from, every score is that class's share; with no labels no text is toxic. Rows with null or repeated ids get a
+row each, those with a null id aren't held out; of rows with the same id one is learned from. Extra columns are kept by
+`score`, but for one named score, which the result replaces.
 """
 
 from __future__ import annotations
@@ -273,7 +273,7 @@ def train(texts: list[str], labels: np.ndarray, seed: int = 9) -> Network:
     once = sorted({t: i for i, t in reversed(list(enumerate(texts)))}.values())
     texts, y = [texts[i] for i in once], np.asarray(labels, np.float64)[once]
     if len(y) == 0 or y.min() == y.max():
-        return constant(float(y.mean()) if len(y) else 0.5)
+        return constant(float(y.mean()) if len(y) else 0.0)
     rest = np.zeros(len(y), bool)
     for v in (0, 1):  # of each class alike
         rest[np.flatnonzero(y == v)[3::4]] = True

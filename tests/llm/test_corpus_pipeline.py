@@ -109,3 +109,16 @@ def test_run_and_its_stages(spark, tmp_path):
     check(corpus_pipeline.clean(spark, fit, str(tmp_path)), [x for x in known if "zuxor" not in x[1] and "vikka" not in x[1]])
     got = corpus_pipeline.run(spark, str(tmp_path))
     assert Counter(x["doc_id"] for x in got.collect()) == Counter(i for i, *_ in left)
+
+
+def test_stages_on_empty_tables_and_without_labels(spark, tmp_path):
+    docs = spark.createDataFrame([], "doc_id long, text string, lang string, score int")
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    for name, df in (("documents", docs), ("labels", labels), ("benchmark", spark.createDataFrame([], "item_id long, text string"))):
+        df.write.parquet(f"{tmp_path}/{name}.parquet")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        got = stage(spark, docs, str(tmp_path))
+        assert got.columns == docs.columns and got.count() == 0
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+    one = spark.createDataFrame([(1, "some text", "aa", 1), (None, "some text", None, 2)], docs.schema)
+    assert corpus_pipeline.clean(spark, one, str(tmp_path)).count() == 2
