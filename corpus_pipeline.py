@@ -4,6 +4,10 @@ Each stage takes (spark, docs, sf_dir), works on all rows its predecessor kept a
 one reads it. All but the last return the columns of `documents`. SQL can't express the trained stages, so there is no
 ORACLE_SQL; tests/llm/test_corpus_pipeline.py holds run() and the stages' decisions against brute force, on texts
 that the trained stages tell apart for certain.
+
+Repeated rows and rows with null ids are documents of their own. Null and empty texts, and texts without letters, have no
+language and go in the first stage. Empty tables give empty results. Columns named like an operator's results keep their
+values, but for the last stage's own: ids, n_tokens, decoded. Without labels no text is toxic.
 """
 
 from __future__ import annotations
@@ -12,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import decontamination, language_id, near_dedup, sentencepiece_fst, toxicity
-from tessera.llm.common import read_table, write_table
+from tessera.llm.common import drop_path, read_table, write_table
 
 ORACLE_SQL = None
 #: A text is rejected if no language is found, or if fewer of its n-grams than this are known to any. Chosen between
@@ -44,11 +48,12 @@ def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     # written, so that each row has one number in all that follows
     rows, _ = write_table(spark, docs.withColumn(row, F.monotonically_increasing_id()), "rows")
     labels = near_dedup.labelled(spark, rows.select(F.col(row).alias("doc_id"), "text"), SIMILAR)
-    groups, _ = write_table(spark, labels.select(F.col("doc_id").alias(row), F.col("component_id").alias("group")), "groups")
+    groups, groups_path = write_table(spark, labels.select(F.col("doc_id").alias(row), F.col("component_id").alias("group")), "groups")
     best = groups.join(rows.select(row, "doc_id"), row).groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", row))[row].alias(row))
     other = best.where(F.col(row) != F.col("group"))  # stays in place of the row that names the group
     rest = groups.where(F.col(row) != F.col("group")).select(row).join(other.select(row), row, "left_anti")
     gone, _ = write_table(spark, rest.union(other.select("group")), "gone")
+    drop_path(spark, groups_path)
     return rows.join(gone, row, "left_anti").select(*docs.columns)
 
 
@@ -80,7 +85,10 @@ STAGES = [("language", language), ("toxicity", clean), ("near_duplicates", disti
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read_table(spark, sf_dir, "documents")
+    docs, before = read_table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        docs, _ = write_table(spark, stage(spark, docs, sf_dir), name)
+        docs, path = write_table(spark, stage(spark, docs, sf_dir), name)
+        if before:  # what the stage has read
+            drop_path(spark, before)
+        before = path
     return STAGES[-1][1](spark, docs, sf_dir)
