@@ -490,7 +490,7 @@ def run(spark: SparkSession, docs: DataFrame, train, order: int = ORDER, model:
             asked, kind = hashed.mapInArrow(partial(word_counts, buckets=model.buckets), WORDS), TOLD_WORDS
             step = add_words
         else:
-            asked, kind = met(tokens, answers).mapInArrow(partial(gram_counts, order=k, model=bare(model)), GRAMS), TOLD
+            asked, kind = met(tokens, answers, model.buckets).mapInArrow(partial(gram_counts, order=k, model=bare(model)), GRAMS), TOLD
             step = partial(add_grams, last=k == model.order)
         if not new:
             asked = asked.unionByName(spark.read.parquet(model.paths[k - 1]).where(F.col("block") == STORED).select(*asked.columns))
@@ -509,7 +509,7 @@ def run(spark: SparkSession, docs: DataFrame, train, order: int = ORDER, model:
         own = told.where(F.col("block") != STORED).select("block", F.lit(k).alias("n"), "bucket", "counts", "ranks", *(F.col(c) if k > 1 else none.alias(c) for c in ("flags", "facts")))
         answers = own if answers is None else answers.unionByName(own)
     shared = spark.sparkContext.broadcast(model)  # at most HOT histories an order
-    scores = met(tokens, answers).mapInArrow(partial(evaluate, held=shared), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    scores = met(tokens, answers, model.buckets).mapInArrow(partial(evaluate, held=shared), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
     return scores, model, drop, name
 
 
@@ -518,9 +518,10 @@ def bare(model: Model) -> Model:
     return Model(model.order, model.buckets, model.starts, model.least_hot, model.stats)
 
 
-def met(tokens: DataFrame, answers: DataFrame) -> DataFrame:
-    """Blocks with all answers to them; a block has at most one of each order and bucket."""
-    told = answers.groupBy("block").agg(F.collect_list(F.struct("n", "bucket", "ranks", "counts", "flags", "facts")).alias("told"))
+def met(tokens: DataFrame, answers: DataFrame, buckets: int) -> DataFrame:
+    """Blocks with all answers to them; a block has at most one of each order and bucket. The answers are dealt as the
+    table of tokens lies, so that they move once and it doesn't."""
+    told = answers.repartition(buckets, "block").groupBy("block").agg(F.collect_list(F.struct("n", "bucket", "ranks", "counts", "flags", "facts")).alias("told"))
     return tokens.join(told, "block").select(*tokens.columns, "told")
 
 

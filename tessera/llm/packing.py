@@ -66,4 +66,5 @@ def by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[dic
 
 
 def dealt_out(rows: DataFrame, buckets: int) -> DataFrame:
-    return rows.repartition(buckets, "bucket").sortWithinPartitions("bucket")
+    """Each bucket to the partition of its number: hashed, several would meet in one."""
+    return rows.repartitionById(buckets, "bucket").sortWithinPartitions("bucket")
