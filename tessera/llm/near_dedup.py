@@ -38,6 +38,8 @@ MINIMA = BANDS * ROWS
 MISS = 1e-6
 #: Members of a bucket, and of a component (with their texts), that one task compares with as many others.
 BUCKET_BLOCK, TEXT_BLOCK = 1024, 256
+#: Buckets of more rows than this are compared by pivots.
+PIVOT_FROM = 64
 #: Shingles of a component that one such block holds on average, where its texts are long.
 SHINGLE_BLOCK = 1 << 22
 #: Groups of a sorted stream are handed on together up to about so many bytes.
@@ -175,26 +177,52 @@ def pairs_in(at: np.ndarray, side: np.ndarray | None = None, most: int = 1 << 20
         i = j
 
 
+def joined_by(root: np.ndarray, a: np.ndarray, b: np.ndarray, band: np.ndarray, sig: np.ndarray, size: np.ndarray, percent: int) -> np.ndarray:
+    """Labels after joining those of the pairs (a[i], b[i]) that are plausible and agree in this band first."""
+    live = plausible(a, b, sig, size, percent)
+    a, b = a[live], b[live]
+    first = np.ones(len(a), bool)
+    for k in range(BANDS):
+        own = np.flatnonzero(first & (band[a] > k))
+        if len(own):
+            part = sig[:, k * ROWS : (k + 1) * ROWS]
+            first[own[(part[a[own]] == part[b[own]]).all(1)]] = False
+    return merge(root, a[first], b[first]) if first.any() else root
+
+
+def by_pivots(rows: np.ndarray, root: np.ndarray, join) -> np.ndarray:
+    """Labels after comparing the first of a bucket's rows with all, and then those outside the largest component found."""
+    step = max(1, (1 << 20) // len(rows))
+    pairs = lambda pivots: (np.repeat(pivots, len(rows)), np.tile(rows, len(pivots)))
+    root = join(root, *pairs(rows[:1]))
+    largest = np.bincount(root[rows] - rows[0]).argmax() + rows[0]
+    rest = rows[root[rows] != largest]
+    for i in range(0, len(rest), step):
+        root = join(root, *pairs(rest[i : i + step]))
+    return root
+
+
 def forests(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """Edges (rep, root) that span the plausible pairs of each bucket (or pair of a bucket's blocks)."""
+    """Edges (rep, root) that span the plausible pairs of each bucket (or pair of a bucket's blocks). In a bucket of over
+    `PIVOT_FROM` rows the first row is compared with all; then the rows outside the largest component found, with all
+    that they aren't connected with yet: pairs inside a component tell nothing new."""
     for batch in groups(batches, ("band", "key", "bi", "bj")):
         at = starts_of(batch, ("band", "key", "bi", "bj"))
         rep, size, side = (batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("rep", "n", "side"))
         band = batch.column("band").to_numpy(zero_copy_only=False)
         sig = np.frombuffer(b"".join(batch.column("sig").to_pylist()), np.uint8).reshape(-1, MINIMA) if batch.num_rows else np.zeros((0, MINIMA), np.uint8)
         root = np.arange(len(rep))
-        for a, b in pairs_in(at, side):
-            live = plausible(a, b, sig, size, percent)
-            a, b = a[live], b[live]
-            # a pair is handled in the first band in which it agrees
-            first = np.ones(len(a), bool)
-            for k in range(BANDS):
-                own = np.flatnonzero(first & (band[a] > k))
-                if len(own):
-                    part = sig[:, k * ROWS : (k + 1) * ROWS]
-                    first[own[(part[a[own]] == part[b[own]]).all(1)]] = False
-            if first.any():
-                root = merge(root, a[first], b[first])
+        large = np.flatnonzero(np.diff(at) > PIVOT_FROM)
+        alone = [np.arange(at[g], at[g + 1]) for g in large.tolist()]  # not paired here
+
+        def join(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+            ok = (root[a] != root[b]) & ((side[a] != side[b]) | (side[a] == 0))
+            return joined_by(root, a[ok], b[ok], band, sig, size, percent)
+
+        for a, b in pairs_in(np.unique(np.concatenate([at, *alone])), side):
+            root = join(root, a, b)
+        for rows in alone:
+            root = by_pivots(rows, root, join)
         own = np.flatnonzero(root != np.arange(len(root)))
         yield pa.RecordBatch.from_arrays([pa.array(rep[own]), pa.array(rep[root[own]])], ["u", "v"])
 

@@ -516,6 +516,25 @@ def test_large_groups_are_split(spark, monkeypatch):
     assert got == near_brute(docs, 85)
 
 
+@pytest.mark.parametrize("sides", [(0,), (1, 2)])
+def test_pivots_connect_what_all_pairs_connect(monkeypatch, sides):
+    r = np.random.default_rng(12)
+    base = r.integers(0, 256, (6, near_dedup.MINIMA), dtype=np.uint8)
+    sig = base[r.integers(0, 6, 500)]
+    noise = r.random(sig.shape) < r.choice([0.01, 0.1, 0.2], 500)[:, None]
+    sig = np.where(noise, r.integers(0, 256, sig.shape), sig).astype(np.uint8)
+    group = np.sort(r.integers(0, 4, 500))
+    batch = pa.RecordBatch.from_pydict({"band": pa.array(np.full(500, 3, np.int32)), "key": pa.array(group), "bi": pa.array(np.zeros(500, np.int32)), "bj": pa.array(np.zeros(500, np.int32)), "side": pa.array(r.choice(sides, 500).astype(np.int32)), "rep": pa.array(np.arange(500)), "n": pa.array(np.full(500, 100)), "sig": pa.array([x.tobytes() for x in sig], pa.binary())})
+    parts = []
+    for least in (10**9, 8):
+        monkeypatch.setattr(near_dedup, "PIVOT_FROM", least)
+        root = np.arange(500)
+        for edges in near_dedup.forests(iter([batch]), 85):
+            root = near_dedup.merge(root, *(edges.column(c).to_numpy() for c in ("u", "v")))
+        parts.append(root.tolist())
+    assert parts[0] == parts[1] and 4 < len(set(parts[0])) < 490
+
+
 def test_groups_are_bounded_by_bytes_and_whole(monkeypatch):
     monkeypatch.setattr(near_dedup, "GROUP_BYTES", 40_000)
     parts = [pa.RecordBatch.from_pydict({"comp": [i // 3, (i + 1) // 3], "text": ["x" * 10_000] * 2}) for i in range(0, 60, 2)]
