@@ -64,11 +64,15 @@ def cleaning(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(CLEAN, before)
 
 
+#: Bytes of a row group of intermediate tables: a task holds one at a time, beside the Python workers of former stages.
+ROW_GROUP = 32 << 20
+
+
 def write_table(spark: SparkSession, df: DataFrame, tag: str) -> tuple[DataFrame, str]:
     """Cut lineage: write to the shared folder as Parquet and read again. Survives lost executors."""
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     with cleaning(spark):
-        df.write.option("compression", "zstd").parquet(path)
+        df.write.option("compression", "zstd").option("parquet.block.size", ROW_GROUP).parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 
