@@ -123,7 +123,7 @@ def words(block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
 
 def bounds(row: np.ndarray, n: int) -> np.ndarray:
     """Offsets into a sorted row array: row i has [b[i], b[i + 1])."""
-    return np.searchsorted(row, np.arange(n + 1))
+    return np.searchsorted(row, np.arange(n + 1, dtype=row.dtype))
 
 
 _Q = np.uint64(0xD6E8FEB86659FD93)

@@ -27,12 +27,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import appended, bounded, excerpt, fold, is_fold, prepare, read_table
-from .textcore import LETTER, LOWER, Block, blocks, bounds, hash_spans, mix, spans
+from .textcore import BLOCK_BYTES, LETTER, LOWER, Block, blocks, bounds, hash_spans, mix, spans, trim
 
 SPAN, STEP = 24, 12
 #: A word is learned if so many documents have it.
 RARE = 4
 WORD_BITS, CHAR_BITS, STEM_BITS, WIDTH, HIDDEN = 16, 12, 17, 8, 8
+#: Training holds what grows with the texts in 32 bits, and works on so many bytes, words and kinds of words at a time.
+PIECE_BYTES, PIECE_WORDS, PIECE_KINDS = 1 << 18, 1 << 16, 1 << 14
 #: Lengths in bytes of the word beginnings that count as character input, so that inflected forms share it.
 STEMS = (3, 4, 5, 6, 7, 8)
 F32 = np.float32
@@ -83,27 +85,36 @@ def words_of(block: Block) -> Words:
 
 
 def words_of_texts(texts: list[str]) -> Words:
-    """The words of many texts as of one block, put together from small blocks."""
-    parts, rows = [], 0
-    for b in blocks_of(texts):
-        w = words_of(b)
-        parts.append((w.row + rows, w))
-        rows += len(b)
-    every = [w.hash for _, w in parts]
-    hashes, first, kind = np.unique(np.concatenate([*every, np.zeros(0, np.uint64)]), return_index=True, return_inverse=True)
-    at = np.cumsum([0, *map(len, every)])
-    chars, of, size = [], [], []
-    for (_, w), a, e in zip(parts, at, at[1:], strict=False):
-        own = kind[a:e]  # of the kinds of this part; those that it has first give their characters
-        here = first[own] == np.arange(a, e)
-        keep = here[w.of]
-        chars.append(w.chars[keep])
-        of.append(own[w.of[keep]])
-        size.append(own[w.kind])
-    chars, of = np.concatenate([*chars, np.zeros(0, np.int64)]), np.concatenate([*of, np.zeros(0, np.int64)])
-    order = np.argsort(of, kind="stable")
-    row = np.concatenate([*(r for r, _ in parts), np.zeros(0, np.int64)])
-    return Words(row, np.concatenate([*size, np.zeros(0, np.int64)]), (hashes >> np.uint64(64 - WORD_BITS)).astype(np.int64), chars[order], of[order], hashes)
+    """The words of many texts as of one block, put together from small blocks: of each only what is new is kept."""
+    seen = np.zeros(0, np.uint64)
+    kind, rows, own = [], [], []  # of each block
+    for i in range(0, len(texts), 100):
+        for b in blocks_of(texts[i : i + 100], PIECE_BYTES):
+            w = words_of(b)
+            kind.append((w.kind.astype(np.int32), w.hash))
+            rows.append(np.bincount(w.row, minlength=len(b)))
+            at = np.searchsorted(seen, w.hash)
+            new = np.append(seen, np.uint64(0))[at] != w.hash  # these give their characters
+            new |= at == len(seen)
+            seen = np.insert(seen, at[new], w.hash[new])
+            own.append((w.hash[new], np.bincount(w.of, minlength=len(new))[new], w.chars[new[w.of]].astype(np.int32)))
+    many = np.zeros(len(seen), np.int64)
+    for h, size, _ in own:
+        many[np.searchsorted(seen, h)] = size
+    begin = np.cumsum(many) - many
+    chars = np.empty(int(many.sum()), np.int32)
+    for h, size, c in own:
+        chars[np.repeat(begin[np.searchsorted(seen, h)] - (np.cumsum(size) - size), size) + np.arange(len(c))] = c
+    del own
+    kinds = np.empty(sum(len(k) for k, _ in kind), np.int32)
+    end = len(kinds)
+    while kind:
+        k, h = kind.pop()
+        kinds[end - len(k) : end] = np.searchsorted(seen, h)[k]
+        end -= len(k)
+    trim()
+    row = np.repeat(np.arange(len(texts), dtype=np.int32), np.concatenate([*rows, np.zeros(0, np.int64)]))
+    return Words(row, kinds, (seen >> np.uint64(64 - WORD_BITS)).astype(np.int64), chars, np.repeat(np.arange(len(seen), dtype=np.int32), many), seen)
 
 
 def windows(row: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -116,6 +127,24 @@ def windows(row: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     return at[doc] + k * STEP, doc
 
 
+def kinds_of(w: Words, first: np.ndarray, size: int = 4096) -> Iterator[np.ndarray]:
+    """The kinds of the words of windows, (windows, SPAN), of `size` windows at a time; past a document's end the number
+    of kinds."""
+    for i in range(0, len(first), size):
+        at = first[i : i + size, None] + np.arange(SPAN)
+        near = np.minimum(at, len(w.row) - 1)
+        yield np.where((near == at) & (w.row[near] == w.row[at[:, :1]]), w.kind[near], len(w.slot))
+
+
+def pieces(at: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Runs of whole documents, bounded by `at`, of about PIECE_WORDS words."""
+    i = 0
+    while i < len(at) - 1:
+        j = max(i + 1, int(np.searchsorted(at, at[i] + PIECE_WORDS, side="right")) - 1)
+        yield int(at[i]), int(at[j])
+        i = j
+
+
 class Network:
     """Parameters by name; forward over windows, and gradients by back-propagation through time."""
 
@@ -132,15 +161,20 @@ class Network:
         """A vector for each kind of word, and a zero vector for padding last."""
         n = len(w.slot)
         out = np.zeros((n + 1, WIDTH), F32)
-        count = np.sqrt(np.maximum(np.bincount(w.of, minlength=n), 1)).astype(F32)
-        for k in range(WIDTH):
-            out[:n, k] = np.bincount(w.of, self.p["char"][w.chars, k], minlength=n) / count
+        for a in range(0, n, PIECE_KINDS):
+            e = min(n, a + PIECE_KINDS)
+            i, j = np.searchsorted(w.of, np.array([a, e], w.of.dtype))
+            of, chars = w.of[i:j] - a, w.chars[i:j]
+            count = np.sqrt(np.maximum(np.bincount(of, minlength=e - a), 1)).astype(F32)
+            for k in range(WIDTH):
+                out[a:e, k] = np.bincount(of, self.p["char"][chars, k], minlength=e - a) / count
         out[:n] += self.p["word"][w.slot]
         return out
 
     def direction(self, d: str, kinds: np.ndarray, x: np.ndarray, mask: np.ndarray, keep: list | None) -> np.ndarray:
         """States (T, B, HIDDEN) of one direction; kinds (B, T) index x."""
-        pre = x @ self.p[f"W{d}"] + self.p[f"c{d}"]
+        pre = x @ self.p[f"W{d}"]
+        pre += self.p[f"c{d}"]
         u_zr, u_n = np.ascontiguousarray(self.p[f"U{d}"][:, : 2 * HIDDEN]), np.ascontiguousarray(self.p[f"U{d}"][:, 2 * HIDDEN :])
         batch, steps = kinds.shape
         h = np.zeros((batch, HIDDEN), F32)
@@ -211,14 +245,7 @@ class Network:
 
     def window_logits(self, w: Words, first: np.ndarray, n_words: int, size: int = 4096) -> np.ndarray:
         x = self.inputs(w)
-        kind = np.concatenate([w.kind, np.full(SPAN, len(x) - 1)])
-        row = np.concatenate([w.row, np.full(SPAN, -1)])
-        out = np.empty(len(first), F32)
-        for i in range(0, len(first), size):
-            at = first[i : i + size, None] + np.arange(SPAN)
-            k = np.where(row[at] == row[at[:, :1]], kind[at], len(x) - 1)
-            out[i : i + size] = self.logits(k, x)
-        return out
+        return np.concatenate([np.zeros(0, F32), *(self.logits(k, x) for k in kinds_of(w, first, size))])
 
     def documents(self, block: Block) -> np.ndarray:
         """The logit of each text's worst window."""
@@ -264,8 +291,8 @@ def constant(share: float) -> Network:
     return net
 
 
-def blocks_of(texts: list[str]) -> Iterator[Block]:
-    return blocks(iter([pa.RecordBatch.from_pydict({"text": texts}, schema=pa.schema([("text", pa.string())]))]))
+def blocks_of(texts: list[str], limit: int = BLOCK_BYTES) -> Iterator[Block]:
+    return blocks(iter([pa.RecordBatch.from_pydict({"text": texts}, schema=pa.schema([("text", pa.string())]))]), limit=limit)
 
 
 def train(texts: list[str], labels: np.ndarray, seed: int = 9) -> Network:
@@ -283,6 +310,25 @@ def train(texts: list[str], labels: np.ndarray, seed: int = 9) -> Network:
     return net
 
 
+def documents_with(w: Words, begin: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Documents without and with label that have each kind of word (2, kinds) and each slot of word beginnings (2, slots).
+    Counted in runs of whole documents; begin: where each kind's characters begin."""
+    n = len(w.slot)
+    stem = w.chars >= 1 << CHAR_BITS
+    stems, begins = w.chars[stem] - (1 << CHAR_BITS), np.concatenate([[0], np.cumsum(stem)])[begin]
+    docs, stem_docs = np.zeros((2, n)), np.zeros((2, 1 << STEM_BITS))
+    for a, e in pieces(bounds(w.row, len(y))):
+        kinds = np.unique(w.row[a:e] * np.int64(n) + w.kind[a:e])
+        d, k = kinds // n, kinds % n
+        each = begins[k + 1] - begins[k]
+        spots = np.repeat(begins[k] - (np.cumsum(each) - each), each) + np.arange(int(each.sum()))
+        pair = np.unique(np.repeat(d << STEM_BITS, each) | stems[spots])
+        for i, label in enumerate((1 - y, y)):
+            np.add.at(docs[i], k, label[d])
+            np.add.at(stem_docs[i], pair & ((1 << STEM_BITS) - 1), label[pair >> STEM_BITS])
+    return docs, stem_docs
+
+
 def fit(texts: list[str], y: np.ndarray, rounds: int = 3, epochs: int = 3, size: int = 256, seed: int = 9) -> Network:
     r = np.random.default_rng(seed)
     w = words_of_texts(texts)
@@ -292,36 +338,29 @@ def fit(texts: list[str], y: np.ndarray, rounds: int = 3, epochs: int = 3, size:
     # start of their vectors
     n = len(w.slot)
 
-    def odds_of(doc: np.ndarray, what: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-        pair = np.unique(doc * size + what)
-        d, f = pair // size, pair % size
-        hot, cold = np.bincount(f, y[d], minlength=size), np.bincount(f, 1 - y[d], minlength=size)
+    def odds_of(hot: np.ndarray, cold: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         z = np.log((hot + 0.5) / (y.sum() + 1)) - np.log((cold + 0.5) / ((1 - y).sum() + 1))
         z = np.maximum(z - 1.64 * np.sqrt(1 / (hot + 0.5) + 1 / (cold + 0.5)), 0)  # a lower bound of it
         known = hot + cold >= RARE  # rarer ones keep a zero vector: they'd only be learned by heart
         return np.where(known, z, 0), known
 
-    kinds = np.unique(w.row * n + w.kind)
-    odds, known = odds_of(kinds // n, kinds % n, n)
-    stem = w.chars >= 1 << CHAR_BITS
-    begin = np.searchsorted(w.of, np.arange(n + 1))
-    stems, begins = w.chars[stem] - (1 << CHAR_BITS), np.concatenate([[0], np.cumsum(stem)])[begin]
-    each = begins[kinds % n + 1] - begins[kinds % n]
-    spots = np.repeat(begins[kinds % n] - (np.cumsum(each) - each), each) + np.arange(int(each.sum()))
-    stem_odds, stem_known = odds_of(np.repeat(kinds // n, each), stems[spots], 1 << STEM_BITS)
+    begin = np.searchsorted(w.of, np.arange(n + 1, dtype=np.int32))
+    docs, stem_docs = documents_with(w, begin, y)
+    odds, known = odds_of(docs[1], docs[0])
+    stem_odds, stem_known = odds_of(stem_docs[1], stem_docs[0])
     top = max(1.0, odds.max(initial=0), stem_odds.max(initial=0))
     net.p["word"][w.slot, 0] += (odds / top).astype(F32)
     net.p["char"][1 << CHAR_BITS :, 0] += (stem_odds / top).astype(F32)
     learnt = np.concatenate([np.ones(1 << CHAR_BITS, bool), stem_known])
-    np.maximum.at(odds, w.of[stem], stem_odds[stems])
-    kind = np.concatenate([w.kind, np.full(SPAN, len(w.slot))])
-    row = np.concatenate([w.row, np.full(SPAN, -1)])
-    at = first[:, None] + np.arange(SPAN)
-    every = np.where(row[at] == row[at[:, :1]], kind[at], len(w.slot)).astype(np.int32)
-    del at
-    score = np.concatenate([odds, [0.0]])[every].max(1)
+    for i in range(0, len(w.of), PIECE_WORDS):
+        of, chars = w.of[i : i + PIECE_WORDS], w.chars[i : i + PIECE_WORDS]
+        stem = chars >= 1 << CHAR_BITS
+        np.maximum.at(odds, of[stem], stem_odds[chars[stem] - (1 << CHAR_BITS)])
+    trim()
+    high = np.concatenate([odds, [0.0]])
+    score = np.concatenate([high[k].max(1) for k in kinds_of(w, first)])
     opt = Adam(net.p, 0.01)
-    count = np.sqrt(np.maximum(np.bincount(w.of, minlength=len(w.slot)), 1))
+    count = np.sqrt(np.maximum(np.diff(begin), 1))
     toxic = y[doc] == 1
     for _ in range(rounds):
         order = np.lexsort((-score, doc))
@@ -336,7 +375,7 @@ def fit(texts: list[str], y: np.ndarray, rounds: int = 3, epochs: int = 3, size:
             deal = r.permutation(len(pick))
             for i in range(0, len(pick), size):
                 own = deal[i : i + size]
-                k = every[pick[own]]
+                k = next(kinds_of(w, first[pick[own]]))
                 used, local = np.unique(k, return_inverse=True)
                 local = local.reshape(k.shape)
                 real = used[used < len(w.slot)]

@@ -7,6 +7,7 @@ import math
 import random
 import re
 import time
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -309,6 +310,51 @@ def test_toxicity_learns_words_and_their_forms(spark):
     assert ((p >= 0.5) == (y == 1)).mean() >= 0.95
 
 
+def test_toxicity_training_is_bounded_in_memory():
+    r = np.random.default_rng(11)
+    pool = np.array([sentence(random.Random(i), 1, "abcdefghijklmnop") + "aeiou"[i % 5] for i in range(20_000)])
+    texts = [" ".join(r.choice(pool, 900)) + " zuxor" * (i % 4 == 0) for i in range(1000)]
+    toxicity.train(["one", "two"], np.array([0, 1]))  # loads what is loaded at first use
+    tracemalloc.start()
+    try:
+        net = toxicity.train(texts, np.array([i % 4 == 0 for i in range(1000)]).astype(int))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    # the driver holds parameters and their moments (three times) and a few times the texts
+    assert peak <= 3 * sum(x.nbytes for x in net.p.values()) + 10 * sum(map(len, texts))
+
+
+def test_toxicity_training_in_pieces_counts_as_one(monkeypatch):
+    texts = [t for _, t, _ in labelled_texts(3, 230)] + ["", "12 34", "ÜNÏ zuxor " * 300, "one"]
+    y = np.array([i % 3 == 0 for i in range(len(texts))]).astype(np.float64)
+    whole = toxicity.words_of(next(toxicity.blocks_of(texts)))
+    monkeypatch.setattr(toxicity, "PIECE_BYTES", 500)
+    monkeypatch.setattr(toxicity, "PIECE_WORDS", 50)
+    monkeypatch.setattr(toxicity, "PIECE_KINDS", 7)
+    w = toxicity.words_of_texts(texts)
+    for k in ("row", "kind", "slot", "chars", "of", "hash"):
+        assert np.array_equal(getattr(w, k), getattr(whole, k))
+    own = [np.bincount(w.of, w.chars == c, minlength=len(w.slot)) > 0 for c in np.unique(w.chars)]
+    docs, stem_docs = toxicity.documents_with(w, np.searchsorted(w.of, np.arange(len(w.slot) + 1)), y)
+    has = np.zeros((len(texts), len(w.slot)), bool)
+    has[w.row, w.kind] = True
+    assert np.array_equal(docs, [(1 - y) @ has, y @ has])
+    for c, kinds in zip(np.unique(w.chars), own, strict=True):
+        if c >= 1 << toxicity.CHAR_BITS:
+            some = has[:, kinds].any(1)
+            assert np.array_equal(stem_docs[:, c - (1 << toxicity.CHAR_BITS)], [(1 - y) @ some, y @ some])
+    net = toxicity.Network()
+    net.p["char"][:] = np.random.default_rng(1).normal(size=net.p["char"].shape)
+    small = net.inputs(w)
+    first, _ = toxicity.windows(w.row, len(texts))
+    kinds = np.concatenate(list(toxicity.kinds_of(w, first, 13)))
+    plain = [[w.kind[i] if i < len(w.row) and w.row[i] == w.row[f] else len(w.slot) for i in range(f, f + toxicity.SPAN)] for f in first]
+    assert np.array_equal(kinds, plain)
+    monkeypatch.setattr(toxicity, "PIECE_KINDS", 1 << 14)
+    assert np.array_equal(small, net.inputs(whole))
+
+
 def test_toxicity_gradients(monkeypatch):
     monkeypatch.setattr(toxicity, "F32", np.float64)
     r = np.random.default_rng(0)
