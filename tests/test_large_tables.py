@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import ordering
 from tessera.functions.schema import ROW_ID
+from tessera.operators import reports
 
 
 @pytest.fixture
@@ -34,3 +35,10 @@ def test_ranks_put_nulls_last(spark, monkeypatch):
     rows = [(1, [1.0, None]), (2, None), (3, [1.0]), (4, [1.0, float("nan")]), (None, [1.0]), (5, []), (6, [None])]
     got = ordering.ranked(spark.createDataFrame(rows, "i long, v array<float>"), ["v", "i"]).collect()
     assert [r["i"] for r in sorted(got, key=lambda r: r["place"])] == [5, 3, None, 4, 1, 6, 2]
+
+
+def test_packed_leaves_are_full(spark, apart, monkeypatch):
+    monkeypatch.setattr(ordering, "RANGE_ROWS", 5000, raising=False)
+    leaves = reports.packed_layout(spread(spark, 60_000), ["x", "y"]).groupBy("leaf_id").agg(F.count("*").alias("n"), F.min("x").alias("a"), F.max("x").alias("b")).orderBy("leaf_id").collect()
+    assert {r["n"] for r in leaves} == {16} and len(leaves) == 3750
+    assert all(one["b"] <= other["a"] for one, other in zip(leaves, leaves[1:], strict=False))
