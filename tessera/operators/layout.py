@@ -1,11 +1,12 @@
 """Building the box hierarchy that a table is clustered by.
 
-Coarse phase: nodes above `exact_rows` are cut into up to `FAN` parts a round, at medians of the widest-spread dimension of a
-sample of their rows. One task a node makes its cuts; they come to the rows as arrays by a join on the node, and one
-expression of constant size walks them. Rows that are equal in all dimensions are cut by a hash of their id, so that no
-part is larger than a task. The number of rounds is the logarithm of the table's size; the driver holds no tree.
-Exact phase: each remaining node goes to one task (at most about `exact_rows` rows), which applies the split rules below
-to the end. A node's path of 0s and 1s names it; nodes are numbered in pre-order, which is the order of paths.
+Coarse phase: nodes above `exact_rows` rows or `TASK_BYTES` are cut into up to `FAN` parts a round, at medians of the
+widest-spread dimension of a sample of their rows. One task a node makes its cuts; they come to the rows as arrays by a join
+on the node, and one expression of constant size walks them, a step for each of their levels. Rows that are equal in all
+dimensions are cut by a hash of their id, so that no part is larger than a task. The number of rounds is the logarithm of the
+table's size; the driver holds no tree.
+Exact phase: each remaining node goes to one task, which applies the split rules below to the end. A node's path of 0s and
+1s names it; nodes are numbered in pre-order, which is the order of paths.
 
 Split rules: on each axis rows are sorted (ties by row id); the cut is the widest gap if it stands out from the others,
 else the middle. Of the axes the one with the least child volume wins, then least overlap of the children, largest volume
@@ -14,7 +15,7 @@ reduction, least child extent, largest extent reduction, best balance, largest v
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +29,8 @@ from tessera.functions.schema import ROW_ID
 
 #: A gap stands out if it is so many times the lower median of the positive gaps.
 DOMINANCE = 4.0
+#: Bytes of rows that a task splits at most, about: a worker's memory is some multiple of it, whatever the table's size.
+TASK_BYTES = 8 << 20
 #: Parts that a coarse node is cut into in one round, and sampled rows for each.
 FAN, SAMPLED = 1024, 64
 #: In place of an axis: no cut; cut by a hash of the row id.
@@ -139,13 +142,14 @@ def split_group(rows: pa.Table, dims: list[str], config: BuildConfig) -> pa.Tabl
 
 def cuts_of(x: np.ndarray, share: float, config: BuildConfig, depth: int, fan: int) -> dict[str, list]:
     """Cuts of a coarse node from a sample of its rows, `share` of them all: per node its axis, cut, child on the left
-    (the one on the right follows it) and path below this node."""
+    (the one on the right follows it; a leaf is its own) and path below this node."""
     axis, cut, left, name = [LEAF], [0.0], [0], [""]
     todo = [(len(x), 0, np.arange(len(x)))]
     while todo and len(axis) < 2 * fan:
         todo.sort(key=lambda t: -t[0])
         n, node, rows = todo.pop(0)
-        if n / share <= config.exact_rows or depth + len(name[node]) >= config.max_depth:
+        spare = 3 * n**0.5 if share < 1 else 0  # what a sample may miss of a node's rows
+        if (n + spare) / share <= config.exact_rows or depth + len(name[node]) >= config.max_depth:
             continue
         values = x[rows]
         d = int(values.var(0).argmax())
@@ -163,7 +167,7 @@ def cuts_of(x: np.ndarray, share: float, config: BuildConfig, depth: int, fan: i
             todo.append((sizes[k], len(axis), parts[k]))
             axis.append(LEAF)
             cut.append(0.0)
-            left.append(0)
+            left.append(len(axis) - 1)
             name.append(name[node] + str(k))
     return {"axis": axis, "cut": cut, "left": left, "name": name}
 
@@ -171,13 +175,25 @@ def cuts_of(x: np.ndarray, share: float, config: BuildConfig, depth: int, fan: i
 CUTS = "path string, __axis array<int>, __cut array<double>, __left array<int>, __name array<string>"
 
 
+def task_rows(df: DataFrame, most: int) -> tuple[int, int]:
+    """Rows of df, and how many of them a task may hold: `most`, and TASK_BYTES by their average width."""
+    text = [f.name for f in df.schema.fields if isinstance(f.dataType, (T.StringType, T.BinaryType))]
+    wide = sum((F.coalesce(F.octet_length(f"`{n}`"), F.lit(0)) for n in text), F.lit(8 * len(df.columns)))
+    n, size = df.agg(F.count("*"), F.coalesce(F.sum(wide.cast("long")), F.lit(0))).first()
+    return n, max(1, min(most, TASK_BYTES * n // max(size, 1)))
+
+
 def coarse_paths(points: DataFrame, dims: list[str], config: BuildConfig) -> DataFrame:
     """points with `path`, the coarse node of each row."""
+    total, most = task_rows(points, config.exact_rows)
     points = points.withColumn("path", F.lit(""))
+    if total <= most:
+        return points
+    config = replace(config, exact_rows=most)
     before = -1
     while True:
         large = points.groupBy("path").agg(F.count("*").alias("__n")).where(F.col("__n") > config.exact_rows).where(F.length("path") < config.max_depth)
-        nodes, rows = large.agg(F.count("*"), F.coalesce(F.sum("__n"), F.lit(0))).first()
+        nodes, rows = (1, total) if before == -1 else large.agg(F.count("*"), F.coalesce(F.sum("__n"), F.lit(0))).first()
         if not nodes or (nodes, rows) == before:
             return points
         before = (nodes, rows)
@@ -192,12 +208,15 @@ def coarse_paths(points: DataFrame, dims: list[str], config: BuildConfig) -> Dat
             got = {"path": top} | {f"__{k}": v for k, v in cuts_of(x, sample.column("__share")[0].as_py(), config, len(top), FAN).items()}
             return pa.Table.from_pylist([got], schema=pa.schema([("path", pa.string()), ("__axis", pa.list_(pa.int32())), ("__cut", pa.list_(pa.float64())), ("__left", pa.list_(pa.int32())), ("__name", pa.list_(pa.string()))]))
 
-        cuts = drawn.groupBy("path").applyInArrow(cut, CUTS)
+        # a row for each node that is cut
+        cuts = drawn.repartition(min(nodes, FAN), "path").groupBy("path").applyInArrow(cut, CUTS).persist()
+        levels = cuts.agg(F.max(F.array_max(F.transform("__name", F.length)))).first()[0] or 0
         value = F.array(*[F.col(d).cast("double") for d in dims])
         axis = lambda node: F.get("__axis", node)
-        right = lambda node, i: F.when(axis(node) == BY_ID, F.pmod(F.call_function("shiftright", F.xxhash64(ROW_ID, F.lit(13)), i), F.lit(2)) == 1).otherwise(F.get(value, axis(node)) >= F.get("__cut", node))
-        step = lambda node, i: F.when(axis(node) == LEAF, node).otherwise(F.get("__left", node) + right(node, i).cast("int"))
-        node = F.aggregate(F.sequence(F.lit(0), F.lit(min(config.max_depth, 48))), F.lit(0), step)
+        by_id = lambda i: F.pmod(F.call_function("shiftright", F.xxhash64(ROW_ID, F.lit(13)), i), F.lit(2)) == 1
+        # no axis: a leaf, which stays where it is, or a cut by id
+        right = lambda node, i: F.coalesce(F.get(value, axis(node)) >= F.get("__cut", node), (axis(node) == BY_ID) & by_id(i))
+        node = F.aggregate(F.sequence(F.lit(0), F.lit(levels)), F.lit(0), lambda node, i: F.get("__left", node) + right(node, i).cast("int"))
         points = points.join(small(cuts), "path", "left").withColumn("path", F.when(F.col("__axis").isNull(), F.col("path")).otherwise(F.concat("path", F.get("__name", node)))).select(*points.columns)
 
 

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from tessera.functions import ordering
 from tessera.functions.schema import ROW_ID
-from tessera.operators import reports
+from tessera.operators import layout, reports
+from tessera.operators.layout import BuildConfig
 
 
 @pytest.fixture
@@ -42,3 +43,16 @@ def test_packed_leaves_are_full(spark, apart, monkeypatch):
     leaves = reports.packed_layout(spread(spark, 60_000), ["x", "y"]).groupBy("leaf_id").agg(F.count("*").alias("n"), F.min("x").alias("a"), F.max("x").alias("b")).orderBy("leaf_id").collect()
     assert {r["n"] for r in leaves} == {16} and len(leaves) == 3750
     assert all(one["b"] <= other["a"] for one, other in zip(leaves, leaves[1:], strict=False))
+
+
+def test_a_task_splits_no_more_than_its_bytes(spark, monkeypatch):
+    monkeypatch.setattr(layout, "TASK_BYTES", 160_000, raising=False)
+    points = spread(spark, 20_000)  # 24 bytes and 44.5 of text on average
+    coarse = layout.coarse_paths(points, ["x", "y"], BuildConfig(max_leaf=64, max_depth=32))
+    sizes = [r["n"] for r in coarse.groupBy("path").agg(F.sum(F.lit(32) + F.length("more")).alias("n")).collect()]
+    assert len(sizes) > 4 and max(sizes) < 2 * 160_000
+    got = layout.cluster(points, ["x", "y"], BuildConfig(max_leaf=64, max_depth=32))
+    assert sorted(r[0] for r in got.select(ROW_ID).collect()) == list(range(20_000))
+    # rows that are equal in all dimensions too
+    same = points.withColumns({"x": F.lit(1.0), "y": F.lit(2.0)})
+    assert max(r["n"] for r in layout.coarse_paths(same, ["x", "y"], BuildConfig(max_leaf=64, max_depth=32)).groupBy("path").agg(F.sum(F.lit(32) + F.length("more")).alias("n")).collect()) < 2 * 160_000
