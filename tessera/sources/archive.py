@@ -27,8 +27,9 @@ from tessera.plans.planner import Statistics
 from tessera.sources.store import ArchiveError, Store
 
 FORMAT, MAGIC = 2, "tessera-table"
-#: Parts of a table's data at most.
-PARTS = 4096
+#: Parts of a table's data at most; rows of a part, about, in tables of more than a few parts. Each part is a folder that
+#: is listed, opened and committed by itself, so that small ones cost more than they let a query skip.
+PARTS, PART_ROWS, FEW_PARTS = 4096, 100_000, 64
 KINDS = ("typed",)
 
 
@@ -106,13 +107,18 @@ def labels_of(df: DataFrame, name: str) -> Dictionary:
 
 
 def parts_of(written: DataFrame, schema: Schema) -> tuple[Part, ...]:
-    """Rows, bounds and nulls of each part of a table's data, in one aggregate; at most PARTS rows."""
+    """Rows, bounds and nulls of each part of a table's data, in one aggregate and one for each category; at most PARTS
+    rows."""
     names = [f.name for f in schema.fields if f.kind.ranged or f.kind is Kind.CATEGORY]
-    aggs = [g(f"`{n}`").alias(f"{k}{i}") for i, n in enumerate(names) for k, g in (("a", F.min), ("b", F.max))]
+    ends = lambda n, i: [F.min(n).alias(f"a{i}"), F.max(n).alias(f"b{i}")]
+    aggs = [x for i, n in enumerate(names) if schema[n].kind.ranged for x in ends(f"`{n}`", i)]
     aggs += [F.count_if(F.col(f"`{n}`").isNull()).alias(f"n{i}") for i, n in enumerate(names)]
+    # the least and the last of texts take a sort of what they are taken from: of the labels of a part, not of its rows
+    texts = {i: {r["part"]: r for r in written.groupBy("part", f"`{n}`").count().groupBy("part").agg(*ends(f"`{n}`", i)).collect()} for i, n in enumerate(names) if not schema[n].kind.ranged}
     out = []
     for r in written.groupBy("part").agg(F.count("*").alias("rows"), *aggs).collect():
-        bounds = {n: (r[f"a{i}"], r[f"b{i}"]) for i, n in enumerate(names) if r[f"a{i}"] is not None}
+        own = lambda i, r=r: texts[i][r["part"]] if i in texts else r
+        bounds = {n: (own(i)[f"a{i}"], own(i)[f"b{i}"]) for i, n in enumerate(names) if own(i)[f"a{i}"] is not None}
         out.append(Part(r["part"], r["rows"], bounds, {n: r[f"n{i}"] for i, n in enumerate(names) if r[f"n{i}"]}))
     return tuple(sorted(out, key=lambda p: p.part))
 
@@ -122,6 +128,7 @@ class Archive:
     spark: SparkSession
     root: str
     manifest: Manifest
+    listed: dict[int, DataFrame] = field(default_factory=dict)
 
     # --- writing ----------------------------------------------------------------------------------------------------
 
@@ -152,9 +159,9 @@ class Archive:
         placed = spark.read.parquet(f"{top}/placed")
         layout.node_table(placed, dims).write.mode("overwrite").parquet(f"{top}/nodes")
         nodes = spark.read.parquet(f"{top}/nodes")
-        count = nodes.agg(F.count("*").alias("n"), F.count_if("is_leaf").alias("l")).first()
-        last = nodes.agg(F.max("node_id")).first()[0]
-        ids = nodes.where("is_leaf").select("path", F.col("node_id").alias("leaf_id"), F.floor(F.col("node_id") * min(PARTS, count["l"]) / (last + 1)).cast("int").alias("part"))
+        count = nodes.agg(F.count("*").alias("n"), F.count_if("is_leaf").alias("l"), F.max("cardinality").alias("rows"), F.max("node_id").alias("last")).first()
+        parts = min(PARTS, count["l"], max(FEW_PARTS, -(-count["rows"] // PART_ROWS)))
+        ids = nodes.where("is_leaf").select("path", F.col("node_id").alias("leaf_id"), F.floor(F.col("node_id") * parts / (count["last"] + 1)).cast("int").alias("part"))
         ids = F.broadcast(ids) if count["l"] <= layout.BROADCAST_NODES else ids
         data = placed.join(ids, "path").select(ROW_ID, *[F.col(k).alias(n, metadata={"kind": schema[n].kind.value}) for n, k in zip(schema.names, names, strict=True)], "leaf_id", "row_index", "part")
         data.sortWithinPartitions("part", "leaf_id", "row_index").write.mode("overwrite").partitionBy("part").parquet(f"{top}/data")
@@ -170,7 +177,7 @@ class Archive:
         m.history[-1].update(base=version, rows_written=h["rows"], seconds=round(time.perf_counter() - began, 3))
         if carry is not None:
             m = replace(m, delta_rows=carry.delta_rows, delta_versions=carry.delta_versions, tombstones=carry.tombstones, tombstone_version=carry.tombstone_version)
-        return cls(spark, root.rstrip("/"), m)._publish()
+        return cls(spark, root.rstrip("/"), m, {version: written})._publish()
 
     def _publish(self) -> Archive:
         """Write the manifest, with the length in bytes and the number of files of each section."""
@@ -260,7 +267,10 @@ class Archive:
         return self.manifest.base_version
 
     def data(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.root}/v={self.base_version}/data")
+        """The base's rows; its files, which never change, are listed once."""
+        if self.base_version not in self.listed:
+            self.listed[self.base_version] = self.spark.read.parquet(f"{self.root}/v={self.base_version}/data")
+        return self.listed[self.base_version]
 
     def nodes(self) -> DataFrame:
         return self.spark.read.parquet(f"{self.root}/v={self.base_version}/nodes")

@@ -6,9 +6,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import ordering
-from tessera.functions.schema import ROW_ID
+from tessera.functions.schema import ROW_ID, Field, Kind, Schema
 from tessera.operators import layout, reports
 from tessera.operators.layout import BuildConfig
+from tessera.operators.predicates import Predicate
+from tessera.sources.archive import Archive
 
 
 @pytest.fixture
@@ -56,3 +58,14 @@ def test_a_task_splits_no_more_than_its_bytes(spark, monkeypatch):
     # rows that are equal in all dimensions too
     same = points.withColumns({"x": F.lit(1.0), "y": F.lit(2.0)})
     assert max(r["n"] for r in layout.coarse_paths(same, ["x", "y"], BuildConfig(max_leaf=64, max_depth=32)).groupBy("path").agg(F.sum(F.lit(32) + F.length("more")).alias("n")).collect()) < 2 * 160_000
+
+
+def test_parts_of_many_small_leaves_are_few_and_listed_once(spark, tmp_path):
+    schema = Schema([Field("x", Kind.FLOAT), Field("y", Kind.FLOAT), Field("more", Kind.CATEGORY)])
+    a = Archive.create(spark, f"file://{tmp_path}/t", spread(spark, 6000).withColumn("more", F.col("y").cast("string")), schema, ["x", "y"], BuildConfig(max_leaf=20))
+    assert a.manifest.statistics.leaves > 150 and 32 < len(a.manifest.parts) <= 64
+    assert a.data() is a.data()
+    for p in a.manifest.parts:  # boxes are those of the rows
+        rows = a.data().where(F.col("part") == p.part).collect()
+        assert len(rows) == p.rows and all(p.bounds[c] == (min(r[c] for r in rows), max(r[c] for r in rows)) for c in ("x", "y", "more"))
+    assert Archive.load(spark, a.root, check=True).table().count([Predicate.range("x", 0.0, 99.0)], planned=True).first()[0] == sum(i * 7919 % 10007 < 100 for i in range(6000))
