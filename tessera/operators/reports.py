@@ -6,18 +6,19 @@ import time
 from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.boxes import Box, bounds
-from tessera.functions.ordering import ranked
+from tessera.functions.ordering import ranges, ranked
 from tessera.functions.schema import ROW_ID
 from tessera.sources import generators
 from tessera.sources.archive import Archive
 
 from .index import Index
-from .layout import BuildConfig, node_table
+from .layout import BuildConfig, node_table, task_rows
 from .maintenance import Policy, append, compact, maintain
 from .predicates import Predicate
 from .table import Table
@@ -31,31 +32,34 @@ def flat_scan(points: DataFrame, dims: list[str], region: Box) -> DataFrame:
     return points.where(region.match(dims))
 
 
-def kd_group(pdf: pd.DataFrame, dims: list[str], leaf: int) -> pd.DataFrame:
-    x = pdf[dims].to_numpy(np.float32)
-    path = np.empty(len(pdf), object)
-    todo = [("", np.arange(len(pdf)))]
+def kd_group(rows: pa.Table, dims: list[str], leaf: int, bits: int) -> pa.Table:
+    rows = rows.take(pc.sort_indices(rows, sort_keys=[(ROW_ID, "ascending")]))
+    x = np.stack([rows.column(d).to_numpy().astype(np.float32) for d in dims], 1)
+    top = format(rows.column("part")[0].as_py(), f"0{bits}b") if bits else ""
+    name, of = [], np.empty(len(x), np.int32)
+    todo = [("", np.arange(len(x), dtype=np.int32))]
     while todo:
-        p, rows = todo.pop()
-        if len(rows) <= leaf:
-            path[rows] = p
+        p, at = todo.pop()
+        if len(at) <= leaf:
+            of[at] = len(name)
+            name.append(top + p)
             continue
-        order = rows[np.argsort(x[rows, len(p) % len(dims)], kind="stable")]
-        todo += [(p + "0", order[: len(rows) // 2]), (p + "1", order[len(rows) // 2 :])]
-    return pdf.assign(path=path)
+        order = at[np.argsort(x[at, len(p) % len(dims)], kind="stable")]
+        todo += [(p + "0", order[: len(at) // 2]), (p + "1", order[len(at) // 2 :])]
+    return rows.drop_columns(["part"]).append_column("path", pa.array(name, pa.string()).take(pa.array(of)))
 
 
 def kd_layout(points: DataFrame, dims: list[str], leaf: int = KD_LEAF, exact_rows: int = 1_000_000) -> DataFrame:
-    """Rows with the path of their leaf: the axes take turns, each cut at the middle. Parts of up to `exact_rows` rows are
-    cut in one task; above that, by ranges of the first axis."""
-    n = points.count()
-    parts = max(1, -(-n // exact_rows))
+    """Rows with the path of their leaf: the axes take turns, each cut at the middle. Parts of up to `exact_rows` rows, and
+    what a task may hold, are cut in one task; above that, by ranges of the first axis (ties by the others, then id), whose
+    number begins the path."""
     kinds = dict(points.dtypes)
     schema = f"{ROW_ID} long, " + ", ".join(f"`{d}` {kinds[d]}" for d in dims) + ", path string"
     own = points.select(ROW_ID, *dims)
-    if parts > 1:
-        own = own.repartitionByRange(parts, dims[0])
-    return own.withColumn("part", F.spark_partition_id() if parts > 1 else F.lit(0)).groupBy("part").applyInPandas(lambda pdf: kd_group(pdf.drop(columns="part").sort_values(ROW_ID), dims, leaf), schema)
+    n, most = task_rows(own, exact_rows)
+    own, parts = ranges(own, [*dims, ROW_ID], "part", most) if n > most else (own.withColumn("part", F.lit(0)), 1)
+    bits = (parts - 1).bit_length()
+    return own.groupBy("part").applyInArrow(lambda rows: kd_group(rows, dims, leaf, bits), schema)
 
 
 def packed_layout(points: DataFrame, dims: list[str], leaf: int = PACK_LEAF) -> DataFrame:

@@ -69,3 +69,15 @@ def test_parts_of_many_small_leaves_are_few_and_listed_once(spark, tmp_path):
         rows = a.data().where(F.col("part") == p.part).collect()
         assert len(rows) == p.rows and all(p.bounds[c] == (min(r[c] for r in rows), max(r[c] for r in rows)) for c in ("x", "y", "more"))
     assert Archive.load(spark, a.root, check=True).table().count([Predicate.range("x", 0.0, 99.0)], planned=True).first()[0] == sum(i * 7919 % 10007 < 100 for i in range(6000))
+
+
+def test_kd_parts_have_leaves_of_their_own(spark, monkeypatch):
+    monkeypatch.setattr(layout, "TASK_BYTES", 48_000, raising=False)
+    kd = reports.kd_layout(spread(spark, 20_000).select(ROW_ID, "x", "y"), ["x", "y"], 64, 3000)
+    rows = kd.collect()
+    assert sorted(r[ROW_ID] for r in rows) == list(range(20_000))
+    leaves = {}
+    for r in rows:
+        leaves.setdefault(r["path"], []).append((r["x"], r["y"]))
+    assert max(map(len, leaves.values())) <= 64 and len({p[:4] for p in leaves}) == 10  # 2000 rows a task
+    assert sorted((r[ROW_ID], r["path"]) for r in rows) == sorted((r[ROW_ID], r["path"]) for r in kd.collect())
