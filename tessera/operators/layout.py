@@ -140,16 +140,18 @@ def split_group(rows: pa.Table, dims: list[str], config: BuildConfig) -> pa.Tabl
     return rows.append_column("path", path).append_column("row_index", pa.array(place))
 
 
-def cuts_of(x: np.ndarray, share: float, config: BuildConfig, depth: int, fan: int) -> dict[str, list]:
+def cuts_of(x: np.ndarray, share: float, config: BuildConfig, depth: int, fan: int) -> dict[str, list | bool]:
     """Cuts of a coarse node from a sample of its rows, `share` of them all: per node its axis, cut, child on the left
-    (the one on the right follows it; a leaf is its own) and path below this node."""
-    axis, cut, left, name = [LEAF], [0.0], [0], [""]
+    (the one on the right follows it; a leaf is its own) and path below this node; and `more`: whether parts may be left that
+    are too large, as the fan was used up or hashes of ids made them."""
+    axis, cut, left, name, more = [LEAF], [0.0], [0], [""], False
+    # a sample may miss some of a node's rows
+    large = lambda n, node: (n + (3 * n**0.5 if share < 1 else 0)) / share > config.exact_rows and depth + len(name[node]) < config.max_depth
     todo = [(len(x), 0, np.arange(len(x)))]
     while todo and len(axis) < 2 * fan:
         todo.sort(key=lambda t: -t[0])
         n, node, rows = todo.pop(0)
-        spare = 3 * n**0.5 if share < 1 else 0  # what a sample may miss of a node's rows
-        if (n + spare) / share <= config.exact_rows or depth + len(name[node]) >= config.max_depth:
+        if not large(n, node):
             continue
         values = x[rows]
         d = int(values.var(0).argmax())
@@ -161,7 +163,7 @@ def cuts_of(x: np.ndarray, share: float, config: BuildConfig, depth: int, fan: i
             parts = [rows[low], rows[~low]]
             sizes = [len(parts[0]), len(parts[1])]
         else:
-            d, middle, parts, sizes = BY_ID, 0.0, [rows, rows], [n / 2, n / 2]
+            d, middle, parts, sizes, more = BY_ID, 0.0, [rows, rows], [n / 2, n / 2], True
         axis[node], cut[node], left[node] = d, middle, len(axis)
         for k in (0, 1):
             todo.append((sizes[k], len(axis), parts[k]))
@@ -169,10 +171,10 @@ def cuts_of(x: np.ndarray, share: float, config: BuildConfig, depth: int, fan: i
             cut.append(0.0)
             left.append(len(axis) - 1)
             name.append(name[node] + str(k))
-    return {"axis": axis, "cut": cut, "left": left, "name": name}
+    return {"axis": axis, "cut": cut, "left": left, "name": name, "more": more or any(large(n, node) for n, node, _ in todo)}
 
 
-CUTS = "path string, __axis array<int>, __cut array<double>, __left array<int>, __name array<string>"
+CUTS = "path string, __axis array<int>, __cut array<double>, __left array<int>, __name array<string>, __more boolean"
 
 
 def task_rows(df: DataFrame, most: int) -> tuple[int, int]:
@@ -206,11 +208,11 @@ def coarse_paths(points: DataFrame, dims: list[str], config: BuildConfig) -> Dat
             x = np.stack([sample.column(d).to_numpy() for d in dims], 1)
             top = sample.column("path")[0].as_py()
             got = {"path": top} | {f"__{k}": v for k, v in cuts_of(x, sample.column("__share")[0].as_py(), config, len(top), FAN).items()}
-            return pa.Table.from_pylist([got], schema=pa.schema([("path", pa.string()), ("__axis", pa.list_(pa.int32())), ("__cut", pa.list_(pa.float64())), ("__left", pa.list_(pa.int32())), ("__name", pa.list_(pa.string()))]))
+            return pa.Table.from_pylist([got], schema=pa.schema([("path", pa.string()), ("__axis", pa.list_(pa.int32())), ("__cut", pa.list_(pa.float64())), ("__left", pa.list_(pa.int32())), ("__name", pa.list_(pa.string())), ("__more", pa.bool_())]))
 
         # a row for each node that is cut
         cuts = drawn.repartition(min(nodes, FAN), "path").groupBy("path").applyInArrow(cut, CUTS).persist()
-        levels = cuts.agg(F.max(F.array_max(F.transform("__name", F.length)))).first()[0] or 0
+        levels, more = cuts.agg(F.coalesce(F.max(F.array_max(F.transform("__name", F.length))), F.lit(0)), F.coalesce(F.max("__more"), F.lit(True))).first()
         value = F.array(*[F.col(d).cast("double") for d in dims])
         axis = lambda node: F.get("__axis", node)
         by_id = lambda i: F.pmod(F.call_function("shiftright", F.xxhash64(ROW_ID, F.lit(13)), i), F.lit(2)) == 1
@@ -218,6 +220,8 @@ def coarse_paths(points: DataFrame, dims: list[str], config: BuildConfig) -> Dat
         right = lambda node, i: F.coalesce(F.get(value, axis(node)) >= F.get("__cut", node), (axis(node) == BY_ID) & by_id(i))
         node = F.aggregate(F.sequence(F.lit(0), F.lit(levels)), F.lit(0), lambda node, i: F.get("__left", node) + right(node, i).cast("int"))
         points = points.join(small(cuts), "path", "left").withColumn("path", F.when(F.col("__axis").isNull(), F.col("path")).otherwise(F.concat("path", F.get("__name", node)))).select(*points.columns)
+        if not more:
+            return points
 
 
 def cluster(points: DataFrame, dims: list[str], config: BuildConfig) -> DataFrame:
